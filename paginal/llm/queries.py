@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paginal.llm import langid, linededup, tiff, topk
+from paginal.llm import idcoder, langid, linededup, packing, tiff, topk
 from paginal.llm.common import table
 
 
@@ -43,6 +43,11 @@ where rank <= 5
 """
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 ids."""
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the boilerplate lines of their source."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -55,12 +60,24 @@ def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.media_digest(tiff.text_to_media(docs))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written to token-id files, read back, and summed up."""
+    files = idcoder.write_files(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = idcoder.read_files(files).select(
+        "part", "block", "doc_id", "before", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
+    starts = idcoder.block_starts(files)
+    return rows.join(starts, ["part", "block"]).select("doc_id", (F.col("block_start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op2_exact_top_k": op2_exact_top_k,
+        "op3_packing": op3_packing,
         "op4_line_dedup": op4_line_dedup,
         "op9_tiff": op9_tiff,
+        "op10_token_files": op10_token_files,
     }
 
 
