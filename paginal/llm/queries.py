@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paginal.llm import idcoder, langid, linededup, packing, tiff, topk
+from paginal.llm import idcoder, langid, linededup, packing, pii, tiff, topk
 from paginal.llm.common import table
 
 
@@ -54,6 +54,24 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.drop_boilerplate_lines(docs).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts and digest of the pattern spans, and all spans."""
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def listed(spans: Column) -> Column:
+        rank = F.create_map(*[x for i, k in enumerate(pii.KINDS) for x in (F.lit(k), F.lit(i))])
+        ordered = F.array_sort(F.transform(spans, lambda s: F.struct(rank[s["kind"]].alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+        return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    return found.select(
+        "doc_id", *(count(k) for k in pii.BASE), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans")
+    )
+
+
 def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as a TIFF, read back, and described."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -76,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_exact_top_k": op2_exact_top_k,
         "op3_packing": op3_packing,
         "op4_line_dedup": op4_line_dedup,
+        "op7_pii": op7_pii,
         "op9_tiff": op9_tiff,
         "op10_token_files": op10_token_files,
     }
