@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paginal.llm import idcoder, langid, linededup, packing, pii, tiff, topk
+from paginal.llm import idcoder, jaccard, langid, linededup, packing, pii, tiff, topk
 from paginal.llm.common import table
 
 
@@ -54,6 +54,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.drop_boilerplate_lines(docs).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingle sets have a Jaccard similarity of 0.85."""
+    found = jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: counts and digest of the pattern spans, and all spans."""
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -94,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_exact_top_k": op2_exact_top_k,
         "op3_packing": op3_packing,
         "op4_line_dedup": op4_line_dedup,
+        "op6_ngram_jaccard": op6_ngram_jaccard,
         "op7_pii": op7_pii,
         "op9_tiff": op9_tiff,
         "op10_token_files": op10_token_files,
