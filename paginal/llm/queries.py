@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paginal.llm import idcoder, jaccard, langid, linededup, packing, pii, tiff, topk
+from paginal.llm import idcoder, jaccard, langid, linededup, packing, pii, tiff, topk, unigram
 from paginal.llm.common import table
 
 
@@ -78,6 +78,19 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sampled segmentation of every document, decoded again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = unigram.decode(unigram.encode(docs))
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.crc32(F.array_join("ids", ",")).alias("ids_crc32"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
+    )
+
+
 def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as a TIFF, read back, and described."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -102,6 +115,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_line_dedup": op4_line_dedup,
         "op6_ngram_jaccard": op6_ngram_jaccard,
         "op7_pii": op7_pii,
+        "op8_sentencepiece": op8_sentencepiece,
         "op9_tiff": op9_tiff,
         "op10_token_files": op10_token_files,
     }
