@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paginal.llm import idcoder, jaccard, langid, linededup, packing, pii, tiff, topk, unigram
+from paginal.llm import idcoder, jaccard, langid, linededup, packing, pii, pseudolm, tiff, topk, unigram
 from paginal.llm.common import table
 
 
@@ -54,6 +54,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.drop_boilerplate_lines(docs).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op5_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked pseudo-likelihood of every document, by a network trained on all of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudolm.score(docs, pseudolm.fit(docs)).select("doc_id", "n_tokens", "log_prob", "mean_log_prob")
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingle sets have a Jaccard similarity of 0.85."""
     found = jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=85)
@@ -113,6 +119,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_exact_top_k": op2_exact_top_k,
         "op3_packing": op3_packing,
         "op4_line_dedup": op4_line_dedup,
+        "op5_pseudo_likelihood": op5_pseudo_likelihood,
         "op6_ngram_jaccard": op6_ngram_jaccard,
         "op7_pii": op7_pii,
         "op8_sentencepiece": op8_sentencepiece,
