@@ -1,25 +1,30 @@
 """Token ids of whole texts by the tokenizers library, as little-endian bytes.
 
-A worker keeps the ids of the pre-tokens it has met (a bounded cache) and asks
-the library for unknown ones only.  This is exact: byte-level BPE never merges
-across pre-tokens, and a pre-token on its own is one pre-token again.  A text
-with characters outside well-known ranges, whose classes may depend on a
-library's Unicode version, goes to the library whole.
+A worker keeps the ids of the pre-tokens that it has met (a bounded cache) and
+gives unknown ones to the library's model, one by one.  This is exact:
+byte-level BPE never merges across pre-tokens.  Texts are split here by the
+tokenizer's own pattern, written out for well-known Latin characters; a text
+with any other character goes to the library whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
 #: Pre-tokens whose ids a worker remembers; beyond it starts afresh.
 CACHE = 400_000
-#: Characters of the texts that are split here: printable ASCII, tab, line ends, Latin letters, common punctuation.
+#: Letters and digits among the characters of the texts that are split here.
+_LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
+#: Any character besides printable ASCII, tab, line ends, Latin letters, common punctuation.
 ODD = re.compile("[^\t\n\r\x20-\x7e\xa0-ɏ‐-…]")
-#: Bytes of one id; pre-tokens that go to the library as one text.
-WIDTH, LINES = 4, 1000
+#: The tokenizer's pattern of pre-tokens for the characters above.
+_SPLIT = re.compile(rf" ?[{_LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+")
+#: Bytes of one id.
+WIDTH = 4
 
 
 def default_path() -> str:
@@ -28,70 +33,58 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def byte_letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary.
+
+    Printable bytes stand for themselves, the others take the code points from 256 on, in order.
+    """
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
+
+
+class _Known(dict):
+    """Ids of pre-tokens, found by the library's model when first asked for."""
+
+    def __init__(self, model: object):
+        super().__init__()
+        self.tokenize = model.tokenize
+        self.letter = byte_letters().__getitem__
+
+    def __missing__(self, word: str) -> bytes:
+        found = array("I", [t.id for t in self.tokenize("".join(map(self.letter, word.encode())))])
+        if len(self) >= CACHE:
+            self.clear()
+        self[word] = ids = found.tobytes()
+        return ids
+
+
 class Encoder:
     """Encodes texts with one tokenizer file; ``ids`` gives 32-bit little-endian bytes."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.cache: dict[str, bytes] = {}
-        line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.line_end = line_end[0] if len(line_end) == 1 else -1
+        self.known = _Known(self.tokenizer.model)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of pre-tokens that hold no line end and are not blank.
-
-        Many go to the library as one text, a line each: a line end before or
-        after such a pre-token is always a pre-token, and an id, of its own.
-        """
-        out: list[bytes] = []
-        for at in range(0, len(words), LINES):
-            part = words[at : at + LINES]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(part) + "\n"], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.flatnonzero(ids == self.line_end).tolist()
-            raw, last = ids.tobytes(), 0
-            for end in ends:
-                out.append(raw[last * WIDTH : end * WIDTH])
-                last = end + 1
-        return out
-
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each whole text; null counts as empty."""
-        out: list[bytes | None] = [None] * len(texts)
-        parts: list[tuple[int, list[str]]] = []
-        whole: list[int] = []
-        for k, text in enumerate(texts):
+        out: list[bytes] = []
+        get, split = self.known.__getitem__, _SPLIT.findall
+        for text in texts:
             if not text:
-                out[k] = b""
+                out.append(b"")
             elif ODD.search(text):
-                whole.append(k)
+                out += self._library([text])
             else:
-                parts.append((k, self.split(text)))
-        for k, ids in zip(whole, self._library([texts[k] for k in whole]) if whole else []):
-            out[k] = ids
-        met: set[str] = set()
-        for _, split in parts:
-            met.update(split)
-        if len(self.cache) + len(met) > CACHE:
-            self.cache = {}
-        missing = [x for x in met if x not in self.cache]
-        words = [x for x in missing if not x.isspace()] if self.line_end >= 0 else []
-        blanks = [x for x in missing if x.isspace()] if words else missing
-        self.cache.update(zip(words, self._words(words), strict=True))
-        self.cache.update(zip(blanks, self._library(blanks) if blanks else [], strict=True))
-        get = self.cache.__getitem__
-        for k, split in parts:
-            out[k] = b"".join(map(get, split))
+                out.append(b"".join(map(get, split(text))))
         return out
 
 
