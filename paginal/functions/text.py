@@ -43,15 +43,20 @@ def light_stem(term: Column | str) -> Column:
     Terms of four bytes and fewer stay as they are.
     """
     word = _col(term)
-    bare = word
-    for affix in reversed(PREFIXES):
-        fits = word.startswith(affix) & (F.octet_length(word) >= len(affix.encode()) + STEM_BYTES)
-        bare = F.when(fits, F.substr(word, F.lit(len(affix) + 1))).otherwise(bare)
-    out = bare
-    for affix in reversed(SUFFIXES):
-        fits = bare.endswith(affix) & (F.octet_length(bare) >= len(affix.encode()) + STEM_BYTES)
-        out = F.when(fits, F.left(bare, F.length(bare) - len(affix))).otherwise(out)
-    return F.when(F.octet_length(word) <= STEM_BYTES, word).otherwise(out)
+    # The first step's result passes through an array, so that it is worked out once.
+    bare = F.array(_without(word, PREFIXES, at_start=True))
+    both = F.transform(bare, lambda b: _without(b, SUFFIXES, at_start=False))
+    return F.when(F.octet_length(word) <= STEM_BYTES, word).otherwise(F.element_at(both, 1))
+
+
+def _without(word: Column, affixes: tuple[str, ...], at_start: bool) -> Column:
+    out = word
+    for affix in reversed(affixes):
+        there = word.startswith(affix) if at_start else word.endswith(affix)
+        fits = there & (F.octet_length(word) >= len(affix.encode()) + STEM_BYTES)
+        rest = F.substr(word, F.lit(len(affix) + 1)) if at_start else F.left(word, F.length(word) - len(affix))
+        out = F.when(fits, rest).otherwise(out)
+    return out
 
 
 # Fixed values of the term hash: 64-bit FNV-1a, then the 64-bit finalizer of murmur3.
