@@ -8,8 +8,8 @@ The draws are hashes of the row's key and the position: the same row always
 gives the same segmentation, in any batch and on any machine.
 
 Blanks and line ends part the lattice, because no piece crosses from other
-characters to a blank.  The parts that a group of texts has in common share
-one lattice; all parts are filtered, and all their occurrences sampled, in
+characters to a blank.  A worker keeps the lattices of the parts that it has
+met, up to a bound; new parts are filtered, and all occurrences sampled, in
 numpy.
 
 A piece of rank r weighs ``(r + 2) ** -alpha``.  A character without a piece
@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +39,12 @@ from paginal.llm.common import small_batches
 from paginal.llm.shingles import mix
 
 MARK = "▁"
-#: Exponent of the weights; characters whose texts are worked on together.
-ALPHA, GROUP = 1.0, 3 << 20
+#: Exponent of the weights; characters whose texts are worked on together; edges that a worker keeps, roughly.
+ALPHA, GROUP, EDGES = 1.0, 1 << 19, 3_000_000
 #: Rank that a byte of a character without a piece counts as.
 BYTE_RANK = 1_000_000
-#: Rows of an Arrow batch; more texts share more parts.
-ROWS = 1024
+#: Rows of an Arrow batch.
+ROWS = 512
 
 
 def default_path() -> str:
@@ -97,6 +98,7 @@ class Pieces:
         self.parts = re.compile(f" *[{inside}]+| +|.", re.DOTALL).findall
         self.piece_at = np.full(len(tree) + 1, -1, dtype=np.int64)
         self.piece_at[list(ends)] = list(ends.values())
+        self.forget()
         keys = np.array([node << 21 | ord(c) for node, c in tree], dtype=np.uint64)
         self._table(keys, np.array(list(tree.values()), dtype=np.int64))
 
@@ -185,29 +187,60 @@ class Pieces:
             count = np.diff(np.append(first, len(to)))
             total[to[first]] = most + np.log(np.add.reduceat(np.exp(value - np.repeat(most, count)), first))
         share = np.exp(total[start] + weight - total[end])
-        run = np.cumsum(share)
         first = np.flatnonzero(np.concatenate([[True], end[1:] != end[:-1]])) if len(end) else np.zeros(0, np.int64)
         count = np.diff(np.append(first, len(end)))
-        base = np.repeat(run[first] - share[first], count)
-        summed = (run - base) / np.repeat(run[first + count - 1] - run[first] + share[first], count)
+        # Edge by edge of every node, so that a part's sums don't depend on the other parts.
+        summed = share.copy()
+        rank = 1
+        while len(more := first[count > rank]):
+            summed[more + rank] += summed[more + rank - 1]
+            rank += 1
         summed[first + count - 1] = 1.0
         entry = np.zeros(len(total), dtype=np.int64)
         entry[end[first]] = first
         return begin, last, entry, start, piece, summed
 
+    def known(self, texts: list[str | None]) -> list[list[int]]:
+        """The parts of each text by number; lattices of new parts join those kept."""
+        if self.n_edges > EDGES:
+            self.forget()
+        rows: list[list[int]] = [list(map(self.index.__getitem__, self.parts(" " + text))) if text else [] for text in texts]
+        fresh = list(islice(self.index, self.n_parts, None))
+        if fresh:
+            begin, last, entry, start, piece, summed = self.lattice(fresh)
+            n, e = self.n_nodes, self.n_edges
+            for name, values, at in (
+                ("begin", begin + n, self.n_parts), ("last", last + n, self.n_parts), ("entry", entry + e, n),
+                ("start", start + n, e), ("piece", piece, e), ("summed", summed, e),
+            ):
+                held = getattr(self, name)
+                if len(held) < at + len(values):
+                    grown = np.empty(max(2 * len(held), at + len(values)), dtype=held.dtype)
+                    grown[:at] = held[:at]
+                    setattr(self, name, held := grown)
+                held[at : at + len(values)] = values
+            self.n_parts += len(fresh)
+            self.n_nodes += len(entry)
+            self.n_edges += len(start)
+        return rows
+
+    def forget(self) -> None:
+        """Starts the kept lattices afresh."""
+        self.index = _Index()
+        self.n_parts = self.n_nodes = self.n_edges = 0
+        self.begin, self.last, self.entry, self.start, self.piece = (np.zeros(0, dtype=np.int32) for _ in range(5))
+        self.summed = np.zeros(0)
+
     def sample(self, texts: list[str | None], keys: np.ndarray) -> list[np.ndarray]:
         """A segmentation of each text, drawn by its key: ids as int32."""
-        index = _Index()
-        rows: list[list[int]] = []
-        for text in texts:
-            rows.append(list(map(index.__getitem__, self.parts(" " + text))) if text else [])
+        rows = self.known(texts)
         counts = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
         if not counts.sum():
             return [np.zeros(0, dtype=np.int32) for _ in texts]
-        begin, last, entry, start, piece, summed = self.lattice(list(index))
-        part = np.concatenate([np.asarray(r, dtype=np.int64) for r in rows])
+        begin, last, entry, start, piece, summed = self.begin, self.last, self.entry, self.start, self.piece, self.summed
+        part = np.fromiter(chain.from_iterable(rows), dtype=np.int64, count=int(counts.sum()))
         row = np.repeat(np.arange(len(rows)), counts)
-        size = last - begin
+        size = (last - begin).astype(np.int64)
         # The draw at a node is a hash of the row's key and the place in the text.
         place = np.cumsum(size[part])
         ahead = np.concatenate([[0], place[np.cumsum(counts)[:-1] - 1] * (np.cumsum(counts)[:-1] > 0)])
