@@ -57,7 +57,7 @@ def _letters() -> np.ndarray:
 def pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
     """Runs of (row, lower-cased piece) of at most about CHUNK characters.
 
-    A piece carries one character of context before and two behind it.
+    A text starts with a blank; a piece carries two characters of context behind it.
     """
     rows: list[int] = []
     held: list[str] = []
@@ -65,10 +65,8 @@ def pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
     for row, text in enumerate(texts):
         low = (text or "").lower()
         for at in range(0, len(low), CHUNK):
-            before = low[at - 1] if at else " "
-            piece = before + low[at : at + CHUNK + 2]
-            if at + CHUNK >= len(low):
-                piece += "  "
+            behind = low[at + CHUNK : at + CHUNK + 2].ljust(2)
+            piece = ("" if at else " ") + low[at : at + CHUNK] + behind
             rows.append(row)
             held.append(piece)
             size += len(piece)
@@ -93,7 +91,6 @@ def ngrams(held: list[str], buckets: int = BUCKETS) -> Iterator[tuple[np.ndarray
     ends = first + sizes
     inside[ends - 1] = False
     inside[ends - 2] = False
-    # The leading context only begins n-grams at the start of a text, where it is a blank.
     letter = code != 0
     mixed = code * np.uint32(0x9E3779B1)
     rolled = np.zeros(len(code), dtype=np.uint32)
