@@ -23,18 +23,23 @@ STEM_BYTES = 4
 
 
 def normalize(text: Column | str) -> Column:
-    """Drops vowel marks and NUL, folds letter variants; nothing else changes."""
-    return F.translate(F.regexp_replace(_col(text), MARKS, ""), FOLD_FROM, FOLD_TO)
+    """Drops vowel marks and NUL, folds letter variants; nothing else changes.
+
+    A text with none of them, found by one scan, stays as it is.
+    """
+    raw = _col(text)
+    changed = F.translate(F.regexp_replace(raw, MARKS, ""), FOLD_FROM, FOLD_TO)
+    return F.when(raw.rlike(MARKS[:-1] + FOLD_FROM + "]"), changed).otherwise(raw)
 
 
 def tokens(text: Column | str) -> Column:
     """The terms of normalised text in order; positions are array indexes from 0."""
-    return F.filter(F.split(normalize(text), rf"[\x{{01}}-\x{{20}}{DELIMITERS}]+"), lambda x: x != "")
+    return F.array_remove(F.split(normalize(text), rf"[\x{{01}}-\x{{20}}{DELIMITERS}]+"), "")
 
 
 def raw_tokens(text: Column | str) -> Column:
     """The terms of text as it is; NUL parts terms here."""
-    return F.filter(F.split(_col(text), rf"[\x{{00}}-\x{{20}}{DELIMITERS}]+"), lambda x: x != "")
+    return F.array_remove(F.split(_col(text), rf"[\x{{00}}-\x{{20}}{DELIMITERS}]+"), "")
 
 
 def light_stem(term: Column | str) -> Column:

@@ -1,7 +1,8 @@
 """Prefix sums and dense numbers over a whole table without one ordered task.
 
 The table is split into ordered groups.  Sums of the groups before come from a
-table with a row per group; only that is ordered as a whole.
+table with a row per group; only that is ordered as a whole.  Both sides read
+one exchange by group, so what leads to the table runs once.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ def group_starts(df: DataFrame, group: str, value: Column, name: str) -> DataFra
 
 def prefix_sum(df: DataFrame, group: str, order: list[str], value: Column, name: str) -> DataFrame:
     """Adds the sum of value over all rows before, in order of group, then order."""
+    df = df.repartition(F.col(group))
     inside = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     starts = group_starts(df, group, value, "__start")
     own = df.withColumn("__inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
@@ -27,6 +29,7 @@ def prefix_sum(df: DataFrame, group: str, order: list[str], value: Column, name:
 
 def dense_number(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
     """Adds numbers from 0 without gaps, in order of group, then order."""
+    df = df.repartition(F.col(group))
     starts = group_starts(df, group, F.lit(1), "__start")
     own = df.withColumn("__row", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
     return own.join(starts, group).withColumn(name, (F.col("__start") + F.col("__row") - 1).cast("long")).drop("__start", "__row")

@@ -1,8 +1,8 @@
 """Search: term matches, AND / OR, phrases, relevance, top lists.
 
 All of it works on *matches*: a row per page with one array of positions for
-each query term (p0, p1, ...).  From pages, matches need no shuffle at all:
-the arrays come from the row's own tokens.  From stored postings, a filter on
+each query term (p0, p1, ...).  From pages, tokens are filtered as they are
+made and only hits are grouped.  From stored postings, a filter on
 the query's terms reaches the scan, and only their postings are grouped by page.
 """
 
@@ -23,16 +23,15 @@ def _places(terms: tuple[str, ...]) -> list[str]:
 
 
 def matches_in_pages(pages: DataFrame, terms: tuple[str, ...]) -> DataFrame:
-    """Matches of pages that hold any of the terms; other columns stay."""
-    marked = F.filter(F.transform("__tokens", lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda s: s["t"].isin(sorted(set(terms))))
-    columns = [c for c in pages.columns if c != "text"]
-    out = pages.where(F.col("text") != "").select(*columns, tokens("text").alias("__tokens")).select(*columns, marked.alias("__hits")).where(F.size("__hits") > 0)
-    return out.withColumns({name: _positions(term) for name, term in zip(_places(terms), terms)}).drop("__hits")
-
+    """Matches of pages that hold any of the terms; other columns stay.
 
-def _positions(term: str) -> Column:
-    """The positions of one term among the marked tokens."""
-    return F.transform(F.filter("__hits", lambda s: s["t"] == term), lambda s: s["i"])
+    Tokens are generated and filtered inside one stage of generated code; only
+    the query's own hits are grouped, so texts are split once and never moved.
+    """
+    columns = [c for c in pages.columns if c != "text"]
+    hits = pages.where(F.col("text") != "").select(*columns, F.posexplode(tokens("text")).alias("__pos", "__term"))
+    found = hits.where(F.col("__term").isin(sorted(set(terms))))
+    return found.groupBy(*columns).agg(*(F.collect_list(F.when(F.col("__term") == t, F.col("__pos"))).alias(p) for p, t in zip(_places(terms), terms)))
 
 
 def _shifted(name: str, by: int) -> Column:
@@ -169,7 +168,10 @@ def top(ranked: DataFrame, offset: int = 0, limit: int = 0) -> DataFrame:
 
 
 def search_pages(pages: DataFrame, line: str) -> DataFrame:
-    """Ranked pages for a query line, straight from page texts."""
+    """Ranked pages for a query line, straight from page texts.
+
+    Statistics and scores read the same exchange of the matches.
+    """
     query = parse(line)
     return _ranked(matches_in_pages(pages, query.terms), query) if query.terms else _nothing(pages)
 
