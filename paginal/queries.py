@@ -295,6 +295,34 @@ def chapter_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return books.chapter_ranges(_turn_pages(spark, sf_dir), _chapters(spark, sf_dir))
 
 
+@_register(
+    "chapter_numbering",
+    """select row_number() over (order by conv_id, turn, text) - 1 as chapter_id, conv_id as book_id,
+cast(row_number() over (partition by conv_id order by turn, text) as integer) as chapter_number, turn as start_page, text as title
+from conversations where role = 'user' and text <> ''""",
+)
+def chapter_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talk = _table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    titles = talk.select(F.col("conv_id").alias("book_id"), F.col("turn").alias("id"), F.col("text").alias("tit"), F.lit(1).alias("lvl"), F.lit(0).alias("sub"))
+    return books.number_chapters(titles).select("chapter_id", "book_id", "chapter_number", "start_page", "title")
+
+
+@_register(
+    "next_page",
+    f"with {BOOK_PAGES} select page_id, lead(page_id) over (partition by book_id order by page_id) as next_page_id, length(lead(text) over (partition by book_id order by page_id)) as next_length from bp",
+)
+def next_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = snippets.with_next_page(_book_pages(spark, sf_dir))
+    size = F.length("next_text").cast("long")
+    return found.select("page_id", F.when(size.isNotNull(), F.col("page_id") + 1).alias("next_page_id"), size.alias("next_length"))
+
+
+@_register("book_author_bridge", "select distinct doc_id as book_id, quality as author_id from labels where quality <> 0")
+def book_author_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels")
+    return books.book_authors(labels.select(F.col("doc_id").alias("bkid"), F.col("quality").alias("authno")))
+
+
 @_register(
     "book_meta_lookup",
     """select d.doc_id as book_id, case when l.doc_id is not null then 'q' || l.quality end as title, case when l.quality = 1 then 'toxic ' || l.toxic end as category
@@ -414,6 +442,17 @@ def rank_page_2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top(found, 10, 10)
 
 
+@_register("candidate_pages", f"with {_hits_sql(('the', 'of'))} select distinct page_id from post")
+def candidate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matches(spark, sf_dir, ("the", "of")).select("page_id")
+
+
+@_register("term_postings", f"with {OCC}, {_POST} select page_id, tf, array_to_string(positions, ',') as positions from post where term = 'which'")
+def term_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = index.postings(_occurrences(spark, sf_dir).where(F.col("term") == "which"))
+    return found.select("page_id", "tf", F.array_join("positions", ",").alias("positions"))
+
+
 # --- snippets
 
 
