@@ -7,12 +7,14 @@
 3. Two sets can only be similar if they share a shingle among the first
    ``n - ceil(threshold * n) + 1`` of either: these prefixes are the upper
    edges of the tree, and they are the join key between tasks.
-4. The first set of every edge is tried against the others there (a star);
-   what links is one component already.  Then all sets of an edge that are in
-   different components are tried, so that no link between components is lost
-   and copies of one text are never paired with each other.
-5. A candidate pair must share so many prefix shingles that the rest of the
-   sets could lift it to the threshold.  Survivors meet in cells: a probe and a
+4. On edges with many sets, the set that shares most is tried against those of
+   other components, each set with its best such centre (a star); what links
+   is one component from then on.  After a few rounds all sets of an edge that
+   are still in different components are tried, so that no link between
+   components is lost, and near copies of one text are not paired with each other.
+5. A candidate pair's first common shingle must lie early enough in both sets,
+   and the pair must share so many prefix shingles, that the rest of the sets
+   could lift it to the threshold.  Survivors meet in cells: a probe and a
    bounded number of sets, stored as a tree of their globally ordered
    shingles.  The tree is walked once, sharing the overlap of common paths and
    pruning subtrees whose remaining length can't reach the threshold, which
@@ -26,29 +28,35 @@ Defined results
 * component_id is the least id that links reach, the own id included; a row
   without an id has none.
 * Repeated rows are in the same class.  An empty table gives an empty result.
-* Shingles are compared by 64-bit hashes.
+* Sets are equal by all 64 bits of their shingles' hashes (through a digest);
+  similarities are counted on 50 of them, beside the level.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paginal.llm.common import small_batches, written
 from paginal.llm.components import connected_components
 from paginal.llm.shingles import mix, shingle_sets
 
-#: Least and most bits of the sketch; counters in one row of it.
-LEAST_BITS, MOST_BITS, CHUNK = 16, 24, 1 << 12
+#: Least and most bits of the sketch, bits of the bitmap of ids; counters in one row of them.
+LEAST_BITS, MOST_BITS, ID_BITS, CHUNK = 16, 24, 22, 1 << 12
+#: Bits of a page of the bitmap of copies, as bitmap_construct_agg has them.
+PAGE_BITS = 32768
 #: Bits of a hash that remain beside the level in a key.
 LEVEL_SHIFT = 58
 #: Sets in one cell; tokens that the walk looks up at once.
 CELL, STRIDE = 256, 64
+#: Rounds of stars, and sets of an edge from which on it takes part in them.
+STARS, HOT = 3, 8
 
 
 def _least(n: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -56,34 +64,31 @@ def _least(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return -(-percent * n // 100)
 
 
-def sketch(keys: DataFrame, bits: int) -> np.ndarray:
-    """Counts of 64-bit keys by their upper bits; keys: rows of binary runs of them.
+def sketch(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> np.ndarray:
+    """Counts of 64-bit keys by their upper bits; keys_of takes them from a batch of rows.
 
     Each task sums in an array of 2**bits counters, so the tasks are merged to
     a few per core first: what they send is bounded by the cluster, not by the
     data.  The driver gets the logarithms, a byte for each counter.
     """
-    spark = keys.sparkSession
-    few = keys.coalesce(max(2, 2 * spark.sparkContext.defaultParallelism))
+    spark = rows.sparkSession
+    few = rows.coalesce(max(2, 2 * spark.sparkContext.defaultParallelism))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, dtype=np.uint32)
         for batch in batches:
-            for run in batch.column(0):
-                at = (np.frombuffer(run.as_py(), "<u8") >> np.uint64(64 - bits)).astype(np.int64)
-                if len(at) > 1 << (bits - 3):
-                    total += np.bincount(at, minlength=1 << bits).astype(np.uint32)
-                else:
-                    np.add.at(total, at, np.uint32(1))
+            for keys in keys_of(batch):
+                np.add.at(total, (keys >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
         for first in range(0, 1 << bits, CHUNK):
             part = total[first : first + CHUNK]
             if part.any():
-                yield pa.RecordBatch.from_pydict({"chunk": pa.array([first // CHUNK], pa.int32()), "counts": pa.array([part.tobytes()], pa.binary())})
+                packed = zlib.compress(part.tobytes(), 1)
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([first // CHUNK], pa.int32()), "counts": pa.array([packed], pa.binary())})
 
     def add(group: pa.Table) -> pa.Table:
         total = np.zeros(min(CHUNK, 1 << bits), dtype=np.uint64)
         for run in group.column("counts"):
-            total += np.frombuffer(run.as_py(), "<u4")
+            total += np.frombuffer(zlib.decompress(run.as_py()), "<u4")
         level = np.where(total > 0, np.floor(np.log2(np.maximum(total, 1))) + 1, 0).astype(np.uint8)
         return pa.table({"chunk": group.column("chunk").slice(0, 1), "levels": pa.array([level.tobytes()], pa.binary())})
 
@@ -101,13 +106,16 @@ def ordered_keys(hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return level << np.uint64(LEVEL_SHIFT) | hashes >> np.uint64(64 - LEVEL_SHIFT)
 
 
-def _runs(docs: DataFrame, width: int) -> DataFrame:
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            runs = [h.tobytes() for _, _, h in shingle_sets(batch.column(0).to_pylist(), width)]
-            yield pa.RecordBatch.from_pydict({"keys": pa.array(runs, pa.binary())})
+def _shingle_keys(width: int) -> Callable[[pa.RecordBatch], Iterator[np.ndarray]]:
+    def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for _, _, h in shingle_sets(batch.column(0).to_pylist(), width):
+            yield h
+
+    return keys
 
-    return docs.select("text").mapInArrow(read, "keys binary")
+
+def _id_keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    yield mix(batch.column(0).to_numpy().astype(np.uint64))
 
 
 def _prefixes(docs: DataFrame, sent: object, width: int, percent: int) -> DataFrame:
@@ -144,14 +152,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, sent: object, width: int) -> Da
     text is touched; the join that follows is exact.
     """
     spark = docs.sparkSession
-    bits = MOST_BITS
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = mix(batch.column(0).to_numpy().astype(np.uint64))
-            yield pa.RecordBatch.from_pydict({"keys": pa.array([h.tobytes()], pa.binary())})
-
-    seen = np.packbits(sketch(wanted.select("id").mapInArrow(hashed, "keys binary"), bits) > 0)
+    bits = ID_BITS
+    seen = np.packbits(sketch(wanted.select("id"), _id_keys, bits) > 0)
     bitmap = spark.sparkContext.broadcast(seen)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,12 +165,41 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, sent: object, width: int) -> Da
             ids = part.column("id").to_pylist()
             for begin, ends, h in shingle_sets(part.column("text").to_pylist(), width):
                 keys = ordered_keys(h, levels)
-                sets = [np.sort(x).tobytes() for x in np.split(keys, ends[:-1])]
+                sets = [packed(np.sort(x)) for x in np.split(keys, ends[:-1])]
                 yield pa.RecordBatch.from_pydict({"id": pa.array(ids[begin : begin + len(sets)], pa.int64()), "keys": pa.array(sets, pa.binary())})
 
     return docs.where(F.col("id").isNotNull()).mapInArrow(read, "id long, keys binary")
 
 
+def _first_of_class(held: DataFrame, classes: DataFrame) -> DataFrame:
+    """id, n, prefix of the first document of each class.
+
+    Copies are few as a rule, so a bitmap of their hashed ids (fixed size) lets
+    most rows stay where they are; rows that it marks are told apart by a join.
+    """
+    known = held.select("id", "digest").join(classes, "digest")
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << ID_BITS))
+    copies = known.where(F.col("id") != F.col("rep")).select((place % PAGE_BITS).alias("bit"), F.floor(place / PAGE_BITS).alias("page"))
+    bitmap = copies.groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    at = (place % PAGE_BITS).cast("int")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    rows = held.withColumn("p", F.floor(place / PAGE_BITS)).join(F.broadcast(bitmap), F.col("p") == F.col("page"), "left")
+    marked = F.coalesce(F.getbit(byte, at % 8), F.lit(0)) == 1
+    rest = rows.where(marked).join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
+    return rows.where(~marked).select("id", "n", "prefix").unionByName(rest.select("id", "n", "prefix"))
+
+
+def packed(keys: np.ndarray) -> bytes:
+    """Keys without their last 8 bits, in 7 bytes each."""
+    return (keys >> np.uint64(8)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 7, 8), dtype=np.uint8)
+    out[:, :7] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 7)
+    return out.view("<u8").reshape(-1)
+
+
 def tree_links(probe: np.ndarray, sets: list[np.ndarray], percent: int) -> list[int]:
     """Which sets have the similarity with the probe: one walk over their prefix tree.
 
@@ -209,6 +240,9 @@ def tree_links(probe: np.ndarray, sets: list[np.ndarray], percent: int) -> list[
 
 def _verified(pairs: DataFrame, docs: DataFrame, sent: object, width: int, percent: int) -> DataFrame:
     """The pairs (x, y) that have the similarity, from whole sets."""
+    pairs = written(pairs.select("x", "y"), "pairs")
+    if pairs.isEmpty():
+        return pairs
     per_probe = pairs.groupBy(F.col("x").alias("px")).agg(F.count("*").alias("m"))
     cells = pairs.join(per_probe, pairs["x"] == per_probe["px"]).select(
         "x", "y", F.pmod(F.xxhash64("y"), F.ceil(F.col("m") / CELL)).alias("cell")
@@ -237,29 +271,80 @@ def _verified(pairs: DataFrame, docs: DataFrame, sent: object, width: int, perce
                         yield found()
                     at, probe, ids, sets = (x, cell), np.zeros(0, np.uint64), [], []
                 if x == y:
-                    probe = np.frombuffer(keys, "<u8")
+                    probe = unpacked(keys)
                 else:
                     ids.append(y)
-                    sets.append(np.frombuffer(keys, "<u8"))
+                    sets.append(unpacked(keys))
         if ids:
             yield found()
 
     return dealt.mapInArrow(walk, "x long, y long")
 
 
-def _promising(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose shared prefix shingles and remaining lengths allow the similarity.
+def _need(percent: int) -> Column:
+    """The least number of common shingles of sets of sizes nx and ny."""
+    return F.ceil(F.lit(percent) * (F.col("nx") + F.col("ny")) / (100 + percent))
+
+
+def _enough(shared: Column | str, percent: int) -> Column:
+    """Whether so many shared prefix shingles, with all that lies behind, allow the similarity.
 
     What a pair shares beyond the shorter-reaching prefix is at most what that
     set has left, hence the greater of both remainders.
     """
-    shared = pairs.groupBy("x", "nx", "y", "ny").agg(F.count("*").alias("c"))
-    need = F.ceil(F.lit(percent) * (F.col("nx") + F.col("ny")) / (100 + percent))
     rest = F.greatest(*(F.ceil(F.lit(percent) * F.col(c) / 100) - 1 for c in ("nx", "ny")))
-    return shared.where(F.col("c") + rest >= need).select("x", "y")
+    return (F.col(shared) if isinstance(shared, str) else shared) + rest >= _need(percent)
+
+
+def _labelled(postings: DataFrame, labels: DataFrame) -> DataFrame:
+    """The postings with their component c."""
+    return postings.join(labels, postings["id"] == labels["v"], "left").select(*postings.columns, F.coalesce("c", "id").alias("c"))
+
+
+def _star(hot: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of an edge's centre and a set of another component; the best centre of each set."""
+    known = written(_labelled(hot, labels), "labelled")
+    centres = known.groupBy(F.col("g").alias("h")).agg(F.max(F.struct("pull", "n", "id", "c")).alias("centre"))
+    pairs = known.join(centres, F.col("g") == F.col("h")).where(F.col("c") != F.col("centre.c"))
+    pairs = pairs.select(F.col("centre.id").alias("x"), F.col("centre.n").alias("nx"), F.col("id").alias("y"), F.col("n").alias("ny"))
+    near = pairs.where(_sizes_fit("nx", "ny", percent)).groupBy("x", "nx", "y", "ny").agg(F.count("*").alias("c"))
+    return near.where(_enough("c", percent)).groupBy("y").agg(F.max(F.struct("c", "x")).alias("best")).select("best.x", "y")
 
 
-def _sizes_fit(a: str, b: str, percent: int):
+def _rest(shared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different components that share an edge and can reach the similarity.
+
+    At its first common shingle a pair still needs all common ones, so that
+    shingle lies early in both sets; only there a pair is made.  The shingles
+    that both prefixes share then come from the two sets' own edges.
+    """
+    known = written(_labelled(shared, labels), "labelled")
+    # Both sides rename all columns, which lets Spark use one exchange for both.
+    a = known.select(F.col("g").alias("f"), F.col("id").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("c").alias("cx"))
+    b = known.select(F.col("g").alias("h"), F.col("id").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"), F.col("c").alias("cy"))
+    first = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
+    early = (F.col("ax") + _need(percent) <= F.col("nx")) & (F.col("ay") + _need(percent) <= F.col("ny"))
+    met = a.join(b, (F.col("f") == F.col("h")) & (F.col("cx") != F.col("cy")) & first & early & _sizes_fit("nx", "ny", percent))
+    pairs = written(met.groupBy("x", "nx", "y", "ny").agg(F.count("*").alias("c")).drop("c"), "pairs")
+    edges = written(shared.groupBy("id").agg(F.collect_list("g").alias("own")), "edges")
+    both = pairs.join(edges.select(F.col("id").alias("ix"), F.col("own").alias("ex")), F.col("x") == F.col("ix"))
+    both = both.join(edges.select(F.col("id").alias("iy"), F.col("own").alias("ey")), F.col("y") == F.col("iy"))
+    return both.where(_enough(F.size(F.array_intersect("ex", "ey")), percent)).select("x", "y")
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after more links: components of components, one link for each pair of them."""
+    old = labels.select(F.col("v").alias("k"), F.col("c").alias("kc"))
+    one = links.join(old, links["x"] == old["k"], "left").select(F.coalesce("kc", "x").alias("a"), "y")
+    both = one.join(old, one["y"] == old["k"], "left").select("a", F.coalesce("kc", "y").alias("b"))
+    fresh = connected_components(both.where(F.col("a") != F.col("b")).distinct(), "a", "b").select(F.col("v").alias("u"), F.col("c").alias("uc"))
+    # A component's label is the label of its label; what had none becomes linked.
+    moved = labels.join(fresh, labels["c"] == fresh["u"], "left").select("v", F.coalesce("uc", "c").alias("c"))
+    added = fresh.join(labels, fresh["u"] == labels["v"], "left_anti").select(F.col("u").alias("v"), F.col("uc").alias("c"))
+    return written(moved.unionByName(added), "labels")
+
+
+def _sizes_fit(a: str, b: str, percent: int) -> Column:
     return (F.lit(100) * F.col(a) >= F.lit(percent) * F.col(b)) & (F.lit(100) * F.col(b) >= F.lit(percent) * F.col(a))
 
 
@@ -270,36 +355,29 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     # About 16 counters a document, within fixed bounds.
     bits = max(LEAST_BITS, min(MOST_BITS, max(1, rows.count()).bit_length() + 4))
-    sent = spark.sparkContext.broadcast(sketch(_runs(rows, width), bits))
+    sent = spark.sparkContext.broadcast(sketch(rows.select("text"), _shingle_keys(width), bits))
     own = written(_prefixes(rows, sent, width, percent), "prefixes")
     held = own.where(F.col("id").isNotNull() & (F.col("n") > 0))
     classes = written(held.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
-    reps = held.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
-    postings = reps.select("id", "n", F.explode("prefix").alias("g"))
-
-    # Edges with two sets at least; the smallest set of each is its star's centre.
-    edges = postings.groupBy("g").agg(F.count("*").alias("m"), F.min(F.struct("n", "id")).alias("centre")).where(F.col("m") > 1)
-    shared = written(
-        postings.join(edges.select(F.col("g").alias("h"), "centre"), F.col("g") == F.col("h")).select("g", "id", "n", "centre"), "postings"
-    )
-    star = shared.where(F.col("id") != F.col("centre.id")).select(
-        F.col("centre.id").alias("x"), F.col("centre.n").alias("nx"), F.col("id").alias("y"), F.col("n").alias("ny")
-    )
-    star = _promising(star.where(_sizes_fit("nx", "ny", percent)), percent)
-    links = written(_verified(star, rows, sent, width, percent), "links")
-    labels = connected_components(links)
-
-    # All other pairs of different components that share an edge.
-    known = shared.join(labels, shared["id"] == labels["v"], "left").select("g", "id", "n", F.coalesce("c", "id").alias("c"))
-    known = written(known, "labelled")
-    mixed = known.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high")).where(F.col("low") != F.col("high"))
-    left = written(known.join(mixed.select(F.col("g").alias("h")), F.col("g") == F.col("h"), "left_semi"), "mixed")
-    a = left.select("g", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
-    b = left.select(F.col("g").alias("h"), F.col("id").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"))
-    first = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
-    met = a.join(b, (F.col("g") == F.col("h")) & (F.col("cx") != F.col("cy")) & first & _sizes_fit("nx", "ny", percent))
-    rest = _verified(_promising(met, percent), rows, sent, width, percent)
-    labels = connected_components(links.unionByName(rest))
+    reps = written(_first_of_class(held, classes), "classes")
+    postings = reps.select("id", "n", F.posexplode("prefix").alias("at", "g"))
+
+    # Edges with two sets at least.
+    edges = postings.groupBy(F.col("g").alias("h")).agg(F.count("*").alias("m")).where(F.col("m") > 1)
+    shared = written(postings.join(edges, F.col("g") == F.col("h")).select("g", "id", "n", "at", "m"), "postings")
+    hot = shared.where(F.col("m") >= HOT)
+    # What shares most is nearest to the middle of a group of near copies.
+    weight = hot.groupBy(F.col("id").alias("w")).agg(F.sum("m").alias("pull"))
+    hot = written(hot.join(weight, hot["id"] == weight["w"]).select("g", "id", "n", "pull"), "hot")
+
+    labels = written(spark.createDataFrame([], "v long, c long"), "labels")
+    for _ in range(STARS):
+        found = written(_verified(_star(hot, labels, percent), rows, sent, width, percent), "links")
+        if found.isEmpty():
+            break
+        labels = _merged(labels, found)
+    found = written(_verified(_rest(shared.drop("m"), labels, percent), rows, sent, width, percent), "links")
+    labels = _merged(labels, found)
 
     member = own.select("id", "n", "digest").join(classes, "digest", "left")
     return member.join(labels, F.col("rep") == F.col("v"), "left").select(

@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Bytes hashed together, but for a longer text on its own; bounds the memory of a batch.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -36,7 +36,7 @@ def _bytes() -> tuple[np.ndarray, np.ndarray]:
     return value, space
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
     up = np.full(n, _BASE, dtype=np.uint64)
@@ -51,7 +51,7 @@ def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     word = ~space[raw]
     edge = np.diff(np.concatenate([[False], word, [False]]).astype(np.int8))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    size = 1 << max(16, int(len(raw)).bit_length())
+    size = 1 << max(19, int(len(raw)).bit_length())
     up, down = _powers(size)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[raw] * up[: len(raw)])])
     h = (total[end] - total[start]) * down[start]
