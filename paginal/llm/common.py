@@ -45,9 +45,10 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts lineage.
 
     A lost executor then costs only a re-read, never a recomputation of what
-    led here.
+    led here.  All tables of an application lie in one folder that bears its
+    id, to be removed when it has ended.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/paginal-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
