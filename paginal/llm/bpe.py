@@ -16,7 +16,7 @@ from array import array
 import numpy as np
 
 #: Pre-tokens whose ids a worker remembers; beyond it starts afresh.
-CACHE = 400_000
+CACHE = 250_000
 #: Letters and digits among the characters of the texts that are split here.
 _LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 #: Any character besides printable ASCII, tab, line ends, Latin letters, common punctuation.

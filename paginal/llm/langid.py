@@ -42,7 +42,7 @@ TRAIN_ROWS, CALIBRATION_ROWS = 300, 150
 #: Follow-the-regularised-leader: step, smoothing, elastic-net penalties, epochs, sum of a row's features.
 ALPHA, BETA, L1, L2, EPOCHS, SCALE = 0.5, 1.0, 0.02, 0.5, 4, 30.0
 #: Characters hashed together.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 UNKNOWN = "und"
 
 
