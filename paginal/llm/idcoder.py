@@ -61,26 +61,37 @@ MOST = TOTAL // 2
 RATE = 14
 
 
+#: Greatest mixing weight, and how far a mix of three inputs can reach.
+HEAVIEST = 1 << 18
+REACH = (3 * HEAVIEST * 2047 >> 16) + 1
+
+
 @lru_cache(maxsize=1)
 def _curves() -> tuple[np.ndarray, np.ndarray]:
-    """stretch of 12-bit chances (8 bits of fraction), and squash of -2047..2047 back."""
+    """stretch of 12-bit chances (8 bits of fraction), and squash of -REACH..REACH back."""
     p = (np.arange(4096) + 0.5) / 4096
     stretch = np.clip(np.rint(np.log(p / (1 - p)) * 256), -2047, 2047).astype(np.int64)
-    x = np.arange(-2047, 2048) / 256
+    x = np.clip(np.arange(-REACH, REACH + 1), -2047, 2047) / 256
     squash = np.clip(np.rint(4096 / (1 + np.exp(-x))), 1, 4095).astype(np.int64)
     return stretch, squash
 
 
+#: What becomes of a guess by confidence, without and with a hit: next confidence, whether it stays.
+_LEVELS = np.arange(CONFIDENT + 1)
+NEXT = np.concatenate([np.where(_LEVELS > 1, _LEVELS >> 1, 1), np.minimum(_LEVELS + 1, CONFIDENT)]) << 16
+STAYS = np.concatenate([_LEVELS > 1, _LEVELS >= 0])
+
+
 class Mixer:
     """The adaptive state of a block; encoder and decoder run it alike."""
 
     def __init__(self) -> None:
         self.stretch, self.squash = _curves()
         self.counts = np.ones(IDS, dtype=np.int64)
-        self.next1, self.sure1 = np.zeros(IDS, dtype=np.int64), np.zeros(IDS, dtype=np.int64)
-        self.next2, self.sure2 = np.zeros(SLOTS, dtype=np.int64), np.zeros(SLOTS, dtype=np.int64)
-        # Hits and trials by confidence: order 2, order 1.
-        self.hits, self.trials = np.zeros((2, CONFIDENT + 1), dtype=np.int64), np.zeros((2, CONFIDENT + 1), dtype=np.int64)
+        # Guesses of orders 1 and 2: the id, and above its 16 bits the confidence.
+        self.order1, self.order2 = np.zeros(IDS, dtype=np.int32), np.zeros(SLOTS, dtype=np.int32)
+        # Misses and hits by confidence: order 2, order 1.
+        self.seen = np.zeros((2, 2 * (CONFIDENT + 1)), dtype=np.int64)
         self.weights = np.array([40000, 20000, 5000], dtype=np.int64)
         self.step = 0
         self._refresh()
@@ -93,42 +104,43 @@ class Mixer:
         sums = np.concatenate([[0], np.cumsum(self.counts)])
         spare = (1 << SUM_BITS) - IDS
         self.sums = sums * spare // int(sums[-1]) + np.arange(IDS + 1)
+        self.by0 = self.stretch[(self.sums[1:] - self.sums[:-1]) >> (SUM_BITS - 12)]
 
     def predict(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, ...]:
         """Guesses a and b of each lane and their shares of the scale."""
         self.one = one
         self.slot = ((two * 0x9E3779B1 + one * 0x85EBCA6B) >> 7) & (SLOTS - 1)
-        self.a, self.b = self.next2[self.slot], self.next1[one]
-        self.s2, self.s1 = self.sure2[self.slot], self.sure1[one]
-        chance = (2 * self.hits + 1) * 4095 // (2 * self.trials + 3)
-        by2, by1 = chance[0][self.s2], chance[1][self.s1]
+        guess2, guess1 = self.order2[self.slot], self.order1[one]
+        self.a, self.b, self.s2, self.s1 = guess2 & 0xFFFF, guess1 & 0xFFFF, guess2 >> 16, guess1 >> 16
+        half = CONFIDENT + 1
+        hits, trials = self.seen[:, half:], self.seen[:, half:] + self.seen[:, :half]
+        chance = (2 * hits + 1) * 4095 // (2 * trials + 3)
+        steep = self.stretch[chance]
         same = self.a == self.b
-        by0 = (self.sums[self.a + 1] - self.sums[self.a]) >> (SUM_BITS - 12)
-        self.inputs = np.stack([self.stretch[by2], np.where(same, self.stretch[by1], 0), self.stretch[by0]])
-        mixed = np.clip((self.weights @ self.inputs) >> 16, -2047, 2047)
-        self.chance = self.squash[mixed + 2047]
-        share_a = np.where(self.s2 > 0, self.chance * (GUESSES // 4096), 0)
-        share_b = np.where((self.s1 > 0) & ~((self.s2 > 0) & same), by1 * (GUESSES // 4096), 0)
-        share_b = np.minimum(share_b, GUESSES - share_a)
+        self.inputs = np.stack([steep[0][self.s2], steep[1][self.s1] * same, self.by0[self.a]])
+        w = self.weights
+        mixed = (self.inputs[0] * w[0] + self.inputs[1] * w[1] + self.inputs[2] * w[2]) >> 16
+        self.asked = self.s2 > 0
+        self.chance = self.squash[mixed + REACH] * self.asked
+        share_a = self.chance * (GUESSES // 4096)
+        own = chance[1] * (GUESSES // 4096)
+        own[0] = 0
+        share_b = np.minimum(own[self.s1] * ~(self.asked & same), GUESSES - share_a)
         return self.a, self.b, share_a, share_b
 
     def update(self, ids: np.ndarray) -> None:
         hit2, hit1 = self.a == ids, self.b == ids
-        asked = self.s2 > 0
-        error = np.where(asked, (hit2 << 12) - self.chance, 0)
-        n = int(asked.sum())
+        n = int(self.asked.sum())
         if n:
             # The mean gradient of the lanes moves the weights once a step.
+            error = ((hit2 << 12) - self.chance) * self.asked
             self.weights += (self.inputs @ error) * 4 // n >> (RATE - 12)
-            np.clip(self.weights, -(1 << 18), 1 << 18, out=self.weights)
-        for row, (sure, hit) in enumerate(((self.s2, hit2), (self.s1, hit1))):
-            self.hits[row] += np.bincount(sure[hit], minlength=CONFIDENT + 1)
-            self.trials[row] += np.bincount(sure, minlength=CONFIDENT + 1)
-        for table, sure, at, hit, held in ((self.next2, self.sure2, self.slot, hit2, self.s2), (self.next1, self.sure1, self.one, hit1, self.s1)):
-            kept = hit | (held > 1)
-            sure[at] = np.where(hit, np.minimum(held + 1, CONFIDENT), np.where(kept, held >> 1, 1))
-            fresh = ~kept
-            table[at[fresh]] = ids[fresh]
+            np.clip(self.weights, -HEAVIEST, HEAVIEST, out=self.weights)
+        half = CONFIDENT + 1
+        for row, (table, at, guess, sure, hit) in enumerate(((self.order2, self.slot, self.a, self.s2, hit2), (self.order1, self.one, self.b, self.s1, hit1))):
+            state = sure + half * hit
+            self.seen[row] += np.bincount(state, minlength=2 * half)
+            table[at] = np.where(STAYS[state], guess, ids) | NEXT[state]
         np.add.at(self.counts, ids, GAIN)
         self.step += 1
         if self.step % REFRESH == 0:
