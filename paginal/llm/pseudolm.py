@@ -42,6 +42,8 @@ WORDS = CLASSES * MEMBERS
 LENGTHS = 16
 #: Windows in a training step, step size, rounds, places of which one is trained on in a round.
 STEP_ROWS, RATE, ROUNDS, STRIDE = 2048, 0.15, 2, 8
+#: Windows that are scored together.
+SCORE_ROWS = 1 << 13
 #: Distinct words that a task counts before it passes them on.
 HELD = 200_000
 _WORD = re.compile(r"\w+")
@@ -125,7 +127,7 @@ class Network:
     def log_prob(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log P(target | both sides) of each window."""
         h = self.hidden(context)
-        order = np.argsort(target // MEMBERS, kind="stable")
+        order = np.argsort((target // MEMBERS).astype(np.uint8), kind="stable")
         h, target = h[order], target[order]
         cls = target // MEMBERS
         z = h @ self.cls.T + self.cls_bias
@@ -142,6 +144,9 @@ class Network:
 
 
 def _log_sum(z: np.ndarray) -> np.ndarray:
+    """log of the sum of exponentials of each row."""
+    if -60 < float(z.min(initial=0)) and float(z.max(initial=0)) < 60:
+        return np.log(np.exp(z) @ np.ones(z.shape[1], dtype=z.dtype))
     top = z.max(axis=1)
     return np.log(np.exp(z - top[:, None]).sum(axis=1)) + top
 
@@ -156,7 +161,7 @@ class Trainer:
 
     def step(self, context: np.ndarray, target: np.ndarray) -> None:
         net = self.net
-        order = np.argsort(target // MEMBERS, kind="stable")
+        order = np.argsort((target // MEMBERS).astype(np.uint8), kind="stable")
         context, target = context[order], target[order]
         h = net.hidden(context)
         cls = target // MEMBERS
@@ -178,8 +183,10 @@ class Trainer:
         grad *= 1 - h * h
         # Rows of the embeddings that several windows share are summed first.
         flat = context.reshape(-1)
-        at = np.argsort(flat, kind="stable")
-        rows, first = np.unique(flat[at], return_index=True)
+        at = np.argsort(flat.astype(np.uint16), kind="stable")
+        ordered = flat[at]
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        rows = ordered[first]
         summed = np.add.reduceat(np.repeat(grad, context.shape[1], axis=0)[at], first, axis=0)
         for k, g in enumerate((None, grad.sum(axis=0), cls_grad, cls_bias_grad, out_grad, out_bias_grad)):
             weight, past = list(vars(net).values())[k], self.past[k]
@@ -205,7 +212,7 @@ def windows(texts: list[str | None], vocabulary: Vocabulary) -> tuple[np.ndarray
     return row, context, ids[place]
 
 
-def _groups(texts: list[str | None], size: int = 1 << 20) -> Iterator[slice]:
+def _groups(texts: list[str | None], size: int = 1 << 18) -> Iterator[slice]:
     first = held = 0
     for k, text in enumerate(texts):
         held += len(text or "")
@@ -283,8 +290,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 row, context, target = windows(texts[part], sent.value.vocabulary)
                 size = part.stop - part.start
                 n[part] = np.bincount(row, minlength=size)
-                for a in range(0, len(row), 1 << 15):
-                    cut = slice(a, a + (1 << 15))
+                for a in range(0, len(row), SCORE_ROWS):
+                    cut = slice(a, a + SCORE_ROWS)
                     total[part] += np.bincount(row[cut], weights=sent.value.network.log_prob(context[cut], target[cut]), minlength=size)
             mean = pa.array(np.where(n > 0, total / np.maximum(n, 1), 0.0), mask=n == 0)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(n), pa.array(total), mean], names=[*kept, *added])
