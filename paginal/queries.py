@@ -447,9 +447,9 @@ def candidate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matches(spark, sf_dir, ("the", "of")).select("page_id")
 
 
-@_register("term_postings", f"with {OCC}, {_POST} select page_id, tf, array_to_string(positions, ',') as positions from post where term = 'which'")
+@_register("term_postings", f"with {OCC}, {_POST} select page_id, tf, array_to_string(positions, ',') as positions from post where term = 'of'")
 def term_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = index.postings(_occurrences(spark, sf_dir).where(F.col("term") == "which"))
+    found = index.postings(_occurrences(spark, sf_dir).where(F.col("term") == "of"))
     return found.select("page_id", "tf", F.array_join("positions", ",").alias("positions"))
 
 
