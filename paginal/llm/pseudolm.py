@@ -9,9 +9,11 @@ The vocabulary holds the most frequent words of the whole corpus, counted
 exactly; other words count by their length.
 
 Training: every round, each task starts from the same weights and runs AdaGrad
-over windows of all its documents (every ``stride``-th place, in turn); the
-tasks' weights are averaged, weighted by their windows, in a shuffle.  What is
-gathered so grows with the corpus; the driver sees one set of weights only.
+over windows of all its documents (every ``stride``-th place of a document,
+another one each round); the tasks' weights are averaged, weighted by their
+windows, in a shuffle.  With as many rounds as the stride, the default, every
+window of the corpus is trained on exactly once.  What is gathered so grows
+with the corpus; the driver sees one set of weights only.
 
 Defined results
 ---------------
@@ -40,8 +42,10 @@ CLASSES, MEMBERS, HIDDEN, SIDE = 32, 64, 16, 2
 WORDS = CLASSES * MEMBERS
 #: Lengths that tell unknown words apart.
 LENGTHS = 16
-#: Windows in a training step, step size, rounds, places of which one is trained on in a round.
-STEP_ROWS, RATE, ROUNDS, STRIDE = 2048, 0.15, 2, 8
+#: Windows in a training step, step size, rounds.
+STEP_ROWS, RATE, ROUNDS = 2048, 0.15, 2
+#: Places of which one is trained on in a round: all rounds together take every place.
+STRIDE = ROUNDS
 #: Windows that are scored together.
 SCORE_ROWS = 1 << 13
 #: Distinct words that a task counts before it passes them on.
@@ -143,6 +147,15 @@ class Network:
         return out
 
 
+def _softmax(z: np.ndarray) -> np.ndarray:
+    """Each row's shares, in the place of ``z``."""
+    if not (-60 < float(z.min(initial=0)) and float(z.max(initial=0)) < 60):
+        z -= z.max(axis=1)[:, None]
+    np.exp(z, out=z)
+    z *= (1 / (z @ np.ones(z.shape[1], dtype=z.dtype)))[:, None]
+    return z
+
+
 def _log_sum(z: np.ndarray) -> np.ndarray:
     """log of the sum of exponentials of each row."""
     if -60 < float(z.min(initial=0)) and float(z.max(initial=0)) < 60:
@@ -166,20 +179,22 @@ class Trainer:
         h = net.hidden(context)
         cls = target // MEMBERS
         z = h @ net.cls.T + net.cls_bias
-        p = np.exp(z - _log_sum(z)[:, None])
+        p = _softmax(z)
         p[np.arange(len(p)), cls] -= 1
         grad = p @ net.cls
         cls_grad, cls_bias_grad = p.T @ h, p.sum(axis=0)
         out_grad, out_bias_grad = np.zeros_like(net.out), np.zeros_like(net.out_bias)
-        bounds = np.searchsorted(cls, np.arange(CLASSES + 1))
+        bounds = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
+        at = np.arange(len(target)) * MEMBERS + target % MEMBERS
         for c, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
             if a < b:
                 part = slice(c * MEMBERS, (c + 1) * MEMBERS)
-                z = h[a:b] @ net.out[part].T + net.out_bias[part]
-                p = np.exp(z - _log_sum(z)[:, None])
-                p[np.arange(b - a), target[a:b] - c * MEMBERS] -= 1
+                z = h[a:b] @ net.out[part].T
+                z += net.out_bias[part]
+                p = _softmax(z)
+                p.reshape(-1)[at[a:b] - a * MEMBERS] -= 1
                 grad[a:b] += p @ net.out[part]
-                out_grad[part], out_bias_grad[part] = p.T @ h[a:b], p.sum(axis=0)
+                out_grad[part], out_bias_grad[part] = p.T @ h[a:b], np.ones(b - a, p.dtype) @ p
         grad *= 1 - h * h
         # Rows of the embeddings that several windows share are summed first.
         flat = context.reshape(-1)
@@ -187,7 +202,7 @@ class Trainer:
         ordered = flat[at]
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         rows = ordered[first]
-        summed = np.add.reduceat(np.repeat(grad, context.shape[1], axis=0)[at], first, axis=0)
+        summed = np.add.reduceat(grad[at // context.shape[1]], first, axis=0)
         for k, g in enumerate((None, grad.sum(axis=0), cls_grad, cls_bias_grad, out_grad, out_bias_grad)):
             weight, past = list(vars(net).values())[k], self.past[k]
             if g is None:
@@ -199,20 +214,37 @@ class Trainer:
         self.windows += len(target)
 
 
+def word_ids(texts: list[str | None], vocabulary: Vocabulary) -> list[list[int]]:
+    return [list(map(vocabulary.__getitem__, _WORD.findall(t.lower()))) if t else [] for t in texts]
+
+
 def windows(texts: list[str | None], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, context, target) of every word of the texts; a context never leaves its text."""
-    lists = [list(map(vocabulary.__getitem__, _WORD.findall(t.lower()))) if t else [] for t in texts]
+    lists = word_ids(texts, vocabulary)
     counts = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-    row = np.repeat(np.arange(len(lists)), counts)
-    ids = np.full(len(row) + SIDE * (len(lists) + 1), PAD, dtype=np.int64)
+    return _around(np.array([i for part in lists for i in part], dtype=np.int64), counts)
+
+
+def _around(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, context, target) of texts whose ids follow each other in ``words``."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    ids = np.full(len(row) + SIDE * (len(counts) + 1), PAD, dtype=np.int64)
     place = np.arange(len(row)) + SIDE * (row + 1)
-    ids[place] = [i for part in lists for i in part]
+    ids[place] = words
     shifts = [*range(-SIDE, 0), *range(1, SIDE + 1)]
     context = np.stack([ids[place + s] + k * (WORDS + 1) for k, s in enumerate(shifts)], axis=1) if len(row) else np.zeros((0, 2 * SIDE), np.int64)
-    return row, context, ids[place]
+    return row, context, words
+
 
+def round_windows(coded: list[bytes], number: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
+    """(context, target) of the places of each text that round ``number`` takes."""
+    counts = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded)) // 2
+    row, context, target = _around(np.frombuffer(b"".join(coded), dtype=np.uint16).astype(np.int64), counts)
+    taken = (np.arange(len(row)) - (np.cumsum(counts) - counts)[row]) % stride == number % stride
+    return context[taken], target[taken]
 
-def _groups(texts: list[str | None], size: int = 1 << 18) -> Iterator[slice]:
+
+def _groups(texts: list[str | bytes | None], size: int = 1 << 18) -> Iterator[slice]:
     first = held = 0
     for k, text in enumerate(texts):
         held += len(text or "")
@@ -241,22 +273,35 @@ def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, stride: i
     for r in rest.groupBy(F.least(F.length("word"), F.lit(LENGTHS)).alias("k")).agg(F.sum("n").alias("n")).collect():
         known[r["k"] - 1] = r["n"]
     network = Network.fresh(known)
+    coded = written(_coded(source, vocabulary), "ids") if rounds else None
     for number in range(rounds):
-        network = _round(source, vocabulary, network, number, stride)
+        network = _round(coded, network, number, stride)
     return Model(vocabulary, network)
 
 
-def _round(source: DataFrame, vocabulary: Vocabulary, network: Network, number: int, stride: int) -> Network:
-    sent = source.sparkSession.sparkContext.broadcast((vocabulary, network))
+def _coded(source: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(ids) of every text, two bytes a word: rounds read them and find no words again."""
+    sent = source.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for part in _groups(texts):
+                coded = [np.array(ids, dtype=np.uint16).tobytes() for ids in word_ids(texts[part], sent.value)]
+                yield pa.RecordBatch.from_arrays([pa.array(coded, pa.binary())], names=["ids"])
+
+    return source.mapInArrow(code, "ids binary")
+
+
+def _round(coded: DataFrame, network: Network, number: int, stride: int) -> Network:
+    sent = coded.sparkSession.sparkContext.broadcast(network)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, start = sent.value
-        trainer = Trainer(start.copy())
+        trainer = Trainer(sent.value.copy())
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for part in _groups(texts):
-                _, context, target = windows(texts[part], words)
-                context, target = context[number::stride], target[number::stride]
+                context, target = round_windows(texts[part], number, stride)
                 for a in range(0, len(target), STEP_ROWS):
                     trainer.step(context[a : a + STEP_ROWS], target[a : a + STEP_ROWS])
         if trainer.windows:
@@ -266,7 +311,7 @@ def _round(source: DataFrame, vocabulary: Vocabulary, network: Network, number:
                 [pa.array(np.arange(len(rows), dtype=np.int32)), pa.array(np.full(len(rows), float(trainer.windows))), flat], names=["row", "n", "v"]
             )
 
-    parts = source.mapInArrow(train, "row int, n double, v array<float>")
+    parts = coded.mapInArrow(train, "row int, n double, v array<float>")
     means = parts.groupBy("row").agg(F.sum("n").alias("n"), *(F.sum(F.col("v")[k] * F.col("n")).alias(f"v{k}") for k in range(HIDDEN)))
     rows = network.rows().astype(np.float64)
     for r in means.collect():

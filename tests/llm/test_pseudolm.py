@@ -82,3 +82,32 @@ def test_odd_rows(spark, model):
 def test_counts(spark):
     df = spark.createDataFrame([(1, "A a b"), (2, None), (3, "b, c!")], "doc_id long, text string")
     assert sorted(map(tuple, M.count_words(df).collect())) == [("a", 2), ("b", 2), ("c", 1)]
+
+
+def test_defaults_train_on_every_window(spark):
+    """Over the rounds of the production defaults, every place of every text is a target exactly once."""
+    texts = [None, "", "one", *sentences(20, 4)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    seen, plain = [], M._round
+
+    def watched(coded, network, number, stride):
+        rows = [bytes(r["ids"]) for r in coded.collect()]
+        for r in rows:
+            context, target = M.round_windows([r], number, stride)
+            seen.extend(map(tuple, np.column_stack([context, target]).tolist()))
+        assert sum(len(M.round_windows([r], number, stride)[1]) for r in rows) == len(M.round_windows(rows, number, stride)[1])
+        return plain(coded, network, number, stride)
+
+    M._round = watched
+    try:
+        fitted = M.fit(df)
+    finally:
+        M._round = plain
+    _, context, target = M.windows(texts, fitted.vocabulary)
+    assert sorted(seen) == sorted(map(tuple, np.column_stack([context, target]).tolist()))
+
+
+def test_defaults_learn(spark):
+    df = spark.createDataFrame(list(enumerate(sentences(300))), "doc_id long, text string").repartition(3)
+    mean = lambda m: np.mean([r["mean_log_prob"] for r in M.score(df, m).collect()])
+    assert mean(M.fit(df)) > mean(M.fit(df, rounds=0)) + 0.3
