@@ -6,7 +6,9 @@ the log-probabilities of all words of a document sum to its score.
 Network: embeddings for each place of the window, their sum through tanh, and
 a softmax in two steps (class of the word, word in its class), all in numpy.
 The vocabulary holds the most frequent words of the whole corpus, counted
-exactly; other words count by their length.
+exactly.  The network predicts other words, and sees them as neighbours, by
+their length; which word of that length it is, a model of spelling says: every
+byte by the two before it, from the counts of all those words.
 
 Training: every round, each task starts from the same weights and runs AdaGrad
 over windows of all its documents (every ``stride``-th place of a document,
@@ -19,7 +21,9 @@ Defined results
 ---------------
 * A text that is null or has no word has n_tokens 0, log_prob 0 and a null mean.
 * Whole texts count; repeated rows score alike.
-* Columns named n_tokens, log_prob and mean_log_prob are replaced.
+* log_prob and its mean are the network's; spelling_log_prob is of the words outside the vocabulary, each
+  given its length.  Their sum is the log-probability of the whole text, word for word.
+* Columns named n_tokens, log_prob, mean_log_prob and spelling_log_prob are replaced.
 * Averages are sums of floats: scores agree between runs to about 1e-6.
 """
 
@@ -29,9 +33,11 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +56,9 @@ STRIDE = ROUNDS
 SCORE_ROWS = 1 << 13
 #: Distinct words that a task counts before it passes them on.
 HELD = 200_000
+#: Byte before the first of a word; classes of the second byte before; weight of the shorter context.
+START, SORTS, SHORTER = 256, 16, 4.0
+CODES = (START + 1) * SORTS * 256
 _WORD = re.compile(r"\w+")
 PAD = WORDS
 
@@ -84,6 +93,66 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.col(text_col).cast("string")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _spelled(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code of every byte after the two before it, bytes of every word); no word is empty."""
+    size = pc.binary_length(pa.array(words, pa.string())).to_numpy(zero_copy_only=False).astype(np.int64)
+    data = np.frombuffer("".join(words).encode(), dtype=np.uint8).astype(np.int64)
+    first = np.cumsum(size) - size
+    one, two = np.full(len(data), START), np.full(len(data), START)
+    one[1:], two[2:] = data[:-1], data[:-2]
+    one[first] = two[first] = START
+    two[first[size > 1] + 1] = START
+    return (one * SORTS + (two * 7 + (two >> 4)) % SORTS) * 256 + data, size
+
+
+@dataclass
+class Spelling:
+    """log P of every byte by context, and the chance that a word of LENGTHS characters and more ends after each."""
+
+    table: np.ndarray
+    ends: float
+
+    @staticmethod
+    def of(counts: np.ndarray, long_words: float, further: float) -> Spelling:
+        n = counts.reshape(START + 1, SORTS, 256).astype(np.float64)
+        pairs = n.sum(axis=1)
+        p = (pairs.sum(axis=0) + 1) / (pairs.sum() + 256)
+        p = (pairs + SHORTER * p) / (pairs.sum(axis=1, keepdims=True) + SHORTER)
+        p = (n + SHORTER * p[:, None]) / (n.sum(axis=2, keepdims=True) + SHORTER)
+        return Spelling(np.log(p).astype(np.float32).reshape(-1), (long_words + 1) / (long_words + further + 2))
+
+    def log_prob(self, words: list[str]) -> np.ndarray:
+        """log P(word | its length, or that it has LENGTHS characters and more) of each word."""
+        if not words:
+            return np.zeros(0)
+        codes, size = _spelled(words)
+        total = np.add.reduceat(self.table[codes].astype(np.float64), np.cumsum(size) - size)
+        further = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) - LENGTHS
+        return total + np.where(further < 0, 0.0, further * np.log1p(-self.ends) + np.log(self.ends))
+
+
+def learn_spelling(counted: DataFrame) -> Spelling:
+    """Spelling of the words of (word, n); what is collected is bounded by the contexts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(CODES + 2, dtype=np.int64)
+        for batch in batches:
+            words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
+            if words:
+                codes, size = _spelled(words)
+                np.add.at(held, codes, np.repeat(n, size))
+                further = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) - LENGTHS
+                held[CODES] += n[further >= 0].sum()
+                held[CODES + 1] += (n * np.maximum(further, 0)).sum()
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(held[some])], names=["code", "n"])
+
+    counts = np.zeros(CODES + 2, dtype=np.int64)
+    found = counted.select("word", "n").mapInArrow(count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    counts[found.column("code").to_numpy()] = found.column("n").to_numpy()
+    return Spelling.of(counts[:CODES], float(counts[CODES]), float(counts[CODES + 1]))
+
+
 @dataclass
 class Network:
     """Window embeddings (places x words + pad, hidden), hidden bias, class and word outputs with biases."""
@@ -214,15 +283,22 @@ class Trainer:
         self.windows += len(target)
 
 
+def found_words(texts: list[str | None]) -> list[list[str]]:
+    return [_WORD.findall(t.lower()) if t else [] for t in texts]
+
+
 def word_ids(texts: list[str | None], vocabulary: Vocabulary) -> list[list[int]]:
-    return [list(map(vocabulary.__getitem__, _WORD.findall(t.lower()))) if t else [] for t in texts]
+    return [list(map(vocabulary.__getitem__, words)) for words in found_words(texts)]
 
 
 def windows(texts: list[str | None], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, context, target) of every word of the texts; a context never leaves its text."""
-    lists = word_ids(texts, vocabulary)
-    counts = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-    return _around(np.array([i for part in lists for i in part], dtype=np.int64), counts)
+    return _windows(found_words(texts), vocabulary)
+
+
+def _windows(found: list[list[str]], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+    return _around(np.array([vocabulary[w] for words in found for w in words], dtype=np.int64), counts)
 
 
 def _around(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -257,10 +333,11 @@ def _groups(texts: list[str | bytes | None], size: int = 1 << 18) -> Iterator[sl
 class Model:
     vocabulary: Vocabulary
     network: Network
+    spelling: Spelling
 
 
 def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, stride: int = STRIDE) -> Model:
-    """Vocabulary and network of a corpus."""
+    """Vocabulary, network and spelling of a corpus."""
     spark = docs.sparkSession
     small_batches(spark)
     source = docs.select(F.col(text_col).cast("string").alias("text"))
@@ -276,7 +353,7 @@ def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, stride: i
     coded = written(_coded(source, vocabulary), "ids") if rounds else None
     for number in range(rounds):
         network = _round(coded, network, number, stride)
-    return Model(vocabulary, network)
+    return Model(vocabulary, network, learn_spelling(rest))
 
 
 def _coded(source: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -320,25 +397,30 @@ def _round(coded: DataFrame, network: Network, number: int, stride: int) -> Netw
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Adds n_tokens, log_prob (natural) and mean_log_prob of every whole text."""
+    """Adds n_tokens, log_prob (natural), mean_log_prob and spelling_log_prob of every whole text."""
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    added = ("n_tokens", "log_prob", "mean_log_prob")
+    added = ("n_tokens", "log_prob", "mean_log_prob", "spelling_log_prob")
     kept = [c for c in docs.columns if c not in added]
-    schema = docs.select(*kept, F.lit(0).cast("long").alias(added[0]), F.lit(0.0).alias(added[1]), F.lit(None).cast("double").alias(added[2])).schema
+    number, share = F.lit(0).cast("long"), F.lit(0.0)
+    schema = docs.select(*kept, number.alias(added[0]), share.alias(added[1]), F.lit(None).cast("double").alias(added[2]), share.alias(added[3])).schema
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("__text").to_pylist()
-            n, total = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts))
+            n, total, spelled = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts)), np.zeros(len(texts))
             for part in _groups(texts):
-                row, context, target = windows(texts[part], sent.value.vocabulary)
+                found = found_words(texts[part])
+                row, context, target = _windows(found, sent.value.vocabulary)
                 size = part.stop - part.start
+                rare = target < LENGTHS
+                words = list(compress(chain.from_iterable(found), rare.tolist()))
+                spelled[part] = np.bincount(row[rare], weights=sent.value.spelling.log_prob(words), minlength=size)
                 n[part] = np.bincount(row, minlength=size)
                 for a in range(0, len(row), SCORE_ROWS):
                     cut = slice(a, a + SCORE_ROWS)
                     total[part] += np.bincount(row[cut], weights=sent.value.network.log_prob(context[cut], target[cut]), minlength=size)
             mean = pa.array(np.where(n > 0, total / np.maximum(n, 1), 0.0), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(n), pa.array(total), mean], names=[*kept, *added])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(n), pa.array(total), mean, pa.array(spelled)], names=[*kept, *added])
 
     return docs.select(*kept, F.col(text_col).cast("string").alias("__text")).mapInArrow(read, schema)

@@ -55,9 +55,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Masked pseudo-likelihood of every document, by a network trained on all of them."""
+    """Masked pseudo-likelihood of every document, word for word, by a network and a spelling trained on all of them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudolm.score(docs, pseudolm.fit(docs)).select("doc_id", "n_tokens", "log_prob", "mean_log_prob")
+    whole = F.col("log_prob") + F.col("spelling_log_prob")
+    mean = F.when(F.col("n_tokens") > 0, whole / F.col("n_tokens"))
+    return pseudolm.score(docs, pseudolm.fit(docs)).select("doc_id", "n_tokens", whole.alias("log_prob"), mean.alias("mean_log_prob"))
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

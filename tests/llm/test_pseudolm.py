@@ -111,3 +111,36 @@ def test_defaults_learn(spark):
     df = spark.createDataFrame(list(enumerate(sentences(300))), "doc_id long, text string").repartition(3)
     mean = lambda m: np.mean([r["mean_log_prob"] for r in M.score(df, m).collect()])
     assert mean(M.fit(df)) > mean(M.fit(df, rounds=0)) + 0.3
+
+
+def test_spelling_sums_to_one():
+    """Over all words of one and of two ASCII characters, and over the lengths of long words."""
+    chars = [chr(c) for c in range(128)]
+    counts = np.zeros(M.CODES)
+    codes, _ = M._spelled(["table", "cable", "tablet"] * 1000)
+    np.add.at(counts, codes, 1)
+    s = M.Spelling.of(counts, 3.0, 5.0)
+    p = np.exp(s.table.astype(np.float64)).reshape(-1, 256).sum(axis=1)
+    assert np.abs(p - 1).max() < 1e-4
+    assert 0.9 < np.exp(s.log_prob([a + b for a in chars for b in chars])).sum() < 1
+    assert s.log_prob(["table"])[0] > s.log_prob(["qxzjv"])[0] + 20
+    further = np.exp(np.arange(200) * np.log1p(-s.ends) + np.log(s.ends)).sum()
+    assert abs(further - 1) < 1e-6
+    plain = sum(s.table[c] for c in M._spelled(["\u0643a" * 9])[0]) + 2 * np.log1p(-s.ends) + np.log(s.ends)
+    assert abs(s.log_prob(["x", "\u0643a" * 9, "y"])[1] - plain) < 1e-4
+
+
+def test_query_tells_rare_words_apart(spark, tmp_path):
+    """More words than the vocabulary holds: a rare word and gibberish of its length score apart."""
+    from paginal.llm.queries import op5_pseudo_likelihood
+
+    r = random.Random(2)
+    common = [a + b + c + d for a in "bdfgklm" for b in "aeiou" for c in "prstvnl" for d in ("a", "e", "i", "o", "u", "an", "en", "in", "on")]
+    assert len(common) > M.WORDS
+    texts = [" ".join(common * 2), " ".join("rare" + a + b for a in "bdfg" for b in "aeiou")] + [f"{r.choice(common)} {w} {r.choice(common)}" for w in ("rareba", "qzxwvj")]
+    texts[3] = texts[2].replace("rareba", "qzxwvj")
+    spark.createDataFrame(list(enumerate([*texts, None])), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in op5_pseudo_likelihood(spark, str(tmp_path)).collect()}
+    assert got[2]["n_tokens"] == got[3]["n_tokens"] == 3 and got[2]["log_prob"] > got[3]["log_prob"] + 2
+    assert abs(got[2]["mean_log_prob"] - got[2]["log_prob"] / 3) < 1e-9
+    assert (got[4]["n_tokens"], got[4]["log_prob"], got[4]["mean_log_prob"]) == (0, 0.0, None)
