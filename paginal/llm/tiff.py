@@ -297,7 +297,15 @@ def _piece(data: bytes, at: int, size: int, shape: tuple[int, int, int], compres
 
 
 def read_pages(data: bytes) -> Iterator[Page]:
-    """The pages of a TIFF file, in the order of its directories."""
+    """The pages of a TIFF file, in the order of its directories; the first that can't be read raises."""
+    for page in each_page(data):
+        if isinstance(page, ValueError):
+            raise page
+        yield page
+
+
+def each_page(data: bytes) -> Iterator[Page | ValueError]:
+    """Each directory's page, or why it can't be read; raises where the chain of directories breaks off."""
     try:
         order = {b"II": "<", b"MM": ">"}.get(data[:2])
         if order is None or struct.unpack_from(order + "H", data, 2)[0] != 42:
@@ -309,7 +317,13 @@ def read_pages(data: bytes) -> Iterator[Page]:
                 raise ValueError("the chain of directories is a circle")
             seen.add(at)
             tags, at = _directory(data, at, order)
-            yield _page(data, tags)
+            try:
+                page = _page(data, tags)
+            except (struct.error, KeyError, IndexError) as e:
+                page = ValueError(f"damaged TIFF: {e!r}")
+            except ValueError as e:
+                page = e
+            yield page
     except (struct.error, KeyError, IndexError) as e:
         raise ValueError(f"damaged TIFF: {e!r}") from e
 
@@ -373,11 +387,19 @@ def text_to_media(docs: DataFrame, text_col: str = "text") -> DataFrame:
 PAGE_SCHEMA = "page int, pages int, width int, height int, channels int, compression int, pixels binary, error string"
 
 
+def _page_row(p: Page | ValueError) -> dict:
+    if isinstance(p, ValueError):
+        return {"width": None, "height": None, "channels": None, "compression": None, "pixels": None, "error": str(p)}
+    return {"width": p.width, "height": p.height, "channels": p.channels, "compression": p.compression, "pixels": p.samples.tobytes(), "error": None}
+
+
 def media_pages(media: DataFrame, media_col: str = "media") -> DataFrame:
     """One row per page of every media file, with the decoded samples.
 
-    Other columns repeat on every page.  A null or damaged file gives one row
-    with page 0, null pixels and the reason in ``error``.
+    Other columns repeat on every page.  A page that can't be read has null
+    pixels and the reason in ``error``; the others stay.  Where the chain of
+    directories breaks off, as in a null or damaged file, one such row follows
+    the pages before, and ``pages`` counts the directories that were found.
     """
     own = {x.split()[0] for x in PAGE_SCHEMA.split(", ")}
     kept = [c for c in media.columns if c not in own]
@@ -389,17 +411,21 @@ def media_pages(media: DataFrame, media_col: str = "media") -> DataFrame:
             index: list[int] = []
             found: list[dict] = []
             for k in range(batch.num_rows):
+                got: list[dict] = []
+                broken = None
                 try:
                     data = files[k].as_py()
                     if data is None:
                         raise ValueError("no file")
-                    pages = list(read_pages(data))
-                    got = [
-                        {"page": i, "pages": len(pages), "width": p.width, "height": p.height, "channels": p.channels, "compression": p.compression, "pixels": p.samples.tobytes(), "error": None}
-                        for i, p in enumerate(pages)
-                    ]
+                    for p in each_page(data):
+                        got.append(_page_row(p))
                 except ValueError as e:
-                    got = [{"page": 0, "pages": 0, "width": None, "height": None, "channels": None, "compression": None, "pixels": None, "error": str(e)}]
+                    broken = e
+                pages = len(got)
+                if broken:
+                    got.append(_page_row(broken))
+                for i, row in enumerate(got):
+                    row |= {"page": i, "pages": pages}
                 index += [k] * len(got)
                 found += got
             rows = pa.array(index, pa.int64())

@@ -1,4 +1,5 @@
 import hashlib
+import struct
 import zlib
 
 import numpy as np
@@ -81,3 +82,26 @@ def test_one_row_per_page(spark):
     rows = sorted(tiff.media_pages(df).collect(), key=lambda r: (r["id"], r["page"]))
     assert [(r["id"], r["page"], r["pages"], r["width"], r["height"]) for r in rows] == [(1, 0, 2, 3, 2), (1, 1, 2, 1, 1), (2, 0, 0, None, None), (3, 0, 0, None, None)]
     assert bytes(rows[0]["pixels"]) == bytes([7] * 6) and rows[0]["error"] is None and rows[3]["error"]
+
+
+def test_good_pages_beside_a_bad_one(spark):
+    """A page of 16-bit samples, and a chain that breaks off, cost no other page."""
+    data = tiff.write_tiff([np.full((2, 2, 1), k, np.uint8) for k in (5, 6, 7)])
+    order = {b"II": "<", b"MM": ">"}[data[:2]]
+    starts, (at,) = [], struct.unpack_from(order + "I", data, 4)
+    while at:
+        starts.append(at)
+        _, at = tiff._directory(data, at, order)
+    entries = {k: struct.unpack_from(order + "H", data, k)[0] for k in starts}
+    deep, broken = bytearray(data), bytearray(data)
+    for e in range(entries[starts[1]]):
+        place = starts[1] + 2 + 12 * e
+        if struct.unpack_from(order + "H", data, place)[0] == tiff.BITS:
+            struct.pack_into(order + "H", deep, place + 8, 16)
+    struct.pack_into(order + "I", broken, starts[1] + 2 + 12 * entries[starts[1]], len(data) + 100)
+    df = spark.createDataFrame([(1, bytes(deep)), (2, bytes(broken))], "id int, media binary")
+    rows = sorted(tiff.media_pages(df).collect(), key=lambda r: (r["id"], r["page"]))
+    assert [(r["id"], r["page"], r["pages"], r["pixels"] and r["pixels"][0], r["error"] is None) for r in rows] == [
+        (1, 0, 3, 5, True), (1, 1, 3, None, False), (1, 2, 3, 7, True), (2, 0, 2, 5, True), (2, 1, 2, 6, True), (2, 2, 2, None, False),
+    ]
+    assert "8 bits" in rows[1]["error"]
