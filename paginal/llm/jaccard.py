@@ -348,8 +348,8 @@ def _sizes_fit(a: str, b: str, percent: int) -> Column:
     return (F.lit(100) * F.col(a) >= F.lit(percent) * F.col(b)) & (F.lit(100) * F.col(b) >= F.lit(percent) * F.col(a))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, class_id (least id of equal sets), component_id of every row."""
+def _shared(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> tuple[DataFrame, object, DataFrame, DataFrame, DataFrame]:
+    """Rows, the sent sketch, each row's prefix, classes, and the postings of edges with two sets at least."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -365,6 +365,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Edges with two sets at least.
     edges = postings.groupBy(F.col("g").alias("h")).agg(F.count("*").alias("m")).where(F.col("m") > 1)
     shared = written(postings.join(edges, F.col("g") == F.col("h")).select("g", "id", "n", "at", "m"), "postings")
+    return rows, sent, own, classes, shared
+
+
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
+    """(x, y) of all pairs of classes, by their class_id, that have the similarity; x < y, each pair once.
+
+    Documents of one class are equal and not listed: with class_id of
+    ``jaccard_components`` the links are those of all documents.  The result
+    has all pairs of near copies, so it can grow with the square of a group.
+    """
+    rows, sent, _, _, shared = _shared(docs, id_col, text_col, width, percent)
+    apart = docs.sparkSession.createDataFrame([], "v long, c long")
+    found = _verified(_rest(shared.drop("m"), apart, percent), rows, sent, width, percent)
+    return found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, class_id (least id of equal sets), component_id of every row."""
+    spark = docs.sparkSession
+    rows, sent, own, classes, shared = _shared(docs, id_col, text_col, width, percent)
     hot = shared.where(F.col("m") >= HOT)
     # What shares most is nearest to the middle of a group of near copies.
     weight = hot.groupBy(F.col("id").alias("w")).agg(F.sum("m").alias("pull"))

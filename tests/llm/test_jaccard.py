@@ -90,3 +90,18 @@ def test_components(spark):
             parent[max(x, y)] = min(x, y)
     got = {row["v"]: row["c"] for row in connected_components(spark.createDataFrame(pairs, "x long, y long")).collect()}
     assert got == {v: find(v) for v in parent}
+
+
+def test_links_are_all_pairs(spark):
+    """Also those inside a group of near copies, which the components alone don't need."""
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join([*words[:k], "other", *words[k + 1 :]]) for k in range(0, 12)] + [" ".join(words)] * 2 + ["w1 w2", "", None]
+    rows = list(enumerate(texts))
+    got = sorted(map(tuple, jaccard.jaccard_links(spark.createDataFrame(rows, "doc_id long, text string"), width=2, percent=90).collect()))
+    sets, first = {}, {}
+    for i, t in rows:
+        s = plain_shingles(t, 2)
+        if s and first.setdefault(s, i) == i:
+            sets[i] = s
+    want = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])]
+    assert got == want and len(want) > len(sets)
