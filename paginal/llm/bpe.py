@@ -4,7 +4,8 @@ A worker keeps the ids of the pre-tokens that it has met (a bounded cache) and
 gives unknown ones to the library's model, one by one.  This is exact:
 byte-level BPE never merges across pre-tokens.  Texts are split here by the
 tokenizer's own pattern, written out for well-known Latin characters; a text
-with any other character goes to the library whole.
+with any other character, or with the string of an added token, goes to the
+library whole.
 """
 
 from __future__ import annotations
@@ -67,7 +68,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = map(re.escape, sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True))
+        self.whole = re.compile("|".join([ODD.pattern, *added]))
         self.known = _Known(self.tokenizer.model)
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -81,7 +83,7 @@ class Encoder:
         for text in texts:
             if not text:
                 out.append(b"")
-            elif ODD.search(text):
+            elif self.whole.search(text):
                 out += self._library([text])
             else:
                 out.append(b"".join(map(get, split(text))))

@@ -11,9 +11,7 @@ from paginal.llm import bpe, packing
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(bpe.default_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(bpe.default_path())
 
 
 TEXTS = [None, "", "a", "the cat sat " * 900, "x" * 5000, "the cat sat", "the cat sat", "日本語 text 😀", "<|endoftext|> is text", " \n\n a\t\x00b "] + [f"number {i} " * (i % 40) for i in range(120)]
