@@ -19,7 +19,6 @@ Defined results
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,21 +39,19 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     """doc_id, start, length, doc_tokens, ids (32-bit little-endian) of every piece."""
     small_batches(docs.sparkSession)
     path = tokenizer or bpe.default_path()
-    end = struct.pack("<I", end_id)
-    wide = size * bpe.WIDTH
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = bpe.encoder(path)
         for batch in batches:
-            rows: tuple[list, list, list, list, list] = ([], [], [], [], [])
-            for doc, got in zip(batch.column("id").to_pylist(), encode.ids(batch.column("text").to_pylist())):
-                ids = got + end
-                for at in range(0, len(ids), wide):
-                    part = ids[at : at + wide]
-                    for column, value in zip(rows, (doc, at // bpe.WIDTH, len(part) // bpe.WIDTH, len(ids) // bpe.WIDTH, part)):
-                        column.append(value)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, types)], names=["doc_id", "start", "length", "doc_tokens", "ids"])
+            for rows, ids, counts in encode.runs(batch.column("text")):
+                flat, sizes = bpe.ended(ids, counts, end_id)
+                n = -(-sizes // size)
+                which = np.repeat(np.arange(len(sizes)), n)
+                start = (np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)) * size
+                length = np.minimum(sizes[which] - start, size)
+                doc = batch.column("id").slice(rows.start, len(sizes)).take(pa.array(which))
+                columns = [doc, pa.array(start), pa.array(length), pa.array(sizes[which]), bpe.binary(flat, length)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "doc_tokens", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, ids binary")

@@ -53,6 +53,14 @@ def test_pack(spark, docs, tokenizer):
         assert ids[r["offset"] : r["offset"] + r["length"]].tolist() == want[r["doc_id"]][r["start"] : r["start"] + r["length"]]
 
 
+def test_repeated_rows_and_batches(spark, docs, tokenizer):
+    df = docs(["same text " * 300] * 5 + [None] * 3)
+    rows = packing.pack(df.selectExpr("1L as doc_id", "text")).collect()
+    assert sum(r["length"] for r in rows) == 5 * (len(tokenizer.encode("same text " * 300).ids) + 1) + 3
+    places = sorted((r["sequence_id"], r["offset"], r["length"]) for r in rows)
+    assert all(a[0] != b[0] or a[1] + a[2] == b[1] for a, b in zip(places, places[1:]))
+
+
 def test_empty_table(spark, docs):
     assert packing.pack(docs(["a"]).limit(0)).count() == 0
 
@@ -86,6 +94,45 @@ def test_encoder_equals_the_library(tokenizer):
     r = random.Random(2)
     alphabet = ["a", "B", "é", " ", "  ", "\n", "\t", "'s", "'ll", "1", "²", ".", ",", "!", "\xa0", "ß", "the", "—", "日", "😀", "\x85", "\x1c", "٣"]
     texts = ["".join(r.choices(alphabet, k=r.randrange(30))) for _ in range(3000)]
-    got = bpe.Encoder(bpe.default_path()).ids(texts)
-    want = [np.array(x.ids, dtype="<u4").tobytes() for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert got == want
+    texts += ["a<|endoftext|>b", "<|endoftext|>", "<|endoftext| >", None, ""]
+    assert bpe.Encoder(bpe.default_path()).ids(texts) == plain_ids(tokenizer, texts)
+
+
+def plain_ids(tokenizer, texts):
+    return [np.array(x.ids, dtype="<u4").tobytes() for x in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+def test_long_texts_are_cut_exactly(tokenizer, monkeypatch):
+    r = random.Random(3)
+    words = ["a", "the", "'s", "don't", "1999", "été", "  ", "\n\n", "x" * 40, "—", "!?", " ", "日本", "<|endoftext|>"]
+    monkeypatch.setattr(bpe, "CHUNK", 64)
+    texts = [" ".join(r.choices(words[:11], k=500)) for _ in range(20)] + [" ".join(r.choices(words, k=300)) for _ in range(5)] + ["y" * 1000, " " * 1000]
+    assert bpe.Encoder(bpe.default_path()).ids(texts) == plain_ids(tokenizer, texts)
+
+
+def test_a_worker_that_starts_afresh(tokenizer, monkeypatch):
+    monkeypatch.setattr(bpe, "HELD_IDS", 20)
+    encode = bpe.Encoder(bpe.default_path())
+    for k in range(5):
+        texts = [f"word{k} and {j} others{j}{k}" for j in range(50)]
+        assert encode.ids(texts) == plain_ids(tokenizer, texts)
+
+
+def test_other_forms_go_to_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["The cat's hat", "  A\n b", "", "<|endoftext|> c", "é 12"]
+    encode = bpe.Encoder(path)
+    assert not encode.known_form
+    assert encode.ids(texts) == plain_ids(Tokenizer.from_file(path), texts)
+
+
+def test_special_strings_as_text():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.default_path())
+    t.encode_special_tokens = True
+    texts = ["a<|endoftext|>b", "x"]
+    assert bpe.Encoder(bpe.default_path(), special_as_text=True).ids(texts) == plain_ids(t, texts)
