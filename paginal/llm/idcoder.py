@@ -7,7 +7,7 @@ Model.  Order-1 and order-2 contexts predict one next id each, with a
 confidence that grows on hits and halves on misses.  The chances of the
 order-2 guess as seen by orders 2, 1 and 0 are mixed in the logistic domain by
 weights that learn from the error; the order-1 guess has an adaptive chance by
-confidence; what is left goes to adaptive order-0 frequencies of all ids.  A
+confidence; what is left goes to adaptive order-0 frequencies of the block's ids.  A
 carryless range coder codes the outcome in one step.
 
 Lanes.  The ids of a block are cut into equal runs, one per lane.  All lanes
@@ -15,16 +15,21 @@ share the model and advance together, so that each step is a handful of numpy
 operations; every lane has a coder and an output of its own.  All arithmetic
 is in whole numbers, so that any machine decodes what another has written.
 
-Block layout, little-endian: magic ``CMR1``; u32 documents, ids, lanes, bytes
-of payload; u32 crc32 of the ids (as u32), u32 crc32 of directory and payload;
-directory: i64 document id, u8 null flag, u32 ids, for each document; payload:
-u32 words of each lane, then the lanes' u16 words.
+Symbols.  A block has an alphabet of its own, the ids that occur in it, so the
+ids may be any 32-bit numbers.
+
+Block layout, little-endian: magic ``CMR2``; u32 documents, ids, lanes,
+letters of the alphabet, bytes of its table; u32 crc32 of the ids (as u32),
+u32 crc32 of all that follows; directory: i64 document ids, u8 null flags, u32
+numbers of ids; table: steps between the ascending letters, u32 by planes of
+bytes, deflated; payload: u32 words of each lane, then the lanes' u16 words.
 
 Defined results
 ---------------
 * A null text is empty (its end id only); a null document id sorts first.
-* Rows with equal ids keep separate entries, ordered by text.
-* An empty table gives no blocks and no rows.
+* Rows with equal ids keep separate entries, ordered by a hash of the text, then the text.
+* A text of any length is one document of one block, which then is as long as it.
+* An empty table gives no blocks and no rows.  Extra columns are not carried.
 * A damaged block raises ``ValueError``.
 """
 
@@ -44,111 +49,133 @@ from pyspark.sql import functions as F
 from paginal.llm import bpe
 from paginal.llm.common import small_batches, written
 
-MAGIC = b"CMR1"
-HEAD = struct.Struct("<4sIIIIII")
+MAGIC = b"CMR2"
+HEAD = struct.Struct("<4sIIIIIII")
 #: Ids after which a block closes (a document is never cut), most lanes, fewest ids of a lane.
-BLOCK_IDS, LANES, LANE_IDS = 1 << 19, 2048, 128
-#: Distinct ids, scale of the coder, gain of an order-0 count, steps between refreshes of its sums.
-IDS, TOTAL_BITS, GAIN, REFRESH = 1 << 16, 24, 24, 8
+BLOCK_IDS, LANES, LANE_IDS = 1 << 20, 4096, 128
+#: Scale of the coder, gain of an order-0 count, steps between refreshes of its sums.
+TOTAL_BITS, GAIN, REFRESH = 24, 24, 8
 TOTAL = 1 << TOTAL_BITS
-#: Slots of the order-2 table; greatest confidence; most of the scale for both guesses.
-SLOTS, CONFIDENT, GUESSES = 1 << 18, 15, TOTAL // 2
-#: Scale of the order-0 sums, at most what the guesses leave, so that every id has a share.
+#: Scale of the order-0 sums: at least what the guesses leave, so that every symbol has a share.
 SUM_BITS = TOTAL_BITS - 1
+#: Most of the scale for both guesses, and its unit: chances have 12 bits.
+GUESSES, UNIT = TOTAL // 2, TOTAL // 2 // 4096
+#: Bits of the order-2 table's size; most symbols of a block; greatest confidence, and its shift in a guess.
+SLOT_BITS, MOST_SYMBOLS, CONFIDENT, SHIFT = 18, 1 << 22, 15, 26
 #: Greatest sum of order-0 counts; beyond it they are halved.
-MOST = TOTAL // 2
+MOST = 1 << 26
 #: Shift of the mixing weights' steps.
 RATE = 14
-
-
 #: Greatest mixing weight, and how far a mix of three inputs can reach.
 HEAVIEST = 1 << 18
 REACH = (3 * HEAVIEST * 2047 >> 16) + 1
+LEVELS = CONFIDENT + 1
 
 
 @lru_cache(maxsize=1)
 def _curves() -> tuple[np.ndarray, np.ndarray]:
     """stretch of 12-bit chances (8 bits of fraction), and squash of -REACH..REACH back."""
     p = (np.arange(4096) + 0.5) / 4096
-    stretch = np.clip(np.rint(np.log(p / (1 - p)) * 256), -2047, 2047).astype(np.int64)
+    stretch = np.clip(np.rint(np.log(p / (1 - p)) * 256), -2047, 2047).astype(np.int32)
     x = np.clip(np.arange(-REACH, REACH + 1), -2047, 2047) / 256
-    squash = np.clip(np.rint(4096 / (1 + np.exp(-x))), 1, 4095).astype(np.int64)
+    squash = np.clip(np.rint(4096 / (1 + np.exp(-x))), 1, 4095).astype(np.int32)
     return stretch, squash
 
 
-#: What becomes of a guess by confidence, without and with a hit: next confidence, whether it stays.
-_LEVELS = np.arange(CONFIDENT + 1)
-NEXT = np.concatenate([np.where(_LEVELS > 1, _LEVELS >> 1, 1), np.minimum(_LEVELS + 1, CONFIDENT)]) << 16
+_LEVELS = np.arange(LEVELS)
+#: What becomes of a guess by confidence, without and with a hit: next confidence, and whether the guess stays.
+NEXT = (np.concatenate([np.where(_LEVELS > 1, _LEVELS >> 1, 1), np.minimum(_LEVELS + 1, CONFIDENT)]) << SHIFT).astype(np.int32)
 STAYS = np.concatenate([_LEVELS > 1, _LEVELS >= 0])
+_ID = np.int32((1 << SHIFT) - 1)
 
 
 class Mixer:
-    """The adaptive state of a block; encoder and decoder run it alike."""
+    """The adaptive state of a block over its own alphabet; encoder and decoder run it alike."""
 
-    def __init__(self) -> None:
+    def __init__(self, symbols: int) -> None:
         self.stretch, self.squash = _curves()
-        self.counts = np.ones(IDS, dtype=np.int64)
-        # Guesses of orders 1 and 2: the id, and above its 16 bits the confidence.
-        self.order1, self.order2 = np.zeros(IDS, dtype=np.int32), np.zeros(SLOTS, dtype=np.int32)
+        self.symbols = symbols
+        self.counts = np.ones(symbols, dtype=np.int64)
+        # Guesses of orders 1 and 2: the symbol, and above it the confidence.
+        self.order1, self.order2 = np.zeros(symbols, dtype=np.int32), np.zeros(1 << SLOT_BITS, dtype=np.int32)
         # Misses and hits by confidence: order 2, order 1.
-        self.seen = np.zeros((2, 2 * (CONFIDENT + 1)), dtype=np.int64)
+        self.seen = np.zeros((2, 2 * LEVELS), dtype=np.int64)
         self.weights = np.array([40000, 20000, 5000], dtype=np.int64)
         self.step = 0
         self._refresh()
 
     def _refresh(self) -> None:
-        total = int(self.counts.sum())
-        if total > MOST:
+        sums = np.zeros(self.symbols + 1, dtype=np.int64)
+        np.cumsum(self.counts, out=sums[1:])
+        if sums[-1] > MOST:
             self.counts = (self.counts + 1) >> 1
-        # Scaled to 2**SUM_BITS, so that the coder needs shifts only; every id keeps a share.
-        sums = np.concatenate([[0], np.cumsum(self.counts)])
-        spare = (1 << SUM_BITS) - IDS
-        self.sums = sums * spare // int(sums[-1]) + np.arange(IDS + 1)
-        self.by0 = self.stretch[(self.sums[1:] - self.sums[:-1]) >> (SUM_BITS - 12)]
-
-    def predict(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Guesses a and b of each lane and their shares of the scale."""
+            np.cumsum(self.counts, out=sums[1:])
+        # Scaled to 2**SUM_BITS at most by a factor in 30 bits, so that the coder needs shifts only; every symbol keeps a share.
+        spare = (1 << SUM_BITS) - self.symbols
+        sums *= (spare << 30) // int(sums[-1]) if sums[-1] < 1 << 30 else 0
+        sums >>= 30
+        sums += np.arange(self.symbols + 1)
+        sums[-1] = 1 << SUM_BITS
+        self.sums = sums
+        self.by0 = self.stretch[np.minimum((sums[1:] - sums[:-1]) >> (SUM_BITS - 12), 4095)]
+
+    def predict(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Guesses a and b of each lane and their shares of the scale, in units of UNIT."""
         self.one = one
-        self.slot = ((two * 0x9E3779B1 + one * 0x85EBCA6B) >> 7) & (SLOTS - 1)
+        mixed = two.view(np.uint32) * np.uint32(0x9E3779B1)
+        mixed += one.view(np.uint32) * np.uint32(0x85EBCA6B)
+        self.slot = (mixed >> np.uint32(32 - SLOT_BITS)).astype(np.intp)
         guess2, guess1 = self.order2[self.slot], self.order1[one]
-        self.a, self.b, self.s2, self.s1 = guess2 & 0xFFFF, guess1 & 0xFFFF, guess2 >> 16, guess1 >> 16
-        half = CONFIDENT + 1
-        hits, trials = self.seen[:, half:], self.seen[:, half:] + self.seen[:, :half]
+        a, b = guess2 & _ID, guess1 & _ID
+        s2, s1 = guess2 >> SHIFT, guess1 >> SHIFT
+        hits, trials = self.seen[:, LEVELS:], self.seen[:, LEVELS:] + self.seen[:, :LEVELS]
         chance = (2 * hits + 1) * 4095 // (2 * trials + 3)
-        steep = self.stretch[chance]
-        same = self.a == self.b
-        self.inputs = np.stack([steep[0][self.s2], steep[1][self.s1] * same, self.by0[self.a]])
+        steep = self.stretch[chance].astype(np.int64)
         w = self.weights
-        mixed = (self.inputs[0] * w[0] + self.inputs[1] * w[1] + self.inputs[2] * w[2]) >> 16
-        self.asked = self.s2 > 0
-        self.chance = self.squash[mixed + REACH] * self.asked
-        share_a = self.chance * (GUESSES // 4096)
-        own = chance[1] * (GUESSES // 4096)
+        same = a == b
+        # What both orders' confidences add to the mix, by whether they agree.
+        self.pair = ((same.astype(np.int32) * LEVELS + s2) * LEVELS + s1).astype(np.intp)
+        table = np.broadcast_to((steep[0] * w[0])[None, :, None], (2, LEVELS, LEVELS)).copy()
+        table[1] += (steep[1] * w[1])[None, :]
+        self.zero = self.by0[a]
+        mix = self.zero * w[2]
+        mix += table.reshape(-1)[self.pair]
+        mix >>= 16
+        mix += REACH
+        share_a = self.squash[mix]
+        self.asked = s2 > 0
+        share_a *= self.asked
+        own = chance[1].astype(np.int32)
         own[0] = 0
-        share_b = np.minimum(own[self.s1] * ~(self.asked & same), GUESSES - share_a)
-        return self.a, self.b, share_a, share_b
-
-    def update(self, ids: np.ndarray) -> None:
-        hit2, hit1 = self.a == ids, self.b == ids
-        n = int(self.asked.sum())
+        # An order-1 guess that agrees with an asked order-2 guess has no share of its own.
+        by_pair = np.broadcast_to(own, (2, LEVELS, LEVELS)).copy()
+        by_pair[1, 1:] = 0
+        share_b = np.minimum(by_pair.reshape(-1)[self.pair], 4096 - share_a)
+        self.a, self.b, self.s2, self.s1, self.share, self.steep = a, b, s2, s1, share_a, steep
+        return a, b, share_a, share_b
+
+    def update(self, symbols: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        """hit2, hit1: where the guesses were right."""
+        n = int(np.count_nonzero(self.asked))
         if n:
-            # The mean gradient of the lanes moves the weights once a step.
-            error = ((hit2 << 12) - self.chance) * self.asked
-            self.weights += (self.inputs @ error) * 4 // n >> (RATE - 12)
+            # The mean gradient of the lanes moves the weights once a step; sums by pair of confidences are exact.
+            error = ((hit2.astype(np.int32) << 12) - self.share) * self.asked
+            by_pair = np.bincount(self.pair, error, minlength=2 * LEVELS * LEVELS).astype(np.int64).reshape(2, LEVELS, LEVELS)
+            slopes = [int(by_pair.sum(axis=(0, 2)) @ self.steep[0]), int(by_pair[1].sum(axis=0) @ self.steep[1]), int(np.dot(self.zero.astype(np.int64), error))]
+            self.weights += np.array([s * 4 // n >> (RATE - 12) for s in slopes])
             np.clip(self.weights, -HEAVIEST, HEAVIEST, out=self.weights)
-        half = CONFIDENT + 1
         for row, (table, at, guess, sure, hit) in enumerate(((self.order2, self.slot, self.a, self.s2, hit2), (self.order1, self.one, self.b, self.s1, hit1))):
-            state = sure + half * hit
-            self.seen[row] += np.bincount(state, minlength=2 * half)
-            table[at] = np.where(STAYS[state], guess, ids) | NEXT[state]
-        np.add.at(self.counts, ids, GAIN)
+            state = sure + hit * np.int32(LEVELS)
+            self.seen[row] += np.bincount(state, minlength=2 * LEVELS)
+            table[at] = np.where(STAYS[state], guess, symbols) | NEXT[state]
+        np.add.at(self.counts, symbols, GAIN)
         self.step += 1
         if self.step % REFRESH == 0:
             self._refresh()
 
 
 TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
-WORD, ZERO = np.uint64(16), np.uint64(0)
+WORD, ZERO, DOWN = np.uint64(16), np.uint64(0), np.uint64(TOTAL_BITS)
 
 
 def _lanes(n: int) -> tuple[int, int]:
@@ -157,48 +184,61 @@ def _lanes(n: int) -> tuple[int, int]:
     return lanes, -(-n // lanes)
 
 
-def encode_ids(ids: np.ndarray) -> tuple[bytes, int]:
-    """The payload of a run of ids, and its number of lanes."""
-    n = len(ids)
+def _settled(low: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """The lanes whose top word is known; where an interval stays tight across a word's edge, it is cut there first."""
+    done = (low ^ (low + span)) < TOP
+    tight = span < BOTTOM
+    if tight.any():
+        tight &= ~done
+        cut = np.flatnonzero(tight)
+        span[cut] = (ZERO - low[cut]) & (BOTTOM - np.uint64(1))
+        done |= tight
+    return np.flatnonzero(done)
+
+
+def encode_symbols(symbols: np.ndarray, size: int) -> tuple[bytes, int]:
+    """The payload of a run of symbols of an alphabet, and its number of lanes."""
+    n = len(symbols)
     if not n:
         return b"", 0
     lanes, steps = _lanes(n)
     # What fills the last lanes up is coded as zeros and cut off by the reader.
-    grid = np.zeros(lanes * steps, dtype=np.int64)
-    grid[:n] = ids
-    grid = grid.reshape(lanes, steps)
-    model = Mixer()
+    grid = np.zeros(lanes * steps, dtype=np.int32)
+    grid[:n] = symbols
+    grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
+    model = Mixer(size)
     low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 2**64 - 1, dtype=np.uint64)
-    one, two = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
+    one = two = np.zeros(lanes, dtype=np.int32)
     out_lane: list[np.ndarray] = []
     out_word: list[np.ndarray] = []
-    for step in range(steps):
-        now = grid[:, step]
+    for now in grid:
         a, b, share_a, share_b = model.predict(one, two)
-        left = TOTAL - share_a - share_b
-        start = left * model.sums[now] >> SUM_BITS
-        size = (left * model.sums[now + 1] >> SUM_BITS) - start
-        start += share_a + share_b
-        by_b = (now == b) & (share_b > size)
-        start, size = np.where(by_b, share_a, start), np.where(by_b, share_b, size)
-        by_a = (now == a) & (share_a > size)
-        start, size = np.where(by_a, 0, start), np.where(by_a, share_a, size)
-        span >>= np.uint64(TOTAL_BITS)
+        hit2, hit1 = a == now, b == now
+        by_a = hit2 & (share_a > 0)
+        by_b = hit1 & (share_b > 0) & ~by_a
+        start = share_a * by_b * UNIT
+        width = (share_a * by_a + share_b * by_b) * UNIT
+        rest = np.flatnonzero(~(by_a | by_b))
+        guesses = (share_a[rest] + share_b[rest]).astype(np.int64) * UNIT
+        left = TOTAL - guesses
+        which = now[rest]
+        first = left * model.sums[which] >> SUM_BITS
+        width[rest] = (left * model.sums[which + 1] >> SUM_BITS) - first
+        start[rest] = first + guesses
+        span >>= DOWN
         low += span * start.astype(np.uint64)
-        span *= size.astype(np.uint64)
-        while True:
-            settled = (low ^ (low + span)) < TOP
-            tight = ~settled & (span < BOTTOM)
-            if tight.any():
-                span = np.where(tight, (ZERO - low) & (BOTTOM - np.uint64(1)), span)
-            moving = np.flatnonzero(settled | tight)
-            if not len(moving):
-                break
+        span *= width.astype(np.uint64)
+        moving = _settled(low, span)
+        while len(moving):
+            l, s = low[moving], span[moving]
             out_lane.append(moving)
-            out_word.append((low[moving] >> np.uint64(48)).astype("<u2"))
-            low[moving] <<= WORD
-            span[moving] <<= WORD
-        model.update(now)
+            out_word.append((l >> np.uint64(48)).astype("<u2"))
+            l <<= WORD
+            s <<= WORD
+            more = _settled(l, s)
+            low[moving], span[moving] = l, s
+            moving = moving[more]
+        model.update(now, hit2, hit1)
         two, one = one, now
     # Two words name a value inside the last interval, which is wider than 32 bits.
     last = (low + (BOTTOM - np.uint64(1))) & ~(BOTTOM - np.uint64(1))
@@ -206,13 +246,13 @@ def encode_ids(ids: np.ndarray) -> tuple[bytes, int]:
         out_lane.append(np.arange(lanes))
         out_word.append(((last >> np.uint64(shift)) & np.uint64(0xFFFF)).astype("<u2"))
     lane, word = np.concatenate(out_lane), np.concatenate(out_word)
-    order = np.argsort(lane, kind="stable")
-    return np.bincount(lane, minlength=lanes).astype("<u4").tobytes() + word[order].astype("<u2").tobytes(), lanes
+    order = np.argsort(lane.astype(np.uint16) if lanes <= 1 << 16 else lane, kind="stable")
+    return np.bincount(lane, minlength=lanes).astype("<u4").tobytes() + word[order].tobytes(), lanes
 
 
-def decode_ids(payload: bytes, n: int, lanes: int) -> np.ndarray:
+def decode_symbols(payload: bytes, n: int, lanes: int, size: int) -> np.ndarray:
     if not n:
-        return np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.int32)
     if (lanes, -(-n // lanes)) != _lanes(n):
         raise ValueError("the lanes don't fit the number of ids")
     steps = -(-n // lanes)
@@ -226,81 +266,101 @@ def decode_ids(payload: bytes, n: int, lanes: int) -> np.ndarray:
     code = np.zeros(lanes, dtype=np.uint64)
 
     def word(which: np.ndarray) -> np.ndarray:
-        place = np.where(at[which] < ends[which], at[which], len(words) - 1)
-        at[which] += 1
-        return words[place]
+        place = at[which]
+        at[which] = place + 1
+        return words[np.where(place < ends[which], place, len(words) - 1)]
 
     every = np.arange(lanes)
     for _ in range(4):
         code = code << WORD | word(every)
-    model = Mixer()
+    model = Mixer(size)
     low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 2**64 - 1, dtype=np.uint64)
-    one, two = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
-    grid = np.zeros((steps, lanes), dtype=np.int64)
+    one = two = np.zeros(lanes, dtype=np.int32)
+    grid = np.zeros((steps, lanes), dtype=np.int32)
     for step in range(steps):
         a, b, share_a, share_b = model.predict(one, two)
-        guesses = share_a + share_b
+        span >>= DOWN
+        target = np.minimum((code - low) // span, np.uint64(TOTAL - 1)).astype(np.int32)
+        edge_a = share_a * UNIT
+        edge_b = edge_a + share_b * UNIT
+        by_a = target < edge_a
+        by_b = (target < edge_b) & ~by_a
+        now = np.where(by_a, a, b)
+        start = edge_a * by_b
+        width = edge_a * by_a + (edge_b - edge_a) * by_b
+        rest = np.flatnonzero(target >= edge_b)
+        guesses = edge_b[rest].astype(np.int64)
         left = TOTAL - guesses
-        span >>= np.uint64(TOTAL_BITS)
-        target = np.minimum((code - low) // span, np.uint64(TOTAL - 1)).astype(np.int64)
-        rest = np.maximum(target - guesses, 0)
-        now = np.searchsorted(model.sums, (((rest + 1) << SUM_BITS) - 1) // left, side="right") - 1
-        now = np.minimum(now, IDS - 1)
-        start = left * model.sums[now] >> SUM_BITS
-        size = (left * model.sums[now + 1] >> SUM_BITS) - start
-        start += guesses
-        by_b = (target < guesses) & (target >= share_a)
-        by_a = target < share_a
-        now = np.where(by_a, a, np.where(by_b, b, now))
-        start = np.where(by_a, 0, np.where(by_b, share_a, start))
-        size = np.where(by_a, share_a, np.where(by_b, share_b, size))
+        asked = (((target[rest] - guesses + 1) << SUM_BITS) - 1) // left
+        which = np.minimum(np.searchsorted(model.sums, asked, side="right") - 1, size - 1)
+        first = left * model.sums[which] >> SUM_BITS
+        width[rest] = (left * model.sums[which + 1] >> SUM_BITS) - first
+        start[rest] = first + guesses
+        now[rest] = which
         low += span * start.astype(np.uint64)
-        span *= size.astype(np.uint64)
-        while True:
-            settled = (low ^ (low + span)) < TOP
-            tight = ~settled & (span < BOTTOM)
-            if tight.any():
-                span = np.where(tight, (ZERO - low) & (BOTTOM - np.uint64(1)), span)
-            moving = np.flatnonzero(settled | tight)
-            if not len(moving):
-                break
+        span *= width.astype(np.uint64)
+        moving = _settled(low, span)
+        while len(moving):
+            l, s = low[moving] << WORD, span[moving] << WORD
             code[moving] = code[moving] << WORD | word(moving)
-            low[moving] <<= WORD
-            span[moving] <<= WORD
-        model.update(now)
+            more = _settled(l, s)
+            low[moving], span[moving] = l, s
+            moving = moving[more]
+        model.update(now, a == now, b == now)
         two, one = one, now
         grid[step] = now
     return grid.T.reshape(-1)[:n]
 
 
-def encode_block(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
-    """One block of whole documents; ids: each document's, as 32-bit bytes."""
-    flat = np.frombuffer(b"".join(ids), "<u4")
-    if len(flat) and int(flat.max()) >= IDS:
-        raise ValueError(f"ids must be below {IDS}")
-    payload, lanes = encode_ids(flat.astype(np.int64))
-    directory = b"".join(struct.pack("<qBI", d or 0, d is None, len(x) // 4) for d, x in zip(doc_ids, ids))
-    body = directory + payload
-    return HEAD.pack(MAGIC, len(ids), len(flat), lanes, len(payload), zlib.crc32(flat.tobytes()), zlib.crc32(body)) + body
-
-
-def decode_block(block: bytes) -> tuple[list[int | None], list[bytes]]:
-    """The documents of a block and their ids, as 32-bit bytes."""
+def _alphabet(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids that occur, ascending; each id's place among them)."""
+    top = int(flat.max(initial=0))
+    if top >= MOST_SYMBOLS:
+        return np.unique(flat, return_inverse=True)
+    seen = np.zeros(top + 1, dtype=bool)
+    seen[flat] = True
+    letters = np.flatnonzero(seen)
+    place = np.zeros(top + 1, dtype=np.int32)
+    place[letters] = np.arange(len(letters))
+    return letters, place[flat]
+
+
+def encode_block(doc_ids: list[int | None], sizes: np.ndarray, flat: np.ndarray) -> bytes:
+    """One block of whole documents; sizes: number of each one's ids, which lie one after another in flat."""
+    flat = np.ascontiguousarray(flat, dtype="<u4")
+    letters, symbols = _alphabet(flat)
+    if len(letters) > MOST_SYMBOLS:
+        raise ValueError(f"more than {MOST_SYMBOLS} different ids in a block")
+    payload, lanes = encode_symbols(symbols, len(letters))
+    table = zlib.compress(np.diff(letters, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 6)
+    null = np.array([d is None for d in doc_ids], dtype=np.uint8)
+    directory = np.array([d or 0 for d in doc_ids], dtype="<i8").tobytes() + null.tobytes() + np.asarray(sizes, dtype="<u4").tobytes()
+    body = directory + table + payload
+    return HEAD.pack(MAGIC, len(doc_ids), len(flat), lanes, len(letters), len(table), zlib.crc32(flat.tobytes()), zlib.crc32(body)) + body
+
+
+def decode_block(block: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    """The documents of a block: their ids, the number of token ids of each, and these one after another."""
     if len(block) < HEAD.size:
         raise ValueError("a block is cut off")
-    magic, docs, n, lanes, size, crc, body_crc = HEAD.unpack_from(block)
-    body = block[HEAD.size :]
-    if magic != MAGIC or len(body) != docs * 13 + size or zlib.crc32(body) != body_crc:
+    magic, docs, n, lanes, letters, size, crc, body_crc = HEAD.unpack_from(block)
+    body = memoryview(block)[HEAD.size :]
+    if magic != MAGIC or len(body) < docs * 13 + size or zlib.crc32(body) != body_crc:
+        raise ValueError("a block is damaged")
+    doc_ids = np.frombuffer(body, "<i8", docs).tolist()
+    null = np.frombuffer(body, np.uint8, docs, 8 * docs)
+    for k in np.flatnonzero(null).tolist():
+        doc_ids[k] = None
+    sizes = np.frombuffer(body, "<u4", docs, 9 * docs).astype(np.int64)
+    at = 13 * docs
+    planes = np.frombuffer(zlib.decompress(body[at : at + size]), np.uint8)
+    if len(planes) != 4 * letters or int(sizes.sum()) != n:
         raise ValueError("a block is damaged")
-    entries = list(struct.iter_unpack("<qBI", body[: docs * 13]))
-    flat = decode_ids(body[docs * 13 :], n, lanes).astype("<u4").tobytes()
-    if zlib.crc32(flat) != crc:
+    table = np.cumsum(np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").reshape(-1), dtype=np.int64)
+    flat = table[decode_symbols(bytes(body[at + size :]), n, lanes, letters)].astype("<u4") if n else np.zeros(0, "<u4")
+    if zlib.crc32(flat.tobytes()) != crc:
         raise ValueError("a block's ids don't match their checksum")
-    out, at = [], 0
-    for _, _, k in entries:
-        out.append(flat[at : at + 4 * k])
-        at += 4 * k
-    return [None if null else d for d, null, _ in entries], out
+    return doc_ids, sizes, flat
 
 
 FILE_SCHEMA = "part int, block long, n_docs int, n_ids long, data binary"
@@ -316,31 +376,43 @@ def write_files(
     """
     small_batches(docs.sparkSession)
     path = tokenizer or bpe.default_path()
-    end = struct.pack("<I", end_id)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
+    # Rows of one id, or without one, may be many: they spread by the hash of the text, and equal rows by their place.
+    keyed = rows.select("id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("m"))
+    ordered = keyed.repartitionByRange("id", "h", "m").sortWithinPartitions("id", "h", "text").select("id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = bpe.encoder(path)
         part, block, held = TaskContext.get().partitionId(), 0, 0
-        ids: list[int | None] = []
-        tokens: list[bytes] = []
+        doc_ids: list[int | None] = []
+        sizes: list[np.ndarray] = []
+        tokens: list[np.ndarray] = []
 
         def close() -> pa.RecordBatch:
-            data = encode_block(ids, tokens)
+            data = encode_block(doc_ids, np.concatenate(sizes), np.concatenate(tokens))
             return pa.RecordBatch.from_pydict(
-                {"part": pa.array([part], pa.int32()), "block": [block], "n_docs": pa.array([len(ids)], pa.int32()), "n_ids": [held], "data": pa.array([data], pa.binary())}
+                {"part": pa.array([part], pa.int32()), "block": [block], "n_docs": pa.array([len(doc_ids)], pa.int32()), "n_ids": [held], "data": pa.array([data], pa.binary())}
             )
 
         for batch in batches:
-            for doc, got in zip(batch.column("id").to_pylist(), encode.ids(batch.column("text").to_pylist())):
-                ids.append(doc)
-                tokens.append(got + end)
-                held += len(got) // 4 + 1
-                if held >= block_ids:
-                    yield close()
-                    ids, tokens, held, block = [], [], 0, block + 1
-        if ids:
+            ids = batch.column("id").to_pylist()
+            for rows, found, counts in encode.runs(batch.column("text")):
+                flat, each = bpe.ended(found, counts, end_id)
+                ends = np.cumsum(each)
+                first = 0
+                while first < len(each):
+                    # The block closes with the document that fills it.
+                    behind = int(ends[first - 1]) if first else 0
+                    stop = min(int(np.searchsorted(ends, behind + block_ids - held)) + 1, len(each))
+                    doc_ids += ids[rows.start + first : rows.start + stop]
+                    sizes.append(each[first:stop])
+                    tokens.append(flat[behind : ends[stop - 1]])
+                    held += int(ends[stop - 1]) - behind
+                    if held >= block_ids:
+                        yield close()
+                        doc_ids, sizes, tokens, held, block = [], [], [], 0, block + 1
+                    first = stop
+        if doc_ids:
             yield close()
 
     return written(ordered.mapInArrow(write, FILE_SCHEMA), "id-files")
@@ -348,13 +420,12 @@ def write_files(
 
 def read_files(files: DataFrame) -> DataFrame:
     """Decodes the files: part, block, place (in the block), doc_id, before (ids ahead in the block), ids."""
-    small_batches(files.sparkSession, 4)
+    small_batches(files.sparkSession)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                docs, ids = decode_block(batch.column("data")[k].as_py())
-                sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+                docs, sizes, flat = decode_block(batch.column("data")[k].as_py())
                 n = len(docs)
                 yield pa.RecordBatch.from_pydict(
                     {
@@ -363,7 +434,7 @@ def read_files(files: DataFrame) -> DataFrame:
                         "place": pa.array(np.arange(n, dtype=np.int32)),
                         "doc_id": pa.array(docs, pa.int64()),
                         "before": pa.array(np.cumsum(sizes) - sizes),
-                        "ids": pa.array(ids, pa.binary()),
+                        "ids": bpe.binary(flat, sizes),
                     }
                 )
 
