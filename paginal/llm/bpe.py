@@ -2,7 +2,7 @@
 
 Byte-level BPE never merges across pre-tokens, so the ids of a text are those
 of its pre-tokens.  Runs of texts are cut into pre-tokens in numpy, by classes
-of bytes; a pre-token of up to 16 bytes is its own key in a table of known
+of bytes; a pre-token of up to 24 bytes is its own key in a table of known
 ones, and what is not known goes to the library's model, one by one.  This is
 exact: keys are compared whole.
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 #: Bytes of texts that are cut together; ids held for known pre-tokens, beyond which a worker starts afresh.
 CHUNK, HELD_IDS = 1 << 18, 1 << 22
 #: Bits of the number of slots of known pre-tokens, which go in pairs; most bytes of a pre-token that has a slot.
-SLOT_BITS, KEY_BYTES = 20, 16
+SLOT_BITS, KEY_BYTES = 20, 24
 #: Longer pre-tokens that are kept beside them.
 LONGER = 1 << 14
 #: Bytes of one id.
@@ -180,9 +180,8 @@ class Encoder:
     def _afresh(self) -> None:
         self.longer: dict[bytes, tuple[int, int]] = {}
         self.pool, self.held = np.zeros(1 << 16, dtype=np.uint32), 0
-        size = 1 << SLOT_BITS
-        self.low, self.high = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
-        self.at, self.n = np.zeros(size, np.int32), np.zeros(size, np.int32)
+        # A slot: three parts of the key; place in the pool above, number of ids in the low byte.  A line of the cache holds a pair.
+        self.slots = np.zeros((1 << SLOT_BITS, 4), dtype=np.uint64)
 
     def _library(self, text: bytes) -> np.ndarray:
         return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, dtype=np.uint32)
@@ -213,19 +212,28 @@ class Encoder:
         """(ids, number of each) of the pre-tokens; data ends with KEY_BYTES more bytes."""
         size = end - start
         eight = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data.data, strides=(1,))
-        low = eight[start] & _MASKS[np.minimum(size, 8)]
-        high = np.zeros(len(start), dtype=np.uint64)
+        key = np.zeros((len(start), 3), dtype=np.uint64)
+        key[:, 0] = eight[start] & _MASKS[np.minimum(size, 8)]
         longer = np.flatnonzero(size > 8)
-        high[longer] = eight[start[longer] + 8] & _MASKS[np.minimum(size[longer] - 8, 8)]
-        slot = ((low * np.uint64(0x9E3779B97F4A7C15) ^ high * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-        hit = (self.low[slot] == low) & (self.high[slot] == high)
-        # What isn't in its slot may be in the other one of the pair.
+        for part in (1, 2):
+            key[longer, part] = eight[start[longer] + 8 * part] & _MASKS[np.minimum(size[longer] - 8 * part, 8)]
+            longer = longer[size[longer] > 16]
+        mixed = key[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ key[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ key[:, 2] * np.uint64(0x165667B19E3779F9)
+        slot = (mixed >> np.uint64(65 - SLOT_BITS)).astype(np.int64) * 2
+        got = self.slots.take(slot, axis=0)
+        hit = (got[:, 0] == key[:, 0]) & (got[:, 1] == key[:, 1]) & (got[:, 2] == key[:, 2])
+        # What isn't in the first slot of its pair may be in the second.
         other = np.flatnonzero(~hit)
-        beside = slot[other] ^ 1
-        hit[other] = there = (self.low[beside] == low[other]) & (self.high[beside] == high[other])
-        slot[other[there]] = beside[there]
+        beside = self.slots.take(slot[other] + 1, axis=0)
+        there = (beside[:, :3] == key[other]).all(axis=1)
+        got[other[there]] = beside[there]
+        # What is met again moves to the first slot, where the rare ones that come and go don't reach it.
+        again = slot[other[there]]
+        self.slots[again + 1] = self.slots[again]
+        self.slots[again] = beside[there]
+        hit[other[there]] = True
         hit &= size <= KEY_BYTES
-        at, n = self.at[slot], self.n[slot]
+        at, n = (got[:, 3] >> np.uint64(8)).astype(np.int64), (got[:, 3] & np.uint64(0xFF)).astype(np.int64)
         miss = np.flatnonzero(~hit)
         if len(miss):
             whole = data.tobytes()
@@ -233,9 +241,8 @@ class Encoder:
             at[miss], n[miss] = found[:, 0], found[:, 1]
             kept = miss[size[miss] <= KEY_BYTES]
             where = slot[kept]
-            for table, new in ((self.low, low), (self.high, high), (self.at, at), (self.n, n)):
-                table[where ^ 1] = table[where]
-                table[where] = new[kept]
+            where += self.slots[where, 0] != 0
+            self.slots[where] = np.concatenate([key[kept], (at[kept] << 8 | n[kept]).astype(np.uint64)[:, None]], axis=1)
         if n.max(initial=0) <= 1:
             return self.pool[at], n
         begin = np.cumsum(n, dtype=np.int64) - n

@@ -83,9 +83,8 @@ def _curves() -> tuple[np.ndarray, np.ndarray]:
 
 
 _LEVELS = np.arange(LEVELS)
-#: What becomes of a guess by confidence, without and with a hit: next confidence, and whether the guess stays.
+#: The next confidence, without and with a hit.
 NEXT = (np.concatenate([np.where(_LEVELS > 1, _LEVELS >> 1, 1), np.minimum(_LEVELS + 1, CONFIDENT)]) << SHIFT).astype(np.int32)
-STAYS = np.concatenate([_LEVELS > 1, _LEVELS >= 0])
 _ID = np.int32((1 << SHIFT) - 1)
 
 
@@ -167,7 +166,8 @@ class Mixer:
         for row, (table, at, guess, sure, hit) in enumerate(((self.order2, self.slot, self.a, self.s2, hit2), (self.order1, self.one, self.b, self.s1, hit1))):
             state = sure + hit * np.int32(LEVELS)
             self.seen[row] += np.bincount(state, minlength=2 * LEVELS)
-            table[at] = np.where(STAYS[state], guess, symbols) | NEXT[state]
+            # A sure guess stays; a right one is the symbol anyway.
+            table[at] = np.where(sure > 1, guess, symbols) | NEXT[state]
         np.add.at(self.counts, symbols, GAIN)
         self.step += 1
         if self.step % REFRESH == 0:
@@ -250,6 +250,16 @@ def encode_symbols(symbols: np.ndarray, size: int) -> tuple[bytes, int]:
     return np.bincount(lane, minlength=lanes).astype("<u4").tobytes() + word[order].tobytes(), lanes
 
 
+def _found(sums: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """The last place of ``sums`` that is not above each of ``asked``; the search is faster in order."""
+    bits = max(1, len(asked) - 1).bit_length()
+    keys = asked << bits | np.arange(len(asked))
+    keys.sort()
+    out = np.empty(len(asked), dtype=np.int64)
+    out[keys & ((1 << bits) - 1)] = np.searchsorted(sums, keys >> bits, side="right") - 1
+    return out
+
+
 def decode_symbols(payload: bytes, n: int, lanes: int, size: int) -> np.ndarray:
     if not n:
         return np.zeros(0, dtype=np.int32)
@@ -292,7 +302,7 @@ def decode_symbols(payload: bytes, n: int, lanes: int, size: int) -> np.ndarray:
         guesses = edge_b[rest].astype(np.int64)
         left = TOTAL - guesses
         asked = (((target[rest] - guesses + 1) << SUM_BITS) - 1) // left
-        which = np.minimum(np.searchsorted(model.sums, asked, side="right") - 1, size - 1)
+        which = np.minimum(_found(model.sums, asked), size - 1)
         first = left * model.sums[which] >> SUM_BITS
         width[rest] = (left * model.sums[which + 1] >> SUM_BITS) - first
         start[rest] = first + guesses
