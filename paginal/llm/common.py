@@ -55,3 +55,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/paginal-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spare_name(columns: list[str], stem: str = "text") -> str:
+    """A column name that none of the columns has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while stem in taken:
+        stem = f"_{stem}"
+    return stem

@@ -5,10 +5,10 @@ the log-probabilities of all words of a document sum to its score.
 
 Network: embeddings for each place of the window, their sum through tanh, and
 a softmax in two steps (class of the word, word in its class), all in numpy.
-The vocabulary holds the most frequent words of the whole corpus, counted
-exactly.  The network predicts other words, and sees them as neighbours, by
-their length; which word of that length it is, a model of spelling says: every
-byte by the two before it, from the counts of all those words.
+The vocabulary holds the most frequent words of the whole corpus, counted by
+their 64-bit hashes.  The network predicts other words, and sees them as
+neighbours, by their length; which word of that length it is, a model of
+spelling says: every byte by the two before it, from the counts of all those words.
 
 Training: every round, each task starts from the same weights and runs AdaGrad
 over windows of all its documents (every ``stride``-th place of a document,
@@ -20,7 +20,8 @@ with the corpus; the driver sees one set of weights only.
 Defined results
 ---------------
 * A text that is null or has no word has n_tokens 0, log_prob 0 and a null mean.
-* Whole texts count; repeated rows score alike.
+* Whole texts count, very long ones in slices that see their neighbours; repeated rows score alike.
+* Without any word in the corpus, the network and the spelling are those they start from; an empty table gives an empty result.
 * log_prob and its mean are the network's; spelling_log_prob is of the words outside the vocabulary, each
   given its length.  Their sum is the log-probability of the whole text, word for word.
 * Columns named n_tokens, log_prob, mean_log_prob and spelling_log_prob are replaced.
@@ -29,11 +30,8 @@ Defined results
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -41,68 +39,87 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paginal.llm.common import small_batches, written
+from paginal.llm.common import small_batches, spare_name, written
+from paginal.llm.words import Lookup, Words, summed, utf8, words
 
 #: Classes, words in a class, size of the hidden layer, words on either side.
-CLASSES, MEMBERS, HIDDEN, SIDE = 32, 64, 16, 2
+CLASSES, MEMBERS, HIDDEN, SIDE = 32, 64, 24, 2
 WORDS = CLASSES * MEMBERS
 #: Lengths that tell unknown words apart.
 LENGTHS = 16
 #: Windows in a training step, step size, rounds.
-STEP_ROWS, RATE, ROUNDS = 2048, 0.15, 2
+STEP_ROWS, RATE, ROUNDS = 4096, 0.15, 2
 #: Places of which one is trained on in a round: all rounds together take every place.
 STRIDE = ROUNDS
 #: Windows that are scored together.
 SCORE_ROWS = 1 << 13
-#: Distinct words that a task counts before it passes them on.
+#: Distinct words beyond which a task passes its counts on.
 HELD = 200_000
 #: Byte before the first of a word; classes of the second byte before; weight of the shorter context.
 START, SORTS, SHORTER = 256, 16, 4.0
 CODES = (START + 1) * SORTS * 256
-_WORD = re.compile(r"\w+")
+_SORT_OF_START = (START * 7 + (START >> 4)) % SORTS
 PAD = WORDS
 
 
-class Vocabulary(dict):
-    """Word to id: lengths first, then words by frequency."""
+class Vocabulary:
+    """Ids of words: lengths first, then the most frequent words."""
 
-    def __init__(self, words: list[str]):
-        super().__init__({w: LENGTHS + k for k, w in enumerate(words[: WORDS - LENGTHS])})
+    def __init__(self, hashes: np.ndarray):
+        self.known = Lookup(np.asarray(hashes, dtype=np.uint64)[: WORDS - LENGTHS])
 
-    def __missing__(self, word: str) -> int:
-        return min(len(word), LENGTHS) - 1
-
-    def __reduce__(self):
-        return Vocabulary, (sorted(self, key=self.get),)
+    def ids(self, found: Words) -> np.ndarray:
+        place = self.known.find(found.hash)
+        return np.where(place >= 0, place + LENGTHS, np.minimum(found.size, LENGTHS) - 1).astype(np.uint16)
 
 
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, n) over the whole corpus; tasks pre-aggregate within bounded memory."""
+    """(word, size, n) over the whole corpus: hash, characters (LENGTHS at most), occurrences; tasks add up within bounded memory."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[str] = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    held.update(_WORD.findall(text.lower()))
-                if len(held) >= HELD:
-                    yield pa.RecordBatch.from_pydict({"word": list(held), "n": list(held.values())})
-                    held = Counter()
-        yield pa.RecordBatch.from_pydict({"word": pa.array(list(held), pa.string()), "n": pa.array(list(held.values()), pa.int64())})
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        rows = 0
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            return summed(*(np.concatenate(x) for x in zip(*held)))
 
+        def sent(h: np.ndarray, n: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(size.astype(np.int32)), pa.array(n)], names=["word", "size", "n"])
 
-def _spelled(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(code of every byte after the two before it, bytes of every word); no word is empty."""
-    size = pc.binary_length(pa.array(words, pa.string())).to_numpy(zero_copy_only=False).astype(np.int64)
-    data = np.frombuffer("".join(words).encode(), dtype=np.uint8).astype(np.int64)
-    first = np.cumsum(size) - size
-    one, two = np.full(len(data), START), np.full(len(data), START)
-    one[1:], two[2:] = data[:-1], data[:-2]
-    one[first] = two[first] = START
-    two[first[size > 1] + 1] = START
-    return (one * SORTS + (two * 7 + (two >> 4)) % SORTS) * 256 + data, size
+        for batch in batches:
+            for found in words(batch.column(0).to_pylist()):
+                held.append(summed(found.hash, np.ones(len(found.hash), np.int64), np.minimum(found.size, LENGTHS)))
+                rows += len(held[-1][0])
+                if rows >= 2 * HELD:
+                    held = [merged()]
+                    rows = len(held[0][0])
+                    if rows >= HELD:
+                        yield sent(*held[0])
+                        held, rows = [], 0
+        if held:
+            yield sent(*merged())
+
+    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(count, "word long, size int, n long")
+    return counted.groupBy("word", "size").agg(F.sum("n").alias("n"))
+
+
+def spelled(found: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code of every byte after the two before it, first code of each word) of the words at ``which``."""
+    raw, at = utf8(found.code)
+    first, size = at[found.start[which]], at[found.end[which]] - at[found.start[which]]
+    begin = np.cumsum(size) - size
+    place = np.repeat((first - begin).astype(np.int32), size)
+    place += np.arange(len(place), dtype=np.int32)
+    # The code of a byte by its neighbours, then those at the starts of words.
+    two = raw[place - 2].astype(np.int16)
+    two = (two * 7 + (two >> 4)) % SORTS
+    one = raw[place - 1].astype(np.int32)
+    one[begin], two[begin], two[begin[size > 1] + 1] = START, _SORT_OF_START, _SORT_OF_START
+    one *= SORTS
+    one += two
+    one <<= 8
+    one |= raw[place]
+    return one, begin
 
 
 @dataclass
@@ -121,35 +138,40 @@ class Spelling:
         p = (n + SHORTER * p[:, None]) / (n.sum(axis=2, keepdims=True) + SHORTER)
         return Spelling(np.log(p).astype(np.float32).reshape(-1), (long_words + 1) / (long_words + further + 2))
 
-    def log_prob(self, words: list[str]) -> np.ndarray:
-        """log P(word | its length, or that it has LENGTHS characters and more) of each word."""
-        if not words:
+    def log_prob(self, found: Words, which: np.ndarray) -> np.ndarray:
+        """log P(word | its length, or that it has LENGTHS characters and more) of the words at ``which``."""
+        if not len(which):
             return np.zeros(0)
-        codes, size = _spelled(words)
-        total = np.add.reduceat(self.table[codes].astype(np.float64), np.cumsum(size) - size)
-        further = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) - LENGTHS
+        codes, begin = spelled(found, which)
+        total = np.add.reduceat(self.table[codes].astype(np.float64), begin)
+        further = found.size[which] - LENGTHS
         return total + np.where(further < 0, 0.0, further * np.log1p(-self.ends) + np.log(self.ends))
 
 
-def learn_spelling(counted: DataFrame) -> Spelling:
-    """Spelling of the words of (word, n); what is collected is bounded by the contexts."""
+class SpellingCounts:
+    """Occurrences of every code, then of long words and of their further characters."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(CODES + 2, dtype=np.int64)
-        for batch in batches:
-            words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
-            if words:
-                codes, size = _spelled(words)
-                np.add.at(held, codes, np.repeat(n, size))
-                further = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) - LENGTHS
-                held[CODES] += n[further >= 0].sum()
-                held[CODES + 1] += (n * np.maximum(further, 0)).sum()
-        some = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(held[some])], names=["code", "n"])
+    def __init__(self) -> None:
+        self.n = np.zeros(CODES + 2, dtype=np.int64)
+
+    def add(self, found: Words, which: np.ndarray) -> None:
+        if len(which):
+            self.n[:CODES] += np.bincount(spelled(found, which)[0], minlength=CODES)
+            further = found.size[which] - LENGTHS
+            self.n[CODES:] += [int((further >= 0).sum()), int(np.maximum(further, 0).sum())]
 
+    def rows(self) -> Iterator[tuple[list[int], list[int]]]:
+        some = np.flatnonzero(self.n)
+        for at in range(0, len(some), 4096):
+            yield some[at : at + 4096].tolist(), self.n[some[at : at + 4096]].tolist()
+
+
+def learn_spelling(coded: DataFrame) -> Spelling:
+    """Spelling from the counts among the rows of ``_coded``; what is collected is bounded by the contexts."""
     counts = np.zeros(CODES + 2, dtype=np.int64)
-    found = counted.select("word", "n").mapInArrow(count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    counts[found.column("code").to_numpy()] = found.column("n").to_numpy()
+    pairs = coded.where(F.col("ids").isNull()).select(F.explode(F.arrays_zip("codes", "counts")).alias("p")).select("p.codes", "p.counts")
+    found = pairs.groupBy("codes").agg(F.sum("counts").alias("n")).toArrow()
+    counts[found.column("codes").to_numpy()] = found.column("n").to_numpy()
     return Spelling.of(counts[:CODES], float(counts[CODES]), float(counts[CODES + 1]))
 
 
@@ -283,50 +305,30 @@ class Trainer:
         self.windows += len(target)
 
 
-def found_words(texts: list[str | None]) -> list[list[str]]:
-    return [_WORD.findall(t.lower()) if t else [] for t in texts]
-
-
-def word_ids(texts: list[str | None], vocabulary: Vocabulary) -> list[list[int]]:
-    return [list(map(vocabulary.__getitem__, words)) for words in found_words(texts)]
-
-
-def windows(texts: list[str | None], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, context, target) of every word of the texts; a context never leaves its text."""
-    return _windows(found_words(texts), vocabulary)
+def places(ids: np.ndarray, counts: np.ndarray, size: int, number: int = 0, stride: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, context, target) of the places of texts that round ``number`` takes, up to ``size`` at a time or a few more.
 
-
-def _windows(found: list[list[str]], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-    return _around(np.array([vocabulary[w] for words in found for w in words], dtype=np.int64), counts)
-
-
-def _around(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, context, target) of texts whose ids follow each other in ``words``."""
-    row = np.repeat(np.arange(len(counts)), counts)
-    ids = np.full(len(row) + SIDE * (len(counts) + 1), PAD, dtype=np.int64)
-    place = np.arange(len(row)) + SIDE * (row + 1)
-    ids[place] = words
+    The texts' ids follow each other in ``ids``; a context never leaves its text.
+    """
+    ends = np.cumsum(counts)
+    first = ends - counts
+    padded = np.full(len(ids) + SIDE * (len(counts) + 1), PAD, dtype=np.uint16)
+    row = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    at = np.arange(len(ids), dtype=np.int32 if len(padded) < 2**31 else np.int64)
+    padded[at + SIDE * (row + 1)] = ids
     shifts = [*range(-SIDE, 0), *range(1, SIDE + 1)]
-    context = np.stack([ids[place + s] + k * (WORDS + 1) for k, s in enumerate(shifts)], axis=1) if len(row) else np.zeros((0, 2 * SIDE), np.int64)
-    return row, context, words
-
-
-def round_windows(coded: list[bytes], number: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
-    """(context, target) of the places of each text that round ``number`` takes."""
-    counts = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded)) // 2
-    row, context, target = _around(np.frombuffer(b"".join(coded), dtype=np.uint16).astype(np.int64), counts)
-    taken = (np.arange(len(row)) - (np.cumsum(counts) - counts)[row]) % stride == number % stride
-    return context[taken], target[taken]
-
-
-def _groups(texts: list[str | bytes | None], size: int = 1 << 18) -> Iterator[slice]:
-    first = held = 0
-    for k, text in enumerate(texts):
-        held += len(text or "")
-        if held >= size or k == len(texts) - 1:
-            yield slice(first, k + 1)
-            first, held = k + 1, 0
+    for a in range(0, len(ids), size * stride):
+        part = slice(a, a + size * stride)
+        place, owner = at[part].astype(np.int64), row[part]
+        if stride > 1:
+            taken = (place - first[owner]) % stride == number % stride
+            place, owner = place[taken], owner[taken]
+        middle = place + SIDE * (owner.astype(np.int64) + 1)
+        context = np.empty((len(place), 2 * SIDE), dtype=np.int64)
+        for k, s in enumerate(shifts):
+            context[:, k] = padded[middle + s]
+            context[:, k] += k * (WORDS + 1)
+        yield owner, context, padded[middle].astype(np.int64)
 
 
 @dataclass
@@ -342,32 +344,47 @@ def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, stride: i
     small_batches(spark)
     source = docs.select(F.col(text_col).cast("string").alias("text"))
     counted = written(count_words(source), "words")
-    top = counted.orderBy(F.desc("n"), "word").limit(WORDS - LENGTHS).collect()
-    vocabulary = Vocabulary([r["word"] for r in top])
+    top = counted.orderBy(F.desc("n"), "word", "size").limit(WORDS - LENGTHS).collect()
     known = np.zeros(WORDS)
     known[LENGTHS : LENGTHS + len(top)] = [r["n"] for r in top]
-    rest = counted.join(F.broadcast(spark.createDataFrame([(r["word"],) for r in top], "word string")), "word", "left_anti") if top else counted
-    for r in rest.groupBy(F.least(F.length("word"), F.lit(LENGTHS)).alias("k")).agg(F.sum("n").alias("n")).collect():
-        known[r["k"] - 1] = r["n"]
+    for r in counted.groupBy("size").agg(F.sum("n").alias("n")).collect():
+        known[r["size"] - 1] = r["n"] - sum(t["n"] for t in top if t["size"] == r["size"])
+    vocabulary = Vocabulary(np.array([r["word"] for r in top], dtype=np.int64).view(np.uint64))
     network = Network.fresh(known)
-    coded = written(_coded(source, vocabulary), "ids") if rounds else None
+    coded = written(_coded(source, vocabulary), "ids")
     for number in range(rounds):
         network = _round(coded, network, number, stride)
-    return Model(vocabulary, network, learn_spelling(rest))
+    return Model(vocabulary, network, learn_spelling(coded))
 
 
 def _coded(source: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(ids) of every text, two bytes a word: rounds read them and find no words again."""
+    """ids of every text, two bytes a word, so that rounds find no words again; and rows of spelling counts, without ids."""
     sent = source.sparkSession.sparkContext.broadcast(vocabulary)
+    kinds = pa.schema([("ids", pa.binary()), ("codes", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spelling = SpellingCounts()
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for part in _groups(texts):
-                coded = [np.array(ids, dtype=np.uint16).tobytes() for ids in word_ids(texts[part], sent.value)]
-                yield pa.RecordBatch.from_arrays([pa.array(coded, pa.binary())], names=["ids"])
+            ids, counts = coded_words(batch.column(0).to_pylist(), sent.value, spelling.add)
+            ends = np.concatenate([[0], np.cumsum(counts)]) * 2
+            column = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids)])
+            nothing = [pa.nulls(len(counts), kinds.field(k).type) for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays([column, *nothing], schema=kinds)
+        for codes, counts in spelling.rows():
+            yield pa.RecordBatch.from_pydict({"ids": [None], "codes": [codes], "counts": [counts]}, schema=kinds)
+
+    return source.mapInArrow(code, "ids binary, codes array<int>, counts array<long>")
+
 
-    return source.mapInArrow(code, "ids binary")
+def coded_words(texts: list[str | None], vocabulary: Vocabulary, rare: Callable[[Words, np.ndarray], None]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words, number of each text); ``rare`` gets each chunk's words outside the vocabulary."""
+    out, counts = [np.zeros(0, np.uint16)], np.zeros(len(texts), dtype=np.int64)
+    for found in words(texts):
+        ids = vocabulary.ids(found)
+        rare(found, np.flatnonzero(ids < LENGTHS))
+        counts += np.bincount(found.row, minlength=len(texts))
+        out.append(ids)
+    return np.concatenate(out), counts
 
 
 def _round(coded: DataFrame, network: Network, number: int, stride: int) -> Network:
@@ -376,11 +393,11 @@ def _round(coded: DataFrame, network: Network, number: int, stride: int) -> Netw
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer = Trainer(sent.value.copy())
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for part in _groups(texts):
-                context, target = round_windows(texts[part], number, stride)
-                for a in range(0, len(target), STEP_ROWS):
-                    trainer.step(context[a : a + STEP_ROWS], target[a : a + STEP_ROWS])
+            counts = pc.binary_length(batch.column(0)).to_numpy().astype(np.int64) // 2
+            ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.uint16)
+            for _, context, target in places(ids, counts, STEP_ROWS, number, stride):
+                if len(target):
+                    trainer.step(context, target)
         if trainer.windows:
             rows = trainer.net.rows()
             flat = pa.FixedSizeListArray.from_arrays(pa.array(rows.reshape(-1)), HIDDEN).cast(pa.list_(pa.float32()))
@@ -388,7 +405,7 @@ def _round(coded: DataFrame, network: Network, number: int, stride: int) -> Netw
                 [pa.array(np.arange(len(rows), dtype=np.int32)), pa.array(np.full(len(rows), float(trainer.windows))), flat], names=["row", "n", "v"]
             )
 
-    parts = coded.mapInArrow(train, "row int, n double, v array<float>")
+    parts = coded.where(F.col("ids").isNotNull()).select("ids").mapInArrow(train, "row int, n double, v array<float>")
     means = parts.groupBy("row").agg(F.sum("n").alias("n"), *(F.sum(F.col("v")[k] * F.col("n")).alias(f"v{k}") for k in range(HIDDEN)))
     rows = network.rows().astype(np.float64)
     for r in means.collect():
@@ -401,26 +418,24 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     added = ("n_tokens", "log_prob", "mean_log_prob", "spelling_log_prob")
-    kept = [c for c in docs.columns if c not in added]
+    kept = [c for c in docs.columns if c.lower() not in added]
+    read_name = spare_name([*kept, *added])
     number, share = F.lit(0).cast("long"), F.lit(0.0)
     schema = docs.select(*kept, number.alias(added[0]), share.alias(added[1]), F.lit(None).cast("double").alias(added[2]), share.alias(added[3])).schema
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
         for batch in batches:
-            texts = batch.column("__text").to_pylist()
-            n, total, spelled = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts)), np.zeros(len(texts))
-            for part in _groups(texts):
-                found = found_words(texts[part])
-                row, context, target = _windows(found, sent.value.vocabulary)
-                size = part.stop - part.start
-                rare = target < LENGTHS
-                words = list(compress(chain.from_iterable(found), rare.tolist()))
-                spelled[part] = np.bincount(row[rare], weights=sent.value.spelling.log_prob(words), minlength=size)
-                n[part] = np.bincount(row, minlength=size)
-                for a in range(0, len(row), SCORE_ROWS):
-                    cut = slice(a, a + SCORE_ROWS)
-                    total[part] += np.bincount(row[cut], weights=sent.value.network.log_prob(context[cut], target[cut]), minlength=size)
+            texts = batch.column(len(kept)).to_pylist()
+            total, spelling = np.zeros(len(texts)), np.zeros(len(texts))
+
+            def rare(found: Words, which: np.ndarray, out: np.ndarray = spelling) -> None:
+                out += np.bincount(found.row[which], weights=model.spelling.log_prob(found, which), minlength=len(out))
+
+            ids, n = coded_words(texts, model.vocabulary, rare)
+            for row, context, target in places(ids, n, SCORE_ROWS):
+                total += np.bincount(row, weights=model.network.log_prob(context, target), minlength=len(texts))
             mean = pa.array(np.where(n > 0, total / np.maximum(n, 1), 0.0), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(n), pa.array(total), mean, pa.array(spelled)], names=[*kept, *added])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(n), pa.array(total), mean, pa.array(spelling)], names=[*kept, *added])
 
-    return docs.select(*kept, F.col(text_col).cast("string").alias("__text")).mapInArrow(read, schema)
+    return docs.select(*kept, F.col(text_col).cast("string").alias(read_name)).mapInArrow(read, schema)

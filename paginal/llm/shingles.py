@@ -37,7 +37,7 @@ def _bytes() -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
     up = np.full(n, _BASE, dtype=np.uint64)
     down = np.full(n, pow(_BASE, -1, 1 << 64), dtype=np.uint64)
@@ -52,7 +52,7 @@ def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.diff(np.concatenate([[False], word, [False]]).astype(np.int8))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     size = 1 << max(19, int(len(raw)).bit_length())
-    up, down = _powers(size)
+    up, down = powers(size)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[raw] * up[: len(raw)])])
     h = (total[end] - total[start]) * down[start]
     return start, mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))

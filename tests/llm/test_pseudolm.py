@@ -1,9 +1,11 @@
 import random
+import re
 
 import numpy as np
 import pytest
 
 from paginal.llm import pseudolm as M
+from paginal.llm import words as W
 
 
 def sentences(n, seed=0):
@@ -14,7 +16,17 @@ def sentences(n, seed=0):
 @pytest.fixture(scope="module")
 def model(spark):
     df = spark.createDataFrame(list(enumerate(sentences(300))), "doc_id long, text string").repartition(3)
-    return M.fit(df, stride=1)
+    return M.fit(df)
+
+
+def ids_of(vocabulary, text):
+    return M.coded_words([text], vocabulary, lambda found, which: None)[0].tolist()
+
+
+def chunk(words):
+    """The words as one chunk, and the places of all of them."""
+    found = next(W.words([" ".join(words)]))
+    return found, np.arange(len(found.hash))
 
 
 def scores(spark, model, texts):
@@ -40,7 +52,8 @@ def test_better_than_frequencies(spark, model):
 def test_brute_force(spark, model):
     """Every word's conditional probability by one window at a time, over all words of the vocabulary."""
     text = "red big cat saw strangeword we"
-    ids = [model.vocabulary[w] for w in text.split()]
+    ids = ids_of(model.vocabulary, text)
+    assert ids[4] == len("strangeword") - 1 and min(ids[:4] + ids[5:]) >= M.LENGTHS
     pad = [M.PAD] * M.SIDE + ids + [M.PAD] * M.SIDE
     total = 0.0
     net = model.network
@@ -81,7 +94,39 @@ def test_odd_rows(spark, model):
 
 def test_counts(spark):
     df = spark.createDataFrame([(1, "A a b"), (2, None), (3, "b, c!")], "doc_id long, text string")
-    assert sorted(map(tuple, M.count_words(df).collect())) == [("a", 2), ("b", 2), ("c", 1)]
+    signed = lambda w: int(np.uint64(W.hash_of(w)).astype(np.int64))
+    assert {tuple(r) for r in M.count_words(df).collect()} == {(signed("a"), 1, 2), (signed("b"), 1, 2), (signed("c"), 1, 1)}
+
+
+def test_words_equal_a_plain_split(monkeypatch):
+    """Every text's words by the pattern, each character lower-cased on its own; long texts in pieces too."""
+    r = random.Random(7)
+    alphabet = ["a", "B", "é", "É", "ß", "İ", " ", "-", "_", "9", "²", "日", "Σ", "😀", "\n", "ab cd", "'"]
+    texts = [None, "", "x"] + ["".join(r.choices(alphabet, k=r.randrange(60))) for _ in range(300)]
+    lower = lambda c: c.lower() if len(c.lower()) == 1 else c
+    want = [["".join(map(lower, w)) for w in re.findall(r"\w+", t or "")] for t in texts]
+    for size in (1 << 18, 40, 7):
+        monkeypatch.setattr(W, "CHUNK", size)
+        got = [[] for _ in texts]
+        for found in W.words(texts):
+            raw, at = W.utf8(found.code)
+            for row, a, b, h in zip(found.row, found.start, found.end, found.hash):
+                word = "".join(map(chr, found.code[a:b]))
+                assert raw[at[a] : at[b]].tobytes().decode() == word and int(h) == W.hash_of(word)
+                got[row].append(word)
+        # A piece ends at a gap, so a word is cut nowhere.
+        assert got == want
+    flat = {w for ws in want for w in ws}
+    assert len({W.hash_of(w) for w in flat}) == len(flat)
+
+
+def test_lookup(monkeypatch):
+    monkeypatch.setattr(W.Lookup, "BITS", 4)
+    r = np.random.default_rng(0)
+    known = r.integers(0, 2**63, 50).astype(np.uint64)
+    asked = np.concatenate([known, r.integers(0, 2**63, 50).astype(np.uint64)])
+    assert W.Lookup(known).find(asked).tolist() == [*range(50), *[-1] * 50]
+    assert W.Lookup(known[:0]).find(asked).tolist() == [-1] * 100
 
 
 def test_defaults_train_on_every_window(spark):
@@ -91,11 +136,9 @@ def test_defaults_train_on_every_window(spark):
     seen, plain = [], M._round
 
     def watched(coded, network, number, stride):
-        rows = [bytes(r["ids"]) for r in coded.collect()]
-        for r in rows:
-            context, target = M.round_windows([r], number, stride)
+        rows = [np.frombuffer(r["ids"], np.uint16) for r in coded.collect() if r["ids"] is not None]
+        for _, context, target in M.places(np.concatenate(rows), np.array([len(x) for x in rows]), 7, number, stride):
             seen.extend(map(tuple, np.column_stack([context, target]).tolist()))
-        assert sum(len(M.round_windows([r], number, stride)[1]) for r in rows) == len(M.round_windows(rows, number, stride)[1])
         return plain(coded, network, number, stride)
 
     M._round = watched
@@ -103,8 +146,14 @@ def test_defaults_train_on_every_window(spark):
         fitted = M.fit(df)
     finally:
         M._round = plain
-    _, context, target = M.windows(texts, fitted.vocabulary)
-    assert sorted(seen) == sorted(map(tuple, np.column_stack([context, target]).tolist()))
+    want = []
+    for text in texts:
+        ids = ids_of(fitted.vocabulary, text)
+        pad = [M.PAD] * M.SIDE + ids + [M.PAD] * M.SIDE
+        for t, target in enumerate(ids):
+            around = [pad[t + M.SIDE + s] for s in (*range(-M.SIDE, 0), *range(1, M.SIDE + 1))]
+            want.append((*(k * (M.WORDS + 1) + i for k, i in enumerate(around)), target))
+    assert sorted(seen) == sorted(want)
 
 
 def test_defaults_learn(spark):
@@ -117,17 +166,24 @@ def test_spelling_sums_to_one():
     """Over all words of one and of two ASCII characters, and over the lengths of long words."""
     chars = [chr(c) for c in range(128)]
     counts = np.zeros(M.CODES)
-    codes, _ = M._spelled(["table", "cable", "tablet"] * 1000)
+    codes, _ = M.spelled(*chunk(["table", "cable", "tablet"] * 1000))
     np.add.at(counts, codes, 1)
     s = M.Spelling.of(counts, 3.0, 5.0)
+    score = lambda words: s.log_prob(*chunk(words))
     p = np.exp(s.table.astype(np.float64)).reshape(-1, 256).sum(axis=1)
     assert np.abs(p - 1).max() < 1e-4
-    assert 0.9 < np.exp(s.log_prob([a + b for a in chars for b in chars])).sum() < 1
-    assert s.log_prob(["table"])[0] > s.log_prob(["qxzjv"])[0] + 20
+    letters = [c for c in chars if re.match(r"\w", c) and c == c.lower()]
+    assert 0.9 < np.exp(score([a + b for a in letters for b in letters])).sum() < 1
+    assert score(["table"])[0] > score(["qxzjv"])[0] + 20
     further = np.exp(np.arange(200) * np.log1p(-s.ends) + np.log(s.ends)).sum()
     assert abs(further - 1) < 1e-6
-    plain = sum(s.table[c] for c in M._spelled(["\u0643a" * 9])[0]) + 2 * np.log1p(-s.ends) + np.log(s.ends)
-    assert abs(s.log_prob(["x", "\u0643a" * 9, "y"])[1] - plain) < 1e-4
+    word = "\u0643a" * 9
+    plain, before = 2 * np.log1p(-s.ends) + np.log(s.ends), (M.START, M.START)
+    for byte in word.encode():
+        two, one = before
+        plain += s.table[(one * M.SORTS + (two * 7 + (two >> 4)) % M.SORTS) * 256 + byte]
+        before = (one, byte)
+    assert abs(score(["x", word, "y"])[1] - plain) < 1e-4
 
 
 def test_query_tells_rare_words_apart(spark, tmp_path):
