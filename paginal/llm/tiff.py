@@ -11,6 +11,10 @@ Defined results
 * Equal payloads give equal files (no dates, no names inside).
 * ``read_pages`` raises ``ValueError`` for damaged or unsupported files; the
   DataFrame form gives such a row one page with the message in ``error``.
+* A long text takes more pages, of bounded size; repeated rows have files of their own.
+* Extra columns pass through; those with the names of added ones are replaced.
+* A page that claims more samples than its stored bytes can hold is damaged.
+* An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
-from paginal.llm.common import small_batches
+from paginal.llm.common import small_batches, spare_name
 
 # Fixed values of the TIFF 6.0 format: tag numbers, compression codes, type sizes.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
@@ -40,6 +45,8 @@ TYPE_CODE = {1: "B", 3: "H", 4: "I"}
 ROW_BYTES, PIXELS, CHANNELS = 192, 64, 3
 #: Rows of samples in a strip, and in a page; longer payloads take more pages.
 STRIP_ROWS, PAGE_ROWS = 256, 4096
+#: Pixels of a tile across and down.
+TILE = (32, 32)
 
 
 @dataclass
@@ -54,28 +61,29 @@ class Page:
 
 
 def pack_bits(data: bytes) -> bytes:
-    """PackBits: runs of three equal bytes and more, and literals between."""
-    out, literal, i, n = bytearray(), bytearray(), 0, len(data)
-
-    def flush() -> None:
-        for at in range(0, len(literal), 128):
-            part = literal[at : at + 128]
+    """PackBits: runs of three equal bytes and more, what lies between as literals."""
+    out = bytearray()
+    raw = np.frombuffer(data, dtype=np.uint8)
+    edges = np.concatenate([[0], np.flatnonzero(raw[1:] != raw[:-1]) + 1, [len(raw)]]) if len(raw) else np.zeros(1, np.int64)
+    size = np.diff(edges)
+    long = np.flatnonzero(size >= 3)
+
+    def literal(first: int, stop: int) -> None:
+        for at in range(first, stop, 128):
+            part = data[at : min(at + 128, stop)]
             out.append(len(part) - 1)
             out.extend(part)
-        literal.clear()
 
-    while i < n:
-        j = i + 1
-        while j < n and j - i < 128 and data[j] == data[i]:
-            j += 1
-        if j - i >= 3:
-            flush()
-            out.append(257 - (j - i))
-            out.append(data[i])
-        else:
-            literal.extend(data[i:j])
-        i = j
-    flush()
+    behind = 0
+    for first, n in zip(edges[long].tolist(), size[long].tolist()):
+        literal(behind, first)
+        behind = first + n
+        while n:
+            # A rest of one or two is a short run, which is as valid.
+            run = min(n, 128)
+            out.extend((257 - run, data[first]) if run > 1 else (0, data[first]))
+            n -= run
+    literal(behind, len(data))
     return bytes(out)
 
 
@@ -104,57 +112,49 @@ LZW_CLEAR, LZW_END, LZW_LEAST, LZW_MOST = 256, 257, 9, 12
 
 def lzw_pack(data: bytes) -> bytes:
     """TIFF's LZW: codes most significant bit first, widths grow one code early."""
-    out, pool, held = bytearray(), 0, 0
-
-    def put(code: int, width: int) -> None:
-        nonlocal pool, held
-        pool, held = pool << width | code, held + width
-        while held >= 8:
-            held -= 8
-            out.append(pool >> held & 255)
-        pool &= (1 << held) - 1
-
-    table: dict[bytes, int] = {}
-    width = LZW_LEAST
-
-    def reset() -> None:
-        nonlocal width
-        table.clear()
-        table.update({bytes([b]): b for b in range(256)})
-        width = LZW_LEAST
-
-    reset()
-    put(LZW_CLEAR, width)
-    word = b""
-    fresh = LZW_END + 1
+    codes, widths = [LZW_CLEAR], [LZW_LEAST]
+    # An entry is known by its prefix's code and its last byte.
+    table: dict[int, int] = {}
+    fresh, width, word = LZW_END + 1, LZW_LEAST, -1
+    full = (1 << LZW_MOST) - 1
     for b in data:
-        longer = word + bytes([b])
-        if longer in table:
+        if word < 0:
+            word = b
+            continue
+        key = word << 8 | b
+        longer = table.get(key)
+        if longer is not None:
             word = longer
             continue
-        put(table[word], width)
-        table[longer] = fresh
+        codes.append(word)
+        widths.append(width)
+        table[key] = fresh
         fresh += 1
-        if fresh == (1 << LZW_MOST) - 1:
-            put(LZW_CLEAR, width)
-            reset()
-            fresh = LZW_END + 1
+        if fresh == full:
+            codes.append(LZW_CLEAR)
+            widths.append(width)
+            table.clear()
+            fresh, width = LZW_END + 1, LZW_LEAST
         elif fresh == 1 << width:
             width += 1
-        word = bytes([b])
-    if word:
-        put(table[word], width)
+        word = b
+    if word >= 0:
+        codes.append(word)
+        widths.append(width)
         fresh += 1
         if fresh == 1 << width and width < LZW_MOST:
             width += 1
-    put(LZW_END, width)
-    if held:
-        out.append(pool << (8 - held) & 255)
-    return bytes(out)
+    codes.append(LZW_END)
+    widths.append(width)
+    wide, value = np.array(widths), np.array(codes)
+    which = np.repeat(np.arange(len(wide)), wide)
+    bit = np.repeat(np.cumsum(wide), wide) - 1 - np.arange(len(which))
+    return np.packbits((value[which] >> bit & 1).astype(np.uint8)).tobytes()
 
 
 def lzw_unpack(data: bytes) -> bytes:
-    out = bytearray()
+    out: list[bytes] = []
+    single = [bytes([x]) for x in range(256)] + [b"", b""]
     table: list[bytes] = []
     width, pool, held, last = LZW_LEAST, 0, 0, b""
     for b in data:
@@ -163,30 +163,32 @@ def lzw_unpack(data: bytes) -> bytes:
             continue
         held -= width
         code = pool >> held & (1 << width) - 1
-        if code == LZW_END:
-            return bytes(out)
+        n = len(table)
         if code == LZW_CLEAR:
-            table = [bytes([x]) for x in range(256)] + [b"", b""]
+            table = single.copy()
             width, last = LZW_LEAST, b""
             continue
-        if not table:
-            raise ValueError("LZW: no clear code at the start")
-        if code < len(table):
+        if code == LZW_END:
+            break
+        if code < n:
             word = table[code]
-        elif code == len(table) and last:
+        elif code == n and last:
             word = last + last[:1]
         else:
-            raise ValueError("LZW: a code before its entry")
-        out += word
-        if last and len(table) < 1 << LZW_MOST:
+            raise ValueError("LZW: a code before its entry" if n else "LZW: no clear code at the start")
+        out.append(word)
+        if last and n < 1 << LZW_MOST:
             table.append(last + word[:1])
+            n += 1
         last = word
         # The writer's table is one entry ahead of the reader's.
-        if len(table) + 1 >= 1 << width and width < LZW_MOST:
+        if n + 1 >= 1 << width and width < LZW_MOST:
             width += 1
-    return bytes(out)
+    return b"".join(out)
 
 
+#: Most bytes that one stored byte can stand for.
+MOST_OF_ONE = {PLAIN: 1, PACKBITS: 64, LZW: 4096, DEFLATE: 1040, OLD_DEFLATE: 1040}
 PACK = {PLAIN: bytes, PACKBITS: pack_bits, LZW: lzw_pack, DEFLATE: lambda data: zlib.compress(data, 1)}
 
 
@@ -333,9 +335,17 @@ def _page(data: bytes, tags: dict[int, tuple[int, ...]]) -> Page:
     if set(tags.get(BITS, (1,))) != {8} or tags.get(PLANAR, (1,))[0] != 1:
         raise ValueError("only interleaved samples of 8 bits are supported")
     compression, predictor = tags.get(COMPRESSION, (1,))[0], tags.get(PREDICTOR, (1,))[0]
+    if compression not in MOST_OF_ONE:
+        raise ValueError(f"compression {compression} is not supported")
+    stored = min(sum(tags[TILE_BYTES if TILE_OFFSETS in tags else STRIP_BYTES]), len(data))
+    # A header may claim any size; memory is bounded by what is stored.
+    if not 0 < width * height * channels <= stored * MOST_OF_ONE[compression]:
+        raise ValueError(f"a page of {width} x {height} x {channels} samples in {stored} bytes")
     out = np.empty((height, width, channels), dtype=np.uint8)
     if TILE_OFFSETS in tags:
         across, down = tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0]
+        if not 0 < across * down * channels <= stored * MOST_OF_ONE[compression]:
+            raise ValueError(f"tiles of {across} x {down} x {channels} samples in {stored} bytes")
         corners = [(y, x) for y in range(0, height, down) for x in range(0, width, across)]
         for (y, x), at, size in zip(corners, tags[TILE_OFFSETS], tags[TILE_BYTES], strict=True):
             piece = _piece(data, at, size, (down, across, channels), compression, predictor)
@@ -361,30 +371,36 @@ def payload_pages(payload: bytes) -> list[np.ndarray]:
     return [rows[at : at + PAGE_ROWS] for at in range(0, len(rows), PAGE_ROWS)]
 
 
+#: The forms that payloads take in turn: compression, predictor, tile.
+FORMS = [(c, c in (LZW, DEFLATE), tile) for c in (PLAIN, PACKBITS, LZW, DEFLATE) for tile in (None, TILE)]
+
+
 def text_to_media(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds media (the TIFF of the whole text) and n_bytes (before padding).
 
-    Every row stays; columns named media or n_bytes are replaced.
+    The form of a file (compression, strips or tiles) follows from a checksum
+    of its payload.  Every row stays; columns named media or n_bytes are replaced.
     """
     small_batches(docs.sparkSession)
-    kept = [c for c in docs.columns if c not in ("media", "n_bytes")]
-    source = docs.select(*kept, F.col(text_col).cast("string").alias("__text"))
+    kept = [c for c in docs.columns if c.lower() not in ("media", "n_bytes")]
+    source = docs.select(*kept, F.col(text_col).cast("string").alias(spare_name(kept)))
     schema = source.select(*kept, F.lit(b"").alias("media"), F.lit(0).cast("long").alias("n_bytes")).schema
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             media, sizes = [], []
-            for text in batch.column("__text"):
+            for text in batch.column(len(kept)):
                 payload, size = padded(text.as_py())
-                media.append(write_tiff(payload_pages(payload)))
+                compression, predictor, tile = FORMS[zlib.crc32(payload) % len(FORMS)]
+                media.append(write_tiff(payload_pages(payload), compression, predictor, tile))
                 sizes.append(size)
-            columns = [batch.column(c) for c in kept] + [pa.array(media, pa.binary()), pa.array(sizes, pa.int64())]
+            columns = [*batch.columns[: len(kept)], pa.array(media, pa.binary()), pa.array(sizes, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "media", "n_bytes"])
 
     return source.mapInArrow(write, schema)
 
 
-PAGE_SCHEMA = "page int, pages int, width int, height int, channels int, compression int, pixels binary, error string"
+PAGE_SCHEMA = "page int, pages int, more boolean, width int, height int, channels int, compression int, pixels binary, error string"
 
 
 def _page_row(p: Page | ValueError) -> dict:
@@ -393,21 +409,24 @@ def _page_row(p: Page | ValueError) -> dict:
     return {"width": p.width, "height": p.height, "channels": p.channels, "compression": p.compression, "pixels": p.samples.tobytes(), "error": None}
 
 
-def media_pages(media: DataFrame, media_col: str = "media") -> DataFrame:
+def media_pages(media: DataFrame, media_col: str = "media", keep_media: bool = True) -> DataFrame:
     """One row per page of every media file, with the decoded samples.
 
-    Other columns repeat on every page.  A page that can't be read has null
+    Other columns repeat on every page, the file itself with ``keep_media``;
+    the pages of a file follow each other.  A page that can't be read has null
     pixels and the reason in ``error``; the others stay.  Where the chain of
-    directories breaks off, as in a null or damaged file, one such row follows
-    the pages before, and ``pages`` counts the directories that were found.
+    directories breaks off, as in a null or damaged file or one without any
+    directory, one such row follows the pages before, and ``pages`` counts the
+    directories that were found; ``more`` tells whether rows of the file follow.
     """
     own = {x.split()[0] for x in PAGE_SCHEMA.split(", ")}
-    kept = [c for c in media.columns if c not in own]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.select(*kept).schema.fields) + (", " if kept else "") + PAGE_SCHEMA
+    kept = [c for c in media.columns if c.lower() not in own and (keep_media or c.lower() != media_col.lower())]
+    names = [x.split()[0] for x in PAGE_SCHEMA.split(", ")]
+    schema = StructType([*media.select(*kept).schema.fields, *_parse_datatype_string(PAGE_SCHEMA).fields])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            files = batch.column(media_col)
+            files = batch.column(len(kept))
             index: list[int] = []
             found: list[dict] = []
             for k in range(batch.num_rows):
@@ -419,58 +438,80 @@ def media_pages(media: DataFrame, media_col: str = "media") -> DataFrame:
                         raise ValueError("no file")
                     for p in each_page(data):
                         got.append(_page_row(p))
+                    if not got:
+                        raise ValueError("no directory")
                 except ValueError as e:
                     broken = e
                 pages = len(got)
                 if broken:
                     got.append(_page_row(broken))
                 for i, row in enumerate(got):
-                    row |= {"page": i, "pages": pages}
+                    row |= {"page": i, "pages": pages, "more": i < len(got) - 1}
                 index += [k] * len(got)
                 found += got
             rows = pa.array(index, pa.int64())
-            types = {"pixels": pa.binary(), "error": pa.string()}
-            columns = [batch.column(c).take(rows) for c in kept]
-            names = [x.split()[0] for x in PAGE_SCHEMA.split(", ")]
+            types = {"pixels": pa.binary(), "error": pa.string(), "more": pa.bool_()}
+            columns = [batch.column(k).take(rows) for k in range(len(kept))]
             columns += [pa.array([x[n] for x in found], types.get(n, pa.int32())) for n in names]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, *names])
 
-    return media.select(*dict.fromkeys([*kept, media_col])).mapInArrow(read, schema)
+    return media.select(*kept, F.col(media_col).cast("binary").alias(spare_name(kept, "file"))).mapInArrow(read, schema)
+
 
+class Digest:
+    """What the pages of one file hold, page by page."""
 
-def feature(samples: np.ndarray) -> str:
-    """Whole-number features: pixel count, sum, least, greatest, entropy in millibits, horizontal change."""
-    flat = samples.reshape(-1)
-    counts = np.bincount(flat, minlength=256)
-    share = counts[counts > 0] / max(1, flat.size)
-    entropy = int(round(float(-(share * np.log2(share)).sum()) * 1000)) if flat.size else 0
-    wide = samples.astype(np.int16)
-    change = int(np.abs(np.diff(wide, axis=1)).sum())
-    least, most = (int(flat.min()), int(flat.max())) if flat.size else (0, 0)
-    return f"n={flat.size};sum={int(flat.sum(dtype=np.int64))};min={least};max={most};entropy={entropy};dx={change}"
+    def __init__(self) -> None:
+        self.sha, self.counts, self.change, self.tail = hashlib.sha256(), np.zeros(256, dtype=np.int64), 0, b""
 
+    def add(self, pixels: bytes, shape: tuple[int, int, int]) -> None:
+        flat = np.frombuffer(pixels, dtype=np.uint8)
+        self.sha.update(pixels)
+        self.counts += np.bincount(flat, minlength=256)
+        self.change += int(np.abs(np.diff(flat.reshape(shape).astype(np.int16), axis=1)).sum())
+        self.tail = (self.tail + pixels[-16:])[-16:]
 
-DIGEST_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pages int"
+    def feature(self) -> str:
+        """Whole-number features: sample count, sum, least, greatest, entropy in millibits, horizontal change."""
+        n = int(self.counts.sum())
+        found = np.flatnonzero(self.counts)
+        share = self.counts[found] / max(1, n)
+        entropy = int(round(float(-(share * np.log2(share)).sum()) * 1000)) if n else 0
+        least, most = (int(found[0]), int(found[-1])) if n else (0, 0)
+        return f"n={n};sum={int(self.counts @ np.arange(256))};min={least};max={most};entropy={entropy};dx={self.change}"
+
+
+DIGEST_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pages int, error string"
 
 
 def media_digest(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Per row: reads all pages of the stored file and digests what they hold."""
+    """Per row: reads all pages of the stored file and digests what they hold.
+
+    Pages are read by ``media_pages`` and summed up one after another, without
+    a shuffle.  A null or damaged file keeps its row: ``error`` has the first
+    reason, and the digest is of the pages that could be read.
+    """
+    stored = media.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col("n_bytes").cast("long").alias("n_bytes"), F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"), "media",
+    )
+    names = [x.split()[0] for x in DIGEST_SCHEMA.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string()]
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, error = Digest(), None
         for batch in batches:
-            out: dict[str, list] = {x.split()[0]: [] for x in DIGEST_SCHEMA.split(", ")}
+            out: list[tuple] = []
+            columns = {c: batch.column(c).to_pylist() for c in batch.schema.names if c != "pixels"}
             for k in range(batch.num_rows):
-                data = batch.column("media")[k].as_py()
-                pages = [p.samples for p in read_pages(data)]
-                samples = np.concatenate(pages) if len(pages) > 1 else pages[0]
-                payload = samples.tobytes()
-                row = (
-                    batch.column(id_col)[k].as_py(), batch.column("n_bytes")[k].as_py(), len(payload), hashlib.sha256(payload).hexdigest(),
-                    zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(samples), len(pages),
-                )
-                for name, value in zip(out, row):
-                    out[name].append(value)
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], names=list(out))
-
-    return media.select(id_col, "n_bytes", "media").mapInArrow(digest, DIGEST_SCHEMA)
+                row = {c: v[k] for c, v in columns.items()}
+                if row["error"] is None:
+                    held.add(batch.column("pixels")[k].as_py(), (row["height"], row["width"], row["channels"]))
+                error = error or row["error"]
+                if not row["more"]:
+                    n = int(held.counts.sum())
+                    out.append((row["doc_id"], row["n_bytes"], n, held.sha.hexdigest(), zlib.crc32(held.tail), row["media_bytes"], row["media_sha256"], held.feature(), row["pages"], error))
+                    held, error = Digest(), None
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out) if out else [[]] * len(names), types)], names=names)
+
+    return media_pages(stored, keep_media=False).mapInArrow(digest, DIGEST_SCHEMA)

@@ -1,6 +1,8 @@
 import hashlib
+import math
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -70,12 +72,52 @@ def test_round_trip(docs):
         r = rows[k]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
         assert r["tail_crc32"] == zlib.crc32(payload[-16:])
-        assert r["feature"].startswith(f"n={len(payload)};sum={sum(payload)};min={min(payload)};max={max(payload)};")
+        shares = [c / len(payload) for c in Counter(payload).values()]
+        entropy = round(-1000 * sum(p * math.log2(p) for p in shares))
+        # Rows of 64 pixels of three samples: each sample against that of the pixel before.
+        dx = sum(abs(payload[i] - payload[i - 3]) for i in range(len(payload)) if i % 192 >= 3) if len(payload) < 10_000 else None
+        start, _, end = r["feature"].rpartition(";dx=")
+        assert start == f"n={len(payload)};sum={sum(payload)};min={min(payload)};max={max(payload)};entropy={entropy}"
+        assert dx is None or int(end) == dx
     assert {k: v for k, v in rows[2].asDict().items() if k != "doc_id"} == {k: v for k, v in rows[7].asDict().items() if k != "doc_id"}
     assert rows[6]["pages"] == 2
     assert tiff.media_digest(tiff.text_to_media(docs(["a"]).limit(0))).count() == 0
 
 
+def test_every_form_is_used(docs):
+    """The query's files take all compressions, in strips and in tiles, and all read back."""
+    media = tiff.text_to_media(docs([f"text {k} " * (k % 90) for k in range(200)])).cache()
+    seen = set()
+    for r in media.collect():
+        tags, _ = tiff._directory(bytes(r["media"]), struct.unpack_from("<I", r["media"], 4)[0], "<")
+        seen.add((tags[tiff.COMPRESSION][0], tags[tiff.PREDICTOR][0], tiff.TILE_OFFSETS in tags))
+    assert len(seen) == len(tiff.FORMS) == 8
+    rows = tiff.media_digest(media).collect()
+    assert len(rows) == 200 and all(r["error"] is None for r in rows)
+    for r in rows:
+        k = r["doc_id"]
+        assert r["payload_sha256"] == hashlib.sha256(tiff.padded(f"text {k} " * (k % 90))[0]).hexdigest()
+
+
+def test_null_and_huge_files(spark):
+    """No file, a header that claims 300,000 x 300,000 samples, and no directory keep their rows with a reason."""
+    good = tiff.write_tiff([np.full((2, 3, 1), 7, np.uint8)])
+    huge = bytearray(good)
+    (at,) = struct.unpack_from("<I", good, 4)
+    for e in range(struct.unpack_from("<H", good, at)[0]):
+        place = at + 2 + 12 * e
+        if struct.unpack_from("<H", good, place)[0] in (tiff.WIDTH, tiff.HEIGHT, tiff.ROWS_PER_STRIP):
+            struct.pack_into("<I", huge, place + 8, 300_000)
+    bare = b"II" + struct.pack("<HI", 42, 0)
+    rows = [(1, good), (2, None), (3, bytes(huge)), (4, bare), (1, good)]
+    df = spark.createDataFrame([(i, m, len(m or b""), "x") for i, m in rows], "doc_id long, media binary, n_bytes long, __text string").coalesce(1)
+    got = tiff.media_digest(df).collect()
+    assert [(r["doc_id"], r["pages"], r["payload_bytes"], r["error"] is None) for r in got] == [(1, 1, 6, True), (2, 0, 0, False), (3, 1, 0, False), (4, 0, 0, False), (1, 1, 6, True)]
+    assert got[1]["media_bytes"] is None and "300000" in got[2]["error"]
+    named = tiff.text_to_media(spark.createDataFrame([(1, "a", "b", "c")], "doc_id long, __text string, Media string, text string"))
+    assert named.columns == ["doc_id", "__text", "text", "media", "n_bytes"] and tiff.media_digest(named).first()["n_bytes"] == 1
+
+
 def test_one_row_per_page(spark):
     two = tiff.write_tiff([np.full((2, 3, 1), 7, np.uint8), np.full((1, 1, 3), 9, np.uint8)], tiff.LZW)
     df = spark.createDataFrame([(1, two, "x"), (2, None, "y"), (3, b"junk", "z")], "id int, media binary, page string")
