@@ -7,8 +7,10 @@ added into dense score arrays, one slot per candidate.  A partition selection
 keeps the k best of a block, a merge keeps the k best of a task, and a window
 over the per-task winners gives the final ranks.
 
-Queries beyond one broadcast are answered in further passes, so nothing grows
-with the data except the number of passes.
+Queries beyond one broadcast are dealt by a hash of their ids into lots, each
+answered in a pass of its own: its queries come to the driver, go out, and its
+winners are written, before the next pass starts.  So nothing grows with the
+data except the number of passes.
 
 Defined results
 ---------------
@@ -19,18 +21,23 @@ Defined results
 * Repeated candidate rows are separate candidates.  Of repeated query rows
   with one id the greatest vector (array order) is the query.
 * Ties go to the smaller id.  An empty table gives an empty result.
+* Extra columns are not carried; their names are free.
 * Integer weights must keep every score within a long; otherwise it raises.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from paginal.llm.common import written
+
 #: Bytes of query vectors in one broadcast, the bound on what a pass sends out.
 QUERY_BYTES = 64 << 20
 #: Candidates in one block of postings, and query rows scored together.
@@ -162,31 +169,35 @@ def exact_top_k(
     schema = "query_id long, vec_id long, score long"
     width = max(1, stats["width"] or 1)
     rows = max(1, query_bytes // (8 * (width + 2 * k + 3)))
-    found = spark.createDataFrame([], schema)
-    for lot in range(-(-stats["n"] // rows)):
-        # A lot is a bounded share of the query ids, chosen by a range of ranks.
-        part = asked if stats["n"] <= rows else _lot(asked, lot, rows)
+    lots = max(1, -(-stats["n"] // rows))
+    if lots > 1:
+        asked = written(asked, "queries")
+        # Lots by hash differ in size: a few more keep them within the bound.
+        lots += -(-lots // 8)
+    found = []
+    for lot in range(lots):
+        part = asked if lots == 1 else asked.where(F.pmod(F.xxhash64(F.lit("lot"), "id"), F.lit(lots)) == lot)
         taken = part.toArrow()
         ids = taken["id"].to_numpy()
         matrix = np.zeros((len(ids), width), dtype=np.int64)
         for i, row in enumerate(taken["weights"].to_pylist()):
             matrix[i, : len(row)] = row
-        found = found.unionByName(_pass(spark, candidates, ids, matrix, k, schema))
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        found.withColumn("rank", F.row_number().over(ranked))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+        sent = spark.sparkContext.broadcast((ids, matrix))
+        best = _ranked(_pass(candidates, sent, k, schema), k)
+        if lots > 1:
+            best = written(best, "winners")
+            sent.unpersist()
+        found.append(best)
+    return reduce(DataFrame.unionByName, found)
 
 
-def _lot(asked: DataFrame, lot: int, rows: int) -> DataFrame:
-    """The lot-th run of at most ``rows`` query rows in order of id."""
-    return asked.orderBy("id").offset(lot * rows).limit(rows)
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _pass(spark: SparkSession, candidates: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int, schema: str) -> DataFrame:
-    sent = spark.sparkContext.broadcast((ids, matrix))
+def _pass(candidates: DataFrame, sent: Broadcast, k: int, schema: str) -> DataFrame:
+    """The k best candidates of each task for each query row of the broadcast."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, query_rows = sent.value
