@@ -10,10 +10,12 @@ operations:
 2. the counts meet the host totals, and what exceeds the ratio is kept: a
    host has at most (mean lines of a page / ratio) such lines, so one row per
    host carries them all;
-3. that small table meets the pages on (host, salt): pages of a hot host are
-   spread over the salts, the small side is repeated for each salt;
+3. that table is measured: up to a bound it is broadcast, and no text moves.
+   Beyond it, it meets the pages on (host, salt): hosts with more than a ten
+   thousandth of all pages (so ten thousand at most, which is what is broadcast
+   then) are spread over salts, and only their rows are repeated for each salt;
 4. each page drops its lines in place by array functions.  The text of a page
-   is never exploded or shuffled apart from that one join.
+   is never exploded, nor shuffled but in the join beyond the bound.
 
 Lines are compared without outer blanks; blank lines are always kept.
 
@@ -23,8 +25,9 @@ Defined results
   counts, a page of boilerplate only becomes an empty text.
 * A null host is a host of its own.
 * Repeated rows count as pages of their own.
-* Extra columns pass through; a column that has the name of an added one
-  (n_lines, n_dropped) is replaced.
+* Extra columns of any type pass through; a column that has the name of an
+  added one (n_lines, n_dropped) is replaced, names of helper columns are free.
+* A text of any length is one row; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,10 +35,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paginal.llm.common import spare_name, written
+
 #: Share of a host's pages beyond which a line is boilerplate, and the least pages.
 RATIO, MIN_PAGES = 0.1, 5
-#: Parts that a host's pages are dealt into.
-SALTS = 64
+#: Boilerplate lines up to which their table is broadcast (some 30 bytes each).
+BROADCAST_LINES = 500_000
+#: Share of all pages from which on a host is salted, and pages of one salt.
+HOT_SHARE, SALT_PAGES = 1e-4, 100_000
 
 
 def line_key(line: Column) -> Column:
@@ -49,7 +56,7 @@ def _lines(text: Column) -> Column:
 
 
 def boilerplate(pages: DataFrame, host_col: str, text_col: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, keys): the boilerplate lines of each host that has any."""
+    """(host, n_host, keys): pages and boilerplate lines of each host that has any such line."""
     host = F.col(host_col).cast("string").alias("host")
     keys = F.array_distinct(F.transform(F.filter(_lines(F.col(text_col)), lambda x: F.trim(x) != ""), line_key))
     held = (
@@ -63,7 +70,7 @@ def boilerplate(pages: DataFrame, host_col: str, text_col: str, ratio: float = R
     return (
         held.join(totals, held["host"].eqNullSafe(totals["host"]))
         .where(F.col("n_pages") > F.lit(ratio) * F.col("n_host"))
-        .groupBy(held["host"])
+        .groupBy(held["host"], "n_host")
         .agg(F.collect_set("key").alias("keys"))
     )
 
@@ -74,34 +81,41 @@ def drop_boilerplate_lines(
     text_col: str = "text",
     ratio: float = RATIO,
     min_pages: int = MIN_PAGES,
-    salts: int = SALTS,
+    broadcast_lines: int = BROADCAST_LINES,
 ) -> DataFrame:
     """The pages with boilerplate lines dropped, and n_lines, n_dropped.
 
     n_lines counts all lines of the text, blank ones too.
     """
-    bad = boilerplate(pages, host_col, text_col, ratio, min_pages)
-    # One row per host and salt; a host's keys are few (see above).
-    bad = bad.select(
-        F.coalesce(F.concat(F.lit("="), F.col("host")), F.lit("")).alias("__host"),
-        "keys",
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"),
-    ).withColumnRenamed("keys", "__keys")
-    kept = [c for c in pages.columns if c not in ("n_lines", "n_dropped")]
-    dealt = pages.select(
-        *kept,
-        F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit("")).alias("__host"),
-        F.pmod(F.xxhash64(*kept), F.lit(salts)).cast("int").alias("__salt"),
-    )
-    lines, dropped = F.col("__lines"), F.col("__keys")
-    clean = F.when(dropped.isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(dropped, line_key(x))))
-    out = dealt.join(bad, ["__host", "__salt"], "left").withColumn("__lines", _lines(F.col(text_col)))
-    out = out.withColumn("__clean", clean)
-    text = F.array_join("__clean", "\n").alias(text_col)
+    kept = [c for c in pages.columns if c.lower() not in ("n_lines", "n_dropped")]
+    names: list[str] = []
+    for stem in ("host", "salt", "salts", "keys", "lines", "clean"):
+        names.append(spare_name([*kept, *names, "n_lines", "n_dropped"], stem))
+    host, salt, salts, keys, lines, clean = names
+    # A null host is a host too: "=" before all others keeps them apart.
+    key_of = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))
+    bad = written(boilerplate(pages, host_col, text_col, ratio, min_pages), "boilerplate")
+    bad = bad.select(key_of(F.col("host")).alias(host), "n_host", F.col("keys").alias(keys))
+    dealt = pages.select(*kept, key_of(F.col(host_col).cast("string")).alias(host))
+    size = bad.agg(F.sum(F.size(keys)).alias("n")).first()["n"] or 0
+    if size <= broadcast_lines:
+        out = dealt.join(F.broadcast(bad.drop("n_host")), host, "left")
+    else:
+        least = max(SALT_PAGES, int(HOT_SHARE * pages.count()))
+        parts = F.when(F.col("n_host") > least, F.ceil(F.col("n_host") / SALT_PAGES)).otherwise(1)
+        hot = bad.where(F.col("n_host") > least).select(host, parts.alias(salts))
+        salted = dealt.join(F.broadcast(hot), host, "left").withColumn(salt, F.pmod(F.xxhash64(F.col(text_col).cast("string")), F.coalesce(salts, F.lit(1))))
+        spread = bad.select(host, keys, F.explode(F.sequence(F.lit(0), parts - 1)).alias(salt))
+        out = salted.join(spread, [host, salt], "left")
+    dropped = F.col(keys)
+    out = out.withColumn(lines, _lines(F.col(text_col)))
+    out = out.withColumn(clean, F.when(dropped.isNull(), F.col(lines)).otherwise(F.filter(lines, lambda x: ~F.array_contains(dropped, line_key(x)))))
+    text = F.array_join(clean, "\n").alias(text_col)
+    gone = F.col(text_col).isNull()
     return out.select(
         *[text if c == text_col else F.col(c) for c in kept],
-        F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size("__lines")).cast("long").alias("n_lines"),
-        F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size("__lines") - F.size("__clean")).cast("long").alias("n_dropped"),
+        F.when(gone, F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.when(gone, F.lit(0)).otherwise(F.size(lines) - F.size(clean)).cast("long").alias("n_dropped"),
     )
 
 

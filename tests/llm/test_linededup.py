@@ -42,5 +42,24 @@ def test_oracle(spark):
 
 def test_native_plan(spark):
     df = spark.createDataFrame([(1, "h", "a", "")], SCHEMA)
-    plan = linededup.drop_boilerplate_lines(df)._jdf.queryExecution().executedPlan().toString()
-    assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+    for bound in (10, -1):
+        plan = linededup.drop_boilerplate_lines(df, broadcast_lines=bound)._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_both_joins_agree(spark, monkeypatch):
+    """The broadcast and the salted join, with hot hosts, repeated rows and null hosts."""
+    monkeypatch.setattr(linededup, "SALT_PAGES", 7)
+    rows = [(i, ["a", "a", "b", None][i % 4], f"top\nown {i % 50}\n{'end' if i % 3 else ''}", "") for i in range(300)] + [(1000, "a", "top\nsame", "")] * 40
+    df = spark.createDataFrame(rows, SCHEMA)
+    one, other = (sorted(map(tuple, linededup.drop_boilerplate_lines(df, broadcast_lines=b).collect()), key=str) for b in (10**6, -1))
+    assert one == other and len(one) == 340 and sum(r[4] for r in one) > 340
+
+
+def test_clashing_and_map_columns(spark):
+    rows = [(i, "h", f"menu\nl{i}", ["z"], {"k": i}, i, i) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, __lines array<string>, lines map<string,int>, Host int, KEYS int")
+    for bound in (10, -1):
+        out = linededup.drop_boilerplate_lines(df, broadcast_lines=bound)
+        assert out.columns == [*df.columns, "n_lines", "n_dropped"]
+        assert {(r["text"], r["__lines"][0], r["lines"]["k"], r["Host"], r["KEYS"]) for r in out.collect()} == {(f"l{i}", "z", i, i, i) for i in range(8)}
