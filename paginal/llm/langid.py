@@ -9,8 +9,10 @@ the training did not see.
 
 Document frequencies and label counts cover all labelled rows.  Training takes
 a bounded sample: ``train_rows`` and ``calibration_rows`` for each label, the
-rows of least hash.  Everything sent to the driver or broadcast is bounded by
-the number of buckets times labels or sampled rows.
+rows of least hash of id and text, and fewer of each label where their features
+would exceed ``SAMPLE_BYTES``.  With many labels there are fewer buckets, so
+that the weights stay within ``MOST_WEIGHTS``.  What is sent to the driver or
+broadcast is bounded so.
 
 Defined results
 ---------------
@@ -33,10 +35,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paginal.llm.common import small_batches
+from paginal.llm.common import small_batches, spare_name, written
 
-#: Hash buckets of n-grams; n-gram orders; most labels that can be learned.
-BUCKETS, ORDERS, MAX_LABELS = 1 << 15, (1, 2, 3), 200
+#: Hash buckets of n-grams; n-gram orders.
+BUCKETS, ORDERS = 1 << 15, (1, 2, 3)
+#: Weights of a model (buckets times labels), for which buckets are halved down to the least; bytes of the sampled features.
+MOST_WEIGHTS, LEAST_BUCKETS, SAMPLE_BYTES = 1 << 23, 1 << 10, 256 << 20
 #: Labelled rows per label that training and calibration take at most.
 TRAIN_ROWS, CALIBRATION_ROWS = 300, 150
 #: Follow-the-regularised-leader: step, smoothing, elastic-net penalties, epochs, sum of a row's features.
@@ -236,14 +240,15 @@ def document_frequencies(labelled: DataFrame, text_col: str, buckets: int = BUCK
     return labelled.select(text_col).mapInArrow(count, "bucket int, df long").groupBy("bucket").agg(F.sum("df").alias("df"))
 
 
-def _sampled(labelled: DataFrame, labels: dict[str, int], id_col: str, text_col: str, lang_col: str, rows: int, buckets: int) -> list:
-    """(label, rank, buckets, counts) of the rows of least hash of each label."""
-    h = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1 << 30))
+def _sampled(labelled: DataFrame, labels: dict[str, int], rows: int, buckets: int, sample_bytes: int) -> list:
+    """(label, rank, buckets, counts) of the rows of least hash of each label; labelled: id, text, lang."""
+    # Rows that share an id, or have none, are told apart by their texts; equal rows are equal samples.
+    h = F.pmod(F.xxhash64(F.lit("sample"), "id", "text"), F.lit(1 << 30))
     # Twice the rows wanted by expectation, of which the least hashes are taken.
     rate = F.create_map(*[x for k, v in labels.items() for x in (F.lit(k), F.lit(min(1.0, 2 * rows / v + 20 / v)))])
-    near = labelled.where(h < rate[F.col(lang_col)] * (1 << 30)).withColumn("__h", h)
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy(lang_col).orderBy("__h", id_col)))
-    chosen = ranked.where(F.col("rank") <= rows).select(F.col(lang_col).alias("label"), "rank", F.col(text_col).alias("text"))
+    near = labelled.withColumn("h", h).where(F.col("h") < rate[F.col("lang")] * (1 << 30))
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id", "text")))
+    chosen = ranked.where(F.col("rank") <= rows).select(F.col("lang").alias("label"), "rank", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,8 +257,14 @@ def _sampled(labelled: DataFrame, labels: dict[str, int], id_col: str, text_col:
                 {"label": batch.column("label"), "rank": batch.column("rank"), "buckets": pa.array([b.astype("<u4").tobytes() for b, _ in got], pa.binary()), "counts": pa.array([c.astype("<u4").tobytes() for _, c in got], pa.binary())}
             )
 
-    out = chosen.mapInArrow(features, "label string, rank int, buckets binary, counts binary").collect()
-    return sorted(out, key=lambda r: (r["rank"], r["label"]))
+    found = written(chosen.mapInArrow(features, "label string, rank int, buckets binary, counts binary"), "sample")
+    taken, held = 0, 0
+    for r in sorted(found.groupBy("rank").agg(F.sum(F.octet_length("buckets") + F.octet_length("counts")).alias("n")).collect()):
+        held += r["n"]
+        if held > sample_bytes and taken:
+            break
+        taken = r["rank"]
+    return sorted(found.where(F.col("rank") <= taken).collect(), key=lambda r: (r["rank"], r["label"]))
 
 
 def fit(
@@ -264,23 +275,26 @@ def fit(
     train_rows: int = TRAIN_ROWS,
     calibration_rows: int = CALIBRATION_ROWS,
     buckets: int = BUCKETS,
+    sample_bytes: int = SAMPLE_BYTES,
 ) -> Model:
     """Learns from the labelled rows that are not held out."""
     small_batches(docs.sparkSession)
-    labelled = docs.where(F.col(lang_col).isNotNull() & ~held_out(id_col)).select(id_col, text_col, lang_col)
-    label_counts = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().limit(MAX_LABELS + 1).collect()}
-    if len(label_counts) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels")
+    labelled = docs.where(F.col(lang_col).isNotNull() & ~held_out(id_col)).select(
+        F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")
+    )
+    label_counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
     total = sum(label_counts.values())
+    while buckets > LEAST_BUCKETS and buckets * len(label_counts) > MOST_WEIGHTS:
+        buckets //= 2
     df = np.zeros(buckets)
     if total:
-        for r in document_frequencies(labelled, text_col, buckets).collect():
+        for r in document_frequencies(labelled, "text", buckets).collect():
             df[r["bucket"]] = r["df"]
     idf = np.log((1 + total) / (1 + df)) + 1
     labels = sorted(label_counts)
     if not labels:
         return Model([], idf, np.zeros((buckets, 0)), np.zeros(0), 1.0)
-    sample = _sampled(labelled, label_counts, id_col, text_col, lang_col, train_rows + calibration_rows, buckets)
+    sample = _sampled(labelled, label_counts, train_rows + calibration_rows, buckets, sample_bytes)
     parts: tuple[list, list, list, list] = ([], [], [], [])
     for r in sample:
         features = (np.frombuffer(r["buckets"], "<u4").astype(np.int64), np.frombuffer(r["counts"], "<u4").astype(np.float64))
@@ -297,13 +311,13 @@ def detect(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Adds lang_pred and score, from the text alone."""
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     schema = docs.select(*kept, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels, scores = sent.value.predict(batch.column("__text").to_pylist())
-            columns = [batch.column(c) for c in kept] + [pa.array(labels, pa.string()), pa.array(scores, pa.float64())]
+            labels, scores = sent.value.predict(batch.column(len(kept)).to_pylist())
+            columns = [*batch.columns[: len(kept)], pa.array(labels, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "lang_pred", "score"])
 
-    return docs.select(*kept, F.col(text_col).cast("string").alias("__text")).mapInArrow(predict, schema)
+    return docs.select(*kept, F.col(text_col).cast("string").alias(spare_name([*kept, "lang_pred", "score"]))).mapInArrow(predict, schema)

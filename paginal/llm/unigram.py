@@ -21,7 +21,9 @@ Defined results
 * Blanks become the mark U+2581, with one more in front; that mark itself,
   where a text holds it, is written as bytes: decoding always restores the text.
 * Rows with equal key and text get equal pieces.
-* ``encode`` replaces a column named ids, ``decode`` one named decoded.
+* A run without blanks (or of blanks) of more than ``LONGEST`` characters is drawn in runs of that length, one after another.
+* ``encode`` replaces a column named ids, ``decode`` one named decoded; other columns pass through.
+* An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paginal.llm.common import small_batches
+from paginal.llm.common import small_batches, spare_name
 from paginal.llm.shingles import mix
 
 MARK = "▁"
@@ -43,6 +45,8 @@ MARK = "▁"
 ALPHA, GROUP, EDGES = 1.0, 1 << 19, 3_000_000
 #: Rank that a byte of a character without a piece counts as.
 BYTE_RANK = 1_000_000
+#: Characters of a part at most: what has no blank for longer is sampled in pieces of that length.
+LONGEST = 4096
 #: Rows of an Arrow batch.
 ROWS = 512
 
@@ -95,7 +99,7 @@ class Pieces:
         known -= {MARK, " "}
         inside = "".join(map(re.escape, sorted(known)))
         # Characters of pieces with the blanks before them; blanks alone; any other character.
-        self.parts = re.compile(f" *[{inside}]+| +|.", re.DOTALL).findall
+        self.parts = re.compile(f" {{0,{LONGEST}}}[{inside}]{{1,{LONGEST}}}| {{1,{LONGEST}}}|.", re.DOTALL).findall
         self.piece_at = np.full(len(tree) + 1, -1, dtype=np.int64)
         self.piece_at[list(ends)] = list(ends.values())
         self.forget()
@@ -325,21 +329,22 @@ def encode(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", alp
     """Adds ids: a segmentation of each whole text, drawn by the row's key."""
     small_batches(docs.sparkSession, ROWS)
     path = model or default_path()
-    kept = [c for c in docs.columns if c != "ids"]
-    source = docs.select(*kept, F.col(text_col).cast("string").alias("__text"), F.xxhash64(F.lit(seed), F.col(key_col)).alias("__key"))
+    kept = [c for c in docs.columns if c.lower() != "ids"]
+    read, drawn = spare_name([*kept, "ids"]), spare_name([*kept, "ids"], "key")
+    source = docs.select(*kept, F.col(text_col).cast("string").alias(read), F.xxhash64(F.lit(seed), F.col(key_col)).alias(drawn))
     schema = docs.select(*kept, F.array().cast("array<int>").alias("ids")).schema
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(path, alpha)
         for batch in batches:
-            texts = batch.column("__text").to_pylist()
-            keys = batch.column("__key").to_numpy().view(np.uint64)
+            texts = batch.column(len(kept)).to_pylist()
+            keys = batch.column(len(kept) + 1).to_numpy().view(np.uint64)
             for part in groups(texts):
                 got = own.sample(texts[part], keys[part])
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in got])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(got)))
                 rows = batch.slice(part.start, part.stop - part.start)
-                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), lists], names=[*kept, "ids"])
+                yield pa.RecordBatch.from_arrays([*rows.columns[: len(kept)], lists], names=[*kept, "ids"])
 
     return source.mapInArrow(draw, schema)
 
@@ -347,7 +352,7 @@ def encode(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", alp
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     """Adds decoded: the text that the ids stand for."""
     path = model or default_path()
-    kept = [c for c in encoded.columns if c != "decoded"]
+    kept = [c for c in encoded.columns if c.lower() != "decoded"]
     schema = encoded.select(*kept, F.lit("").alias("decoded")).schema
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -71,3 +71,11 @@ def test_columns(spark, docs):
     assert unigram.encode(df.limit(0)).count() == 0
     null_key = spark.createDataFrame([(None, "some words")], "doc_id long, text string")
     assert unigram.decode(unigram.encode(null_key)).first()["decoded"] == "some words"
+
+
+def test_very_long_runs_and_clashing_names(spark):
+    texts = ["a" * 20_000 + " " * 9_000 + "b", "x"]
+    df = spark.createDataFrame([(k, t, "p", "q") for k, t in enumerate(texts)], "doc_id long, text string, __text string, key string")
+    got = sorted(unigram.decode(unigram.encode(df)).collect())
+    assert [r["decoded"] for r in got] == texts and (got[0]["__text"], got[0]["key"]) == ("p", "q")
+    assert unigram.encode(df).columns == [*df.columns, "ids"]
