@@ -34,3 +34,21 @@ def parse(line: str) -> Query:
     words = terms_of(line)
     terms = tuple(w for w in words if w != "OR")
     return Query(terms, OR if len(terms) < len(words) else AND, tuple(words), line)
+
+
+_BROWSER_SPACE = re.compile("[" + re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: re.escape(chr(int(m[1], 16))), T.BROWSER_SPACE) + "]+")
+#: Bytes of a query line that are read.
+LINE_BYTES = 4095
+# What is said instead of results.
+NO_TOKENS, NO_RESULTS, TWO_NEEDED = "no tokens", "no results", "need at least two tokens"
+
+
+def browser_terms(line: str) -> list[str]:
+    """The words of a line as a browser takes them, as they are."""
+    return [w for w in _BROWSER_SPACE.split(line) if w]
+
+
+def read_line(raw: bytes) -> str:
+    """The query in the first line of raw input: at most LINE_BYTES, without its line end."""
+    line, end, _ = raw[:LINE_BYTES].partition(b"\n")
+    return (line[:-1] if end and line.endswith(b"\r") else line).decode("utf-8", "replace")

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from paginal.operators.prefix import prefix_sums
+
+#: Page numbers that are summed up together.
+PAGE_RANGE = 1 << 16
 # Style bits of a formatting, the bit of a deleted highlight.
 BOLD, ITALIC, UNDERLINE, SMALL_CAPS, DELETED = 1, 2, 4, 8, 1
 #: An end that never comes: annotations that end at or before their start stay open.
@@ -16,6 +20,15 @@ def page_counts(annotations: DataFrame) -> DataFrame:
     return annotations.groupBy("page_id").agg(F.count("*").alias("n"))
 
 
+def page_entries(annotations: DataFrame) -> DataFrame:
+    """(page_id, first_index, n) of one kind of annotation, when all are numbered from 0 in order of page.
+
+    Pages are counted first; only their counts are summed up, by ranges of pages.
+    """
+    counted = page_counts(annotations).withColumn("range", F.floor(F.col("page_id") / PAGE_RANGE))
+    return prefix_sums(counted, "range", ["page_id"], {"first_index": F.col("n")}).select("page_id", "first_index", "n")
+
+
 def of_page(annotations: DataFrame, page_id: int) -> DataFrame:
     """One page's annotations; the filter reaches the scan."""
     return annotations.where(F.col("page_id") == page_id)

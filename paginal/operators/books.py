@@ -51,9 +51,13 @@ def book_summary(pages: DataFrame, chapters: DataFrame | None = None) -> DataFra
 
 
 def number_chapters(titles: DataFrame) -> DataFrame:
-    """Chapters of (book_id, id, tit, lvl, sub): headings without text dropped, numbered by start page."""
+    """Chapters of (book_id, id, tit, lvl, sub): headings without text dropped, numbered by start page.
+
+    Headings of one page stay in the order of ``seq``, the row's place in its
+    source, if the table has it, else they go by title.
+    """
     kept = titles.where(F.col("tit").isNotNull() & (F.col("tit") != ""))
-    order = ["id", "tit"]
+    order = ["id", "seq" if "seq" in titles.columns else "tit"]
     own = kept.withColumn("chapter_number", F.row_number().over(Window.partitionBy("book_id").orderBy(*order)))
     return dense_number(own, "book_id", order, "chapter_id").select(
         "chapter_id", "book_id", "chapter_number", F.col("id").alias("start_page"), F.col("tit").alias("title"), F.col("lvl").alias("level"), "sub"
@@ -91,14 +95,23 @@ def chapter_ranges(pages: DataFrame, chapters: DataFrame) -> DataFrame:
     )
 
 
+def _first(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """The first row of each key."""
+    values = F.struct(*columns)
+    place = F.struct(*(c for c in ("book_id", "seq") if c in rows.columns)) if "seq" in rows.columns else values
+    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(values, place).alias("v")).select(key, "v.*")
+
+
 def book_metadata(books: DataFrame, meta: DataFrame, categories: DataFrame, authors: DataFrame) -> DataFrame:
     """Every book with its title, category and author; what is missing is null.
 
-    meta: (bkid, bk, cat, betaka, inf, authno); the first row of an id counts.
+    meta: (bkid, bk, cat, betaka, inf, authno); categories: (id, cat); authors: (authid, auth).
+    The first row of an id counts, by source (``book_id``) and place in it (``seq``); tables
+    without these have no order, and the least row counts.
     """
-    first_meta = meta.groupBy("bkid").agg(F.min(F.struct("bk", "cat", "betaka", "inf", "authno")).alias("m")).select("bkid", "m.*")
-    names = categories.groupBy(F.col("id").alias("cat_id")).agg(F.min("cat").alias("category"))
-    people = authors.groupBy(F.col("authid").alias("auth_id")).agg(F.min("auth").alias("author"))
+    first_meta = _first(meta, "bkid", ["bk", "cat", "betaka", "inf", "authno"])
+    names = _first(categories, "id", ["cat"]).select(F.col("id").alias("cat_id"), F.col("cat").alias("category"))
+    people = _first(authors, "authid", ["auth"]).select(F.col("authid").alias("auth_id"), F.col("auth").alias("author"))
     return (
         books.join(first_meta, F.col("book_id") == F.col("bkid"), "left")
         .join(names, F.col("cat") == F.col("cat_id"), "left")

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paginal.functions.text import hash64, tokens
-from paginal.operators.prefix import prefix_sum
+from paginal.functions.text import hash64, hash64_bits, tokens, unsigned
+from paginal.operators.prefix import prefix_sums
 
 # Fixed values of the storage model: bytes of a block's length field, of a page entry, of a position, of the file header.
 LENGTH_BYTES, PAGE_BYTES, POSITION_BYTES, HEADER_BYTES = 4, 8, 4, 52
+#: Page numbers of a block of a term's postings; values summed at once; leading characters that group terms in order.
+BLOCK_PAGES, RUN, LEAD = 1 << 16, 256, 3
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
@@ -28,76 +34,153 @@ def hash_collisions(occ: DataFrame) -> DataFrame:
 
 
 def postings(occ: DataFrame) -> DataFrame:
-    """(term, page_id, tf, positions): positions ascend."""
+    """(term, page_id, tf, positions) of occurrences in any order: positions ascend."""
     return occ.groupBy("term", "page_id").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
+def page_postings(pages: DataFrame) -> DataFrame:
+    """The same from pages, one row a page: a page's postings are made where its row lies, so that no token moves.
+
+    Texts are split by built-in expressions; the tokens of a batch then become
+    numbers, and one stable sort by page and number brings equal ones together.
+    (Grouping tokens in an exchange, or in the row by array expressions, takes
+    some four times as long.)
+    """
+    schema = pages.select(F.lit("").alias("term"), "page_id", F.lit(0).alias("tf"), F.array().cast("array<int>").alias("positions")).schema
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            if not batch.num_rows:
+                continue
+            ends = lists.offsets.to_numpy().astype(np.int64)
+            size = np.diff(ends)
+            words = lists.values.slice(int(ends[0]), int(ends[-1] - ends[0])).dictionary_encode()
+            code, letters = words.indices.to_numpy().astype(np.int64), len(words.dictionary)
+            page = np.repeat(np.arange(len(size)), size)
+            order = np.argsort(page * letters + code, kind="stable")
+            page, code = page[order], code[order]
+            fresh = np.ones(len(order), dtype=bool)
+            fresh[1:] = (page[1:] != page[:-1]) | (code[1:] != code[:-1])
+            first = np.flatnonzero(fresh)
+            edges = np.append(first, len(order)).astype(np.int32)
+            pos = (order - (ends[:-1] - ends[0])[page]).astype(np.int32)
+            positions = pa.ListArray.from_arrays(pa.array(edges), pa.array(pos))
+            columns = [words.dictionary.take(pa.array(code[first])), batch.column(0).take(pa.array(page[first])), pa.array(np.diff(edges)), positions]
+            yield pa.RecordBatch.from_arrays(columns, names=["term", "page_id", "tf", "positions"])
+
+    return pages.where(F.col("text") != "").select("page_id", tokens("text").alias("words")).mapInArrow(gather, schema)
+
+
+def _by_block(post: DataFrame) -> DataFrame:
+    """Postings with their block of pages, dealt by (term, block): a frequent term spreads over its blocks."""
+    return post.withColumn("block", F.floor(F.col("page_id") / BLOCK_PAGES)).repartition("term", "block")
+
+
+def _blocks(dealt: DataFrame, value: Column, name: str) -> DataFrame:
+    """(t, b, name) of every block of every term."""
+    return dealt.groupBy(F.col("term").alias("t"), F.col("block").alias("b")).agg(value.alias(name))
+
+
+def _with(dealt: DataFrame, blocks: DataFrame) -> DataFrame:
+    return dealt.join(blocks, (F.col("term") == F.col("t")) & (F.col("block") == F.col("b"))).drop("t", "b")
+
+
 def encode_deltas(post: DataFrame) -> DataFrame:
     """(term, page_id, page_delta, tf, position_deltas): each number less the one before."""
-    by_term = Window.partitionBy("term").orderBy("page_id")
+    dealt = _by_block(post)
+    order = Window.partitionBy("t").orderBy("b")
+    last = _blocks(dealt, F.max("page_id"), "last").select("t", "b", F.coalesce(F.lag("last").over(order), F.lit(0)).alias("behind"))
+    inside = Window.partitionBy("term", "block").orderBy("page_id")
     before = F.concat(F.array(F.lit(0)), F.slice("positions", 1, F.greatest(F.size("positions") - 1, F.lit(0))))
-    return post.select(
-        "term", "page_id",
-        (F.col("page_id") - F.coalesce(F.lag("page_id").over(by_term), F.lit(0))).alias("page_delta"),
-        "tf", F.zip_with("positions", before, lambda a, b: a - b).alias("position_deltas"),
+    return _with(dealt.withColumn("lagged", F.lag("page_id").over(inside)), last).select(
+        "term", "page_id", (F.col("page_id") - F.coalesce("lagged", "behind")).alias("page_delta"), "tf", F.zip_with("positions", before, lambda a, b: a - b).alias("position_deltas")
+    )
+
+
+def _running(values: Column, start: Column) -> Column:
+    """Running sums of a short array."""
+    return F.aggregate(
+        values, F.array().cast("array<int>"),
+        lambda all, d: F.concat(all, F.array(F.coalesce(F.element_at(all, F.when(F.size(all) > 0, F.lit(-1))), start) + d)),
     )
 
 
+def running_sums(values: str) -> Column:
+    """Running sums of an array of any length: runs of RUN values on top of the sums before, so time grows with the length."""
+    n = F.ceil(F.size(values) / RUN).cast("int")
+    runs = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(values, i * RUN + 1, F.lit(RUN)))
+    sums = F.transform(runs, lambda r: F.aggregate(r, F.lit(0), lambda a, d: a + d))
+    starts = F.concat(F.array(F.lit(0)), _running(F.slice(sums, 1, n - 1), F.lit(0)))
+    long = F.flatten(F.zip_with(runs, starts, lambda r, s: _running(r, s)))
+    return F.when(F.size(values) <= RUN, _running(F.col(values), F.lit(0))).otherwise(long)
+
+
 def decode_deltas(deltas: DataFrame) -> DataFrame:
     """Postings again: running sums of page deltas per term and of position deltas."""
-    by_term = Window.partitionBy("term").orderBy("page_id").rowsBetween(Window.unboundedPreceding, 0)
-    added = F.aggregate(
-        "position_deltas", F.array().cast("array<int>"),
-        lambda all, d: F.concat(all, F.array(F.coalesce(F.element_at(all, F.when(F.size(all) > 0, F.lit(-1))), F.lit(0)) + d)),
-    )
-    return deltas.select("term", F.sum("page_delta").over(by_term).alias("page_id"), "tf", added.alias("positions"))
+    dealt = _by_block(deltas)
+    ahead = Window.partitionBy("t").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = _blocks(dealt, F.sum("page_delta"), "moved").select("t", "b", F.coalesce(F.sum("moved").over(ahead), F.lit(0)).alias("behind"))
+    inside = Window.partitionBy("term", "block").orderBy("page_id").rowsBetween(Window.unboundedPreceding, 0)
+    placed = _with(dealt.withColumn("own", F.sum("page_delta").over(inside)), starts)
+    return placed.select("term", (F.col("behind") + F.col("own")).alias("page_id"), "tf", running_sums("position_deltas").alias("positions"))
 
 
 def dictionary(occ: DataFrame) -> DataFrame:
-    """(term, cf, df): occurrences and pages of each term."""
+    """(term, cf, df): occurrences and pages of each term, from occurrences."""
     return occ.groupBy("term", "page_id").agg(F.count("*").alias("tf")).groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
 
 
+def posting_dictionary(post: DataFrame) -> DataFrame:
+    """The same from postings: one narrow exchange of partial sums."""
+    return post.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
+
+
 def block_sizes(words: DataFrame) -> DataFrame:
     """Adds block_bytes: the encoded size of a term's postings, from its cf and df."""
     return words.withColumn("block_bytes", F.lit(LENGTH_BYTES) + PAGE_BYTES * F.col("df") + POSITION_BYTES * F.col("cf"))
 
 
-def stored_dictionary(occ: DataFrame) -> DataFrame:
-    """The dictionary with word_hash and postings_offset, in order of the unsigned hash.
+def stored_dictionary(words: DataFrame) -> DataFrame:
+    """A dictionary (term, cf, df) with word_hash, block_index and postings_offset, in order of the unsigned hash.
 
-    Offsets sum up sizes within the 256 ranges of the hash's top byte, on top
-    of the ranges before.
+    Numbers and offsets sum up within the 65536 ranges of the hash's top two
+    bytes, on top of the ranges before.
     """
-    words = block_sizes(dictionary(occ)).withColumn("word_hash", hash64("term"))
-    top = F.floor(F.col("word_hash") / F.lit(1 << 56)).cast("int")
-    placed = prefix_sum(words.withColumn("__top", top), "__top", ["word_hash"], LENGTH_BYTES + F.col("block_bytes"), "__before")
-    return placed.select("term", "word_hash", "cf", "df", "block_bytes", (F.lit(HEADER_BYTES) + F.col("__before")).alias("postings_offset"))
+    hashed = block_sizes(words).withColumn("bits", hash64_bits("term"))
+    # Less by 2**63, signed bits are in the order of the unsigned ones.
+    keyed = hashed.withColumn("range", F.shiftrightunsigned("bits", 48)).withColumn("at", F.col("bits").bitwiseXOR(F.lit(-(1 << 63))))
+    placed = prefix_sums(keyed, "range", ["at"], {"postings_offset": LENGTH_BYTES + F.col("block_bytes"), "block_index": F.lit(1)})
+    return placed.select("term", unsigned("bits").alias("word_hash"), "cf", "df", "block_bytes", (F.lit(HEADER_BYTES) + F.col("postings_offset")).alias("postings_offset"), "block_index")
 
 
-def sorted_occurrences(occ: DataFrame) -> DataFrame:
-    """Adds rank: the row's number in order of term, page, position.
+def stored_blocks(stored: DataFrame) -> DataFrame:
+    """One row for each block of postings in order: index, offset, encoded and plain bytes, ratio.
 
-    Terms are numbered on the dictionary, rows within their page, pages within
-    their term: no task orders all rows.
+    Blocks are stored as they are, without compression: no plain size is kept, and the ratio is 1.
     """
-    page = occ.groupBy("term", "page_id").agg(F.count("*").alias("tf"))
-    ahead = Window.partitionBy("term").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)
-    pages = page.select(F.col("term").alias("t"), F.col("page_id").alias("p"), F.coalesce(F.sum("tf").over(ahead), F.lit(0)).alias("in_term"))
-    words = page.groupBy("term").agg(F.sum("tf").alias("cf")).withColumn("lead", F.left("term", F.lit(1)))
-    starts = prefix_sum(words, "lead", ["term"], F.col("cf"), "start").select(F.col("term").alias("w"), "start")
-    own = Window.partitionBy("term", "page_id").orderBy("pos")
-    return (
-        occ.withColumn("own", F.row_number().over(own))
-        .join(pages, (F.col("term") == F.col("t")) & (F.col("page_id") == F.col("p")))
-        .join(starts, F.col("term") == F.col("w"))
-        .select("term", "page_id", "pos", (F.col("start") + F.col("in_term") + F.col("own")).cast("long").alias("rank"))
-    )
+    return stored.select("block_index", "postings_offset", F.col("block_bytes").alias("stored_bytes"), F.lit(0).cast("long").alias("plain_bytes"), F.lit(1.0).alias("ratio"))
+
 
+def sorted_occurrences(post: DataFrame) -> DataFrame:
+    """Every occurrence of postings with its rank in order of term, page, position.
 
-def block_stats(occ: DataFrame) -> DataFrame:
-    """One row of totals: terms, occurrences, bytes encoded with and without length fields."""
-    return block_sizes(dictionary(occ)).agg(
+    Blocks of a term's pages are placed by their sums, pages within their
+    block, positions within their page: no task orders all rows, nor all rows
+    of a term, and occurrences are made last.
+    """
+    dealt = _by_block(post)
+    blocks = _blocks(dealt, F.sum("tf"), "n").withColumn("lead", F.left("t", F.lit(LEAD)))
+    starts = prefix_sums(blocks, "lead", ["t", "b"], {"start": F.col("n")}).select("t", "b", "start")
+    ahead = Window.partitionBy("term", "block").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = _with(dealt.withColumn("in_block", F.coalesce(F.sum("tf").over(ahead), F.lit(0))), starts)
+    base = F.col("start") + F.col("in_block")
+    return placed.select("term", "page_id", base.alias("base"), F.posexplode("positions").alias("i", "pos")).select("term", "page_id", "pos", (F.col("base") + F.col("i") + 1).cast("long").alias("rank"))
+
+
+def block_stats(words: DataFrame) -> DataFrame:
+    """One row of totals of a dictionary: terms, occurrences, bytes encoded with and without length fields."""
+    return block_sizes(words).agg(
         F.count("*").alias("blocks"),
         F.sum("cf").alias("occurrences"),
         F.sum("block_bytes").alias("block_bytes"),

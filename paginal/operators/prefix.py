@@ -11,25 +11,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def group_starts(df: DataFrame, group: str, value: Column, name: str) -> DataFrame:
-    """(group, name): the sum of value over all groups that sort before."""
-    before = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
-    sums = df.groupBy(group).agg(F.sum(value).cast("long").alias("__sum"))
-    return sums.select(group, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias(name))
+def prefix_sums(df: DataFrame, group: str, order: list[str], values: dict[str, Column]) -> DataFrame:
+    """Adds, under each name, the sum of its value over all rows before, in order of group, then order."""
+    df = df.repartition(F.col(group))
+    inside = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.groupBy(F.col(group).alias("__group")).agg(*(F.sum(v).cast("long").alias(f"__{n}") for n, v in values.items()))
+    starts = sums.select("__group", *(F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__start_{n}") for n in values))
+    own = df.withColumns({f"__inside_{n}": F.coalesce(F.sum(v).over(inside), F.lit(0)) for n, v in values.items()})
+    placed = own.join(starts, F.col(group).eqNullSafe(F.col("__group")))
+    placed = placed.withColumns({n: (F.col(f"__start_{n}") + F.col(f"__inside_{n}")).cast("long") for n in values})
+    return placed.drop("__group", *(f"__{part}_{n}" for n in values for part in ("start", "inside")))
 
 
 def prefix_sum(df: DataFrame, group: str, order: list[str], value: Column, name: str) -> DataFrame:
     """Adds the sum of value over all rows before, in order of group, then order."""
-    df = df.repartition(F.col(group))
-    inside = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    starts = group_starts(df, group, value, "__start")
-    own = df.withColumn("__inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return own.join(starts, group).withColumn(name, (F.col("__start") + F.col("__inside")).cast("long")).drop("__start", "__inside")
+    return prefix_sums(df, group, order, {name: value})
 
 
 def dense_number(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
     """Adds numbers from 0 without gaps, in order of group, then order."""
-    df = df.repartition(F.col(group))
-    starts = group_starts(df, group, F.lit(1), "__start")
-    own = df.withColumn("__row", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
-    return own.join(starts, group).withColumn(name, (F.col("__start") + F.col("__row") - 1).cast("long")).drop("__start", "__row")
+    return prefix_sums(df, group, order, {name: F.lit(1)})

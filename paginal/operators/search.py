@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paginal.functions.query import AND, OR, parse
+from paginal.functions.query import AND, OR, browser_terms, parse
 from paginal.functions.text import tokens
 
 # Fixed values of the relevance score.
@@ -199,3 +199,17 @@ def phrase_by_category(pages: DataFrame, line: str, category: str) -> DataFrame:
 
 
 __all__ = ["AND", "OR", "adjacent", "intersect", "matches_in_pages", "matches_in_postings", "phrase", "phrase_by_category", "rank", "search_pages", "search_postings", "term_pages", "term_weights", "top", "union"]
+
+
+def result_lines(hits: DataFrame) -> DataFrame:
+    """(line): page and score of each hit as text, or the category and the page of a phrase."""
+    shown = [F.col("page_id").cast("string"), F.format_string("%.6f", "score")] if "score" in hits.columns else [F.col(c).cast("string") for c in hits.columns]
+    return hits.select(F.concat_ws(" ", *shown).alias("line"))
+
+
+def browser_phrase(post: DataFrame, line: str) -> DataFrame:
+    """(page_id) of pages that hold a line's words in a row, the words taken as a browser does; none without words."""
+    terms = tuple(browser_terms(line))
+    if not terms:
+        return post.select("page_id").limit(0)
+    return phrase(matches_in_postings(post, terms), terms)

@@ -53,17 +53,35 @@ def _last_bytes(text: Column, n: int) -> Column:
     return F.substring(raw, F.greatest(F.octet_length(raw) - n, F.lit(0)) + 1, F.lit(n))
 
 
-def snippets(hits: DataFrame, pages: DataFrame, line: str, exact_only: bool = False) -> DataFrame:
+#: Hits up to which their page numbers are broadcast.
+MOST_BROADCAST = 10_000
+
+
+def looked_up(hits: DataFrame, pages: DataFrame, most: int | None) -> DataFrame:
+    """The pages of the hits and those numbered one higher.
+
+    With at most ``most`` hits, a bounded number, their page numbers are
+    broadcast: the scan of pages drops all others, and no text is shuffled but
+    that of the pages found.
+    """
+    if most is None or most > MOST_BROADCAST:
+        return pages
+    ids = hits.select(F.explode(F.array(F.col("page_id"), F.col("page_id") + 1)).alias("wanted")).distinct()
+    return pages.join(F.broadcast(ids), F.col("page_id") == F.col("wanted"), "left_semi")
+
+
+def snippets(hits: DataFrame, pages: DataFrame, line: str, exact_only: bool = False, most: int | None = None) -> DataFrame:
     """Hits (page_id, score) with kind, last_page_id, before, match, after and snippet.
 
     pages: (page_id, book_id, page_number, text).  A hit without a page keeps
     its row, as ``missing``.  exact_only drops hits that do not show the line;
-    it applies to the hits given, so it follows any offset and limit.
+    it applies to the hits given, so it follows any offset and limit.  ``most``
+    tells how many hits there can be at most, if that is known.
     """
     words = list(parse(line).words)
+    pages = looked_up(hits, pages, most)
     kept = pages.select(F.col("page_id").alias("pid"), "book_id", "page_number", "text")
     near = pages.select(F.col("book_id").alias("nb"), F.col("page_id").alias("np"), F.col("text").alias("next_text"))
-    # Only the hits' pages and their neighbours are looked up.
     found = hits.join(kept, F.col("page_id") == F.col("pid"), "left")
     found = found.join(near, (F.col("np") == F.col("page_id") + 1) & (F.col("nb") == F.col("book_id")), "left")
     text = F.col("text")

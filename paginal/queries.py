@@ -6,8 +6,9 @@ book rows, whose user turns start chapters.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from paginal.functions import text as T
 from paginal.functions.query import parse
 from paginal.operators import annotations, books, index, search, snippets
 from paginal.operators.prefix import dense_number
+from paginal.sources.sqlite_books import book_database, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +40,10 @@ def _occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.occurrences(_pages(spark, sf_dir))
 
 
+def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.page_postings(_pages(spark, sf_dir))
+
+
 def _book_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     talk = _table(spark, sf_dir, "conversations")
     return talk.select(F.col("conv_id").alias("book_id"), F.col("turn").alias("id"), F.floor(F.col("turn") / 2).alias("page"), F.col("text").alias("nass"))
@@ -148,6 +154,45 @@ def tokenize_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).where(F.col("text") != "").select("page_id", F.posexplode(T.raw_tokens("text")).alias("pos", "term"))
 
 
+_RAW_LITERALS = ["آحمد يَس", "ةَ,b-C", "  x  ", "", "«q»", "ال.كتاب"]
+_RAW_SQL = "(values " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(_RAW_LITERALS)) + ") v(id, text)"
+
+
+@_register("tokenize_raw_literals", f"select id, array_to_string({RAW_TOKENS}, '|') as raw, array_to_string({TOKENS}, '|') as folded from {_RAW_SQL}")
+def tokenize_raw_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts whose raw and folded tokens differ."""
+    rows = spark.createDataFrame(list(enumerate(_RAW_LITERALS)), "id int, text string")
+    return rows.select("id", F.array_join(T.raw_tokens("text"), "|").alias("raw"), F.array_join(T.tokens("text"), "|").alias("folded"))
+
+
+def _stem_words_sql() -> str:
+    size = "octet_length(encode({0}))"
+    listed = lambda words: ", ".join(f"('{w}')" for w in words)
+    pre = " ".join(f"when starts_with(w,'{p}') and {size.format('w')} >= {len(p.encode()) + 4} then substr(w,{len(p) + 1})" for p in T.PREFIXES)
+    suf = " ".join(f"when ends_with(b,'{s}') and {size.format('b')} >= {len(s.encode()) + 4} then left(b,length(b)-{len(s)})" for s in T.SUFFIXES)
+    words = f"select p || m || s w from (values (''), {listed(T.PREFIXES)}) a(p), (values {listed(_STEMS)}) b(m), (values (''), {listed(T.SUFFIXES)}) c(s)"
+    return f"select w as word, case when {size.format('w')} <= 4 then w else case {suf} else b end end as stem from (select w, case {pre} else w end b from ({words}))"
+
+
+_STEMS = ["كتب", "ع", "مدرس", "ول", "x"]
+
+
+@_register("light_stem_words", _stem_words_sql())
+def light_stem_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prefix and suffix around stems of one to four letters."""
+    words = [(p + m + s,) for p in ("", *T.PREFIXES) for m in _STEMS for s in ("", *T.SUFFIXES)]
+    return spark.createDataFrame(words, "word string").select("word", T.light_stem("word").alias("stem"))
+
+
+_BROWSER_WORDS = "list_filter(string_split_regex(text, '[" + T.BROWSER_SPACE + "]+'), lambda x: x <> '')"
+
+
+@_register("browser_words", f"select doc_id as page_id, cast(len(ws) as integer) as n, array_to_string(ws, ' ') as words from (select doc_id, {_BROWSER_WORDS} ws from documents)")
+def browser_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _pages(spark, sf_dir).select("page_id", T.browser_words("text").alias("w"))
+    return words.select("page_id", F.when(F.col("w").isNotNull(), F.size("w")).alias("n"), F.array_join("w", " ").alias("words"))
+
+
 # 64-bit FNV-1a needs wrapping products; SQL has them as 128-bit products cut by a modulus.
 _M = "18446744073709551616::uhugeint"
 HASH_SQL = f"""with {OCC}, w as (select distinct term from occ),
@@ -184,7 +229,7 @@ _POST = "post as (select term, page_id, cast(count(*) as integer) tf, list(cast(
 
 @_register("postings", f"with {OCC}, {_POST} select term, page_id, tf, array_to_string(positions, ',') as positions from post")
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = index.postings(_occurrences(spark, sf_dir))
+    found = _postings(spark, sf_dir)
     return found.withColumn("positions", F.array_join("positions", ","))
 
 
@@ -195,13 +240,13 @@ select term, page_id, page_id - coalesce(lag(page_id) over (partition by term or
        array_to_string(list_transform(range(1, len(positions) + 1), lambda i: positions[i] - case when i > 1 then positions[i - 1] else 0 end), ',') as position_deltas from post""",
 )
 def posting_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = index.encode_deltas(index.postings(_occurrences(spark, sf_dir)))
+    found = index.encode_deltas(_postings(spark, sf_dir))
     return found.withColumn("position_deltas", F.array_join("position_deltas", ","))
 
 
 @_register("posting_decode", SQL["postings"])
 def posting_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = index.decode_deltas(index.encode_deltas(index.postings(_occurrences(spark, sf_dir))))
+    found = index.decode_deltas(index.encode_deltas(_postings(spark, sf_dir)))
     return found.withColumn("positions", F.array_join("positions", ","))
 
 
@@ -210,7 +255,7 @@ _DICT = "dict as (select term, count(*) cf, count(distinct page_id) df from occ
 
 @_register("dictionary_df_cf", f"with {OCC}, {_DICT} select term, cf, df from dict")
 def dictionary_df_cf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.dictionary(_occurrences(spark, sf_dir))
+    return index.posting_dictionary(_postings(spark, sf_dir))
 
 
 @_register(
@@ -221,7 +266,24 @@ select term, word_hash, cf, df, 4 + 8 * df + 4 * cf as block_bytes,
 from dict join hashed using (term)""",
 )
 def stored_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.stored_dictionary(_occurrences(spark, sf_dir))
+    return index.stored_dictionary(index.posting_dictionary(_postings(spark, sf_dir))).drop("block_index")
+
+
+@_register(
+    "posting_blocks",
+    f"""with hashed as ({HASH_SQL}), {OCC}, {_DICT}
+select row_number() over (order by word_hash) - 1 as block_index, cast(52 + coalesce(sum(8 + 8 * df + 4 * cf) over (order by word_hash rows between unbounded preceding and 1 preceding), 0) as bigint) as postings_offset,
+       4 + 8 * df + 4 * cf as stored_bytes, cast(0 as bigint) as plain_bytes, cast(1 as double) as ratio from dict join hashed using (term)""",
+)
+def posting_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.stored_blocks(index.stored_dictionary(index.posting_dictionary(_postings(spark, sf_dir))))
+
+
+@_register("occurrence_postings", SQL["postings"])
+def occurrence_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings from occurrences in any order, as incremental indexing has them."""
+    found = index.postings(_occurrences(spark, sf_dir))
+    return found.withColumn("positions", F.array_join("positions", ","))
 
 
 @_register(
@@ -230,7 +292,7 @@ def stored_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 cast(sum(8 + 8 * df + 4 * cf) as bigint) as stored_bytes, max(4 + 8 * df + 4 * cf) as largest_block from dict""",
 )
 def posting_block_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.block_stats(_occurrences(spark, sf_dir))
+    return index.block_stats(index.posting_dictionary(_postings(spark, sf_dir)))
 
 
 @_register(
@@ -238,7 +300,7 @@ def posting_block_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"with {OCC} select term, page_id, cast(pos as integer) as pos, row_number() over (order by term, page_id, pos) as rank from occ",
 )
 def occurrence_sorted_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.sorted_occurrences(_occurrences(spark, sf_dir))
+    return index.sorted_occurrences(_postings(spark, sf_dir))
 
 
 # --- books
@@ -342,6 +404,49 @@ def book_meta_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return books.book_metadata(docs, meta, names, people).select("book_id", "title", "category")
 
 
+@_register(
+    "book_meta_first",
+    """select conv_id as book_id, arg_min(text, turn) as title, arg_min(role, turn) as category from conversations group by conv_id""",
+)
+def book_meta_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as books with a row of metadata for each turn: the first one counts."""
+    talk = _table(spark, sf_dir, "conversations")
+    none = F.lit(None).cast("string")
+    kind = F.when(F.col("role") == "user", 1).otherwise(2)
+    meta = talk.select(
+        F.col("conv_id").alias("bkid"), F.col("text").alias("bk"), F.crc32("role").alias("cat"), none.alias("betaka"), none.alias("inf"), kind.alias("authno"), F.col("conv_id").alias("book_id"), F.col("turn").alias("seq")
+    )
+    names = talk.select(F.crc32("role").alias("id"), F.col("role").alias("cat")).distinct()
+    people = spark.createDataFrame([], "authid int, auth string")
+    found = books.book_metadata(talk.select(F.col("conv_id").alias("book_id")).distinct(), meta, names, people)
+    return found.select("book_id", "title", "category")
+
+
+@_register(
+    "sqlite_book_rows",
+    "select conv_id as book_id, row_number() over (partition by conv_id order by turn, role, text) - 1 as seq, text as nass, cast(turn as integer) as id, cast(turn // 2 as integer) as page, role as part from conversations",
+)
+def sqlite_book_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as one book database each, and read again."""
+    talk = _table(spark, sf_dir, "conversations")
+    rows = talk.select(F.col("conv_id").alias("book_id"), F.struct("turn", "role", "text").alias("row"))
+    whole = rows.groupBy("book_id").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [book_database({"book": [(r["text"], r["turn"], r["turn"] // 2, r["role"]) for r in rows]}) for rows in batch["rows"]]
+            yield pd.DataFrame({"book_id": batch["book_id"], "content": pd.Series(made, dtype=object)})
+
+    files = whole.mapInPandas(pack, "book_id long, content binary")
+    return read_table(files, "book").select("book_id", "seq", "nass", "id", "page", "part")
+
+
+@_register("book_chapter_counts", "select conv_id as book_id, count(distinct turn) as page_count, count(distinct turn) filter (where role = 'user') as chapter_count from conversations where text <> '' group by conv_id")
+def book_chapter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _turn_pages(spark, sf_dir).withColumn("text", F.lit("x"))
+    return books.book_summary(pages, _chapters(spark, sf_dir)).select("book_id", "page_count", "chapter_count")
+
+
 @_register("page_text_lookup", "select doc_id as page_id, text from documents where doc_id in (3, 57, 100, 999)")
 def page_text_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return books.page_text(_pages(spark, sf_dir), [3, 57, 100, 999]).select("page_id", "text")
@@ -428,7 +533,7 @@ for _name, _line in {
 
 @_register("rank_from_postings", SQL["rank_and_3"])
 def rank_from_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.search_postings(index.postings(_occurrences(spark, sf_dir)), "the of and")
+    found = search.search_postings(_postings(spark, sf_dir), "the of and")
     return found.select("page_id", F.round("score", 6).alias("score"))
 
 
@@ -453,6 +558,17 @@ def term_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "tf", F.array_join("positions", ",").alias("positions"))
 
 
+@_register("browser_phrase", _phrase_sql(("the", "of")))
+def browser_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.browser_phrase(_postings(spark, sf_dir), " the\u2003of ")
+
+
+@_register("result_lines", f"with {_rank_sql('the of')} select page_id || ' ' || printf('%.6f', score) as line from ranked where score > 0")
+def result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.search_pages(_pages(spark, sf_dir).drop("source"), "the of")
+    return search.result_lines(found.select("page_id", F.round("score", 6).alias("score")))
+
+
 # --- snippets
 
 
@@ -517,6 +633,19 @@ def snippet_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", F.hex("before").alias("before_hex"), F.hex("after").alias("after_hex"))
 
 
+@_register(
+    "snippet_missing",
+    """select 2 * d.doc_id as page_id, case when b.doc_id is null or coalesce(b.text, '') = '' then '(failed to load text)' end as snippet
+from documents d left join documents b on b.doc_id = 2 * d.doc_id""",
+)
+def snippet_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of which every other page does not exist."""
+    pages = _pages(spark, sf_dir).select("page_id", F.lit(1).alias("book_id"), F.col("page_id").alias("page_number"), "text")
+    hits = _pages(spark, sf_dir).select((2 * F.col("page_id")).alias("page_id"), F.lit(1.0).alias("score"))
+    found = snippets.snippets(hits, pages, "the of")
+    return found.select("page_id", F.when(F.col("kind") == snippets.MISSING, F.col("snippet")).alias("snippet"))
+
+
 # --- annotations: made from labels, so that every page has some
 
 
@@ -542,6 +671,14 @@ def _highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.union(two)
 
 
+@_register(
+    "anno_page_entries",
+    f"with {_FMT}, n as (select g, count(*) n from f group by g) select g as page_id, n, cast(coalesce(sum(n) over (order by g rows between unbounded preceding and 1 preceding), 0) as bigint) as first_index from n",
+)
+def anno_page_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annotations.page_entries(_formatting(spark, sf_dir))
+
+
 @_register("anno_page_counts", f"with {_FMT} select g as page_id, count(*) as n from f group by g")
 def anno_page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotations.page_counts(_formatting(spark, sf_dir))

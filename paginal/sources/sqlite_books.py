@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 
 # Tables and columns of the book databases, with our types.
 TABLES = {
-    "book": ("nass string, id int, page int, part string", 'SELECT nass, id, page, part FROM "book"'),
-    "title": ("tit string, lvl int, sub int, id int", 'SELECT tit, lvl, sub, id FROM "title"'),
-    "0bok": ("bkid int, bk string, cat int, betaka string, inf string, authno int", 'SELECT bkid, bk, cat, betaka, inf, authno FROM "0bok"'),
-    "0cat": ("id int, cat string", 'SELECT id, cat FROM "0cat"'),
-    "auth": ("authid int, auth string", 'SELECT authid, auth FROM "auth"'),
+    "book": "nass string, id int, page int, part string",
+    "title": "tit string, lvl int, sub int, id int",
+    "0bok": "bkid int, bk string, cat int, betaka string, inf string, authno int",
+    "0cat": "id int, cat string",
+    "auth": "authid int, auth string",
 }
 FILE_NAME = r"(?:^|/)(\d+)\.sqlite$"
 
@@ -44,9 +44,10 @@ def _rows(content: bytes, sql: str) -> list[tuple]:
 
 
 def read_table(files: DataFrame, name: str) -> DataFrame:
-    """One table of all book files, with the book's id."""
-    schema, sql = TABLES[name]
+    """One table of all book files, with the book's id and seq, the row's place in its table."""
+    schema = TABLES[name]
     columns = [c.split()[0] for c in schema.split(", ")]
+    sql = f'SELECT {", ".join(columns)} FROM "{name}" ORDER BY rowid'
     whole = {c.split()[0] for c in schema.split(", ") if c.endswith(" int")}
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -56,10 +57,11 @@ def read_table(files: DataFrame, name: str) -> DataFrame:
                 for c in columns:
                     out[c] = pd.to_numeric(out[c], errors="coerce").astype("Int32") if c in whole else out[c].map(lambda v: None if v is None else str(v))
                 out.insert(0, "book_id", book)
+                out["seq"] = range(len(out))
                 yield out
 
     # A file is one row here; one at a time bounds the memory.
-    return files.select("book_id", "content").mapInPandas(read, f"book_id long, {schema}")
+    return files.select("book_id", "content").mapInPandas(read, f"book_id long, {schema}, seq long")
 
 
 def read_books(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -67,3 +69,17 @@ def read_books(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     files = book_files(spark, folder)
     names = {"rows": "book", "titles": "title", "meta": "0bok", "categories": "0cat", "authors": "auth"}
     return {k: read_table(files, v) for k, v in names.items()}
+
+
+def book_database(tables: dict[str, list[tuple]]) -> bytes:
+    """A book database of tables by name, their rows in order."""
+    db = sqlite3.connect(":memory:")
+    try:
+        for name, rows in tables.items():
+            columns = [c.split()[0] for c in TABLES[name].split(", ")]
+            db.execute(f'CREATE TABLE "{name}" ({", ".join(columns)})')
+            db.executemany(f'INSERT INTO "{name}" VALUES ({", ".join("?" * len(columns))})', [tuple(v.item() if hasattr(v, "item") else v for v in row) for row in rows])
+        db.commit()
+        return db.serialize()
+    finally:
+        db.close()

@@ -82,3 +82,29 @@ def test_store_checks_columns(spark, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "postings"))
     with pytest.raises(ValueError):
         store.read(spark, str(tmp_path), "postings")
+
+
+def test_first_row_counts(spark):
+    """Metadata by its place in the source, not by its value; headings of one page too."""
+    from paginal.operators import books as B
+
+    meta = spark.createDataFrame([(1, "z", 1, None, None, 5, 0, 0), (1, "a", 2, "c", None, 5, 0, 1)], "bkid int, bk string, cat int, betaka string, inf string, authno int, book_id long, seq long")
+    cats = spark.createDataFrame([(1, "second", 3, 0), (1, "first", 2, 9)], "id int, cat string, book_id long, seq long")
+    people = spark.createDataFrame([(5, None, 0, 0), (5, "b", 0, 1)], "authid int, auth string, book_id long, seq long")
+    got = B.book_metadata(spark.createDataFrame([(1,), (2,)], "book_id long"), meta, cats, people)
+    assert sorted(map(tuple, got.collect())) == [(1, "z", None, None, "first", None), (2, None, None, None, None, None)]
+    titles = spark.createDataFrame([(1, 3, "b", 1, 0, 0), (1, 3, "a", 1, 0, 1)], "book_id long, id int, tit string, lvl int, sub int, seq long")
+    assert [r["title"] for r in sorted(B.number_chapters(titles).collect(), key=lambda r: r["chapter_number"])] == ["b", "a"]
+
+
+def test_stored_tables_are_checked(spark, tmp_path):
+    from paginal.sources import store
+
+    good = spark.createDataFrame([(1, 0, 2, 1, 0, 0, 0, 0, "x")], "page_id long, anchor_start int, anchor_end int, flags int, kind int, author_id int, created_at long, updated_at long, text string")
+    store.write(good, str(tmp_path), "comments")
+    assert store.read(spark, str(tmp_path), "comments").count() == 1
+    assert store.problems(good.drop("text"), "comments") == ["text is missing, not string"]
+    store.write(good.withColumn("flags", good["text"]), str(tmp_path), "comments")
+    with pytest.raises(ValueError, match="flags is string"):
+        store.read(spark, str(tmp_path), "comments")
+    assert set(store.REQUIRED) == set(store.KEYS)

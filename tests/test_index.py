@@ -31,7 +31,7 @@ def test_deltas_round_trip(spark):
 
 def test_stored_dictionary(spark):
     occ = index.occurrences(corpus(spark, TEXTS))
-    got = sorted(index.stored_dictionary(occ).collect(), key=lambda r: r["word_hash"])
+    got = sorted(index.stored_dictionary(index.dictionary(occ)).collect(), key=lambda r: r["word_hash"])
     at = 52
     for r in got:
         assert (r["block_bytes"], r["postings_offset"]) == (4 + 8 * r["df"] + 4 * r["cf"], at)
@@ -41,16 +41,17 @@ def test_stored_dictionary(spark):
 
 def test_sorted_occurrences(spark):
     occ = index.occurrences(corpus(spark, TEXTS))
-    got = sorted((r["rank"], r["term"], r["page_id"], r["pos"]) for r in index.sorted_occurrences(occ).collect())
+    got = sorted((r["rank"], r["term"], r["page_id"], r["pos"]) for r in index.sorted_occurrences(index.postings(occ)).collect())
     want = sorted((r["term"], r["page_id"], r["pos"]) for r in occ.collect())
     assert got == [(i + 1, *w) for i, w in enumerate(want)]
 
 
 def test_empty(spark):
     occ = index.occurrences(corpus(spark, [None, ""]))
-    for f in (index.postings, index.dictionary, index.stored_dictionary, index.sorted_occurrences):
-        assert f(occ).count() == 0
-    assert index.block_stats(occ).first()["blocks"] == 0
+    post, words = index.postings(occ), index.dictionary(occ)
+    for found in (post, words, index.stored_dictionary(words), index.sorted_occurrences(post), index.page_postings(corpus(spark, [None, "", " .,"]))):
+        assert found.count() == 0
+    assert index.block_stats(index.dictionary(occ)).first()["blocks"] == 0
 
 
 def test_posting_algebra(spark):
@@ -62,3 +63,33 @@ def test_posting_algebra(spark):
     assert rows(search.adjacent(m)) == [(3, 1)]
     assert rows(search.phrase(m, ("a", "b"))) == [(3,)]
     assert rows(search.term_pages(m)) == [(3, 1), (20, 1)]
+
+
+def test_page_postings_move_nothing(spark):
+    pages = corpus(spark, [*TEXTS, "a", "b b b", " x " * 300, "..."])
+    found = index.page_postings(pages)
+    assert rows(found) == rows(index.postings(index.occurrences(pages)))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_of_pages(spark, monkeypatch):
+    """A term's postings over many blocks: encoded, decoded and ranked as in one."""
+    monkeypatch.setattr(index, "BLOCK_PAGES", 4)
+    post = spark.createDataFrame([(t, p, 2, [1, p + 2]) for t in ("tha", "thb", "x", "th") for p in range(0, 40, 3)], "term string, page_id long, tf int, positions array<int>")
+    assert rows(index.decode_deltas(index.encode_deltas(post)).select(*post.columns)) == rows(post)
+    got = sorted((r["rank"], r["term"], r["page_id"], r["pos"]) for r in index.sorted_occurrences(post).collect())
+    want = sorted((r["term"], r["page_id"], p) for r in post.collect() for p in r["positions"])
+    assert got == [(i + 1, *w) for i, w in enumerate(want)]
+
+
+def test_running_sums_of_long_arrays(spark):
+    for n in (0, 1, 255, 256, 257, 1000):
+        values = [(7 * k) % 11 for k in range(n)]
+        got = spark.createDataFrame([(values,)], "v array<int>").select(index.running_sums("v")).first()[0]
+        assert got == [sum(values[: k + 1]) for k in range(n)]
+
+
+def test_stored_blocks(spark):
+    stored = index.stored_dictionary(index.dictionary(index.occurrences(corpus(spark, TEXTS))))
+    got = sorted(index.stored_blocks(stored).collect())
+    assert [r["block_index"] for r in got] == [0, 1, 2, 3] and [r["postings_offset"] for r in got] == sorted(r["postings_offset"] for r in got)

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from paginal.functions.query import parse
 from paginal.operators import search
@@ -70,3 +71,30 @@ def test_single_term_and_long_phrases(spark):
     terms = tuple(map(str, range(40)))
     assert [r[0] for r in search.phrase(search.matches_in_pages(df, terms), terms).collect()] == [1]
     assert search.phrase(search.matches_in_pages(df, ("0",)), ("0",)).count() == 2
+
+
+def test_lines_and_browser_words(spark, tmp_path):
+    from paginal.functions import query
+    from paginal.plans import corpus
+
+    assert query.read_line(b"the of\r\nmore") == "the of" and query.read_line(b"x" * 5000) == "x" * 4095 and query.read_line(b"a\r") == "a\r"
+    assert query.browser_terms(" the,\u00a0Of\u3000\ufeffOR \x1cz ") == ["the,", "Of", "OR", "\x1cz"]
+    pages = spark.createDataFrame([(0, 1, "the of x", "A"), (1, 1, "of the", "B"), (2, 1, "the, of", "A")], "page_id long, book_id long, text string, category string").withColumn("page_number", F.col("page_id"))
+    c = corpus.build(pages, str(tmp_path))
+    said = lambda df: [r["line"] for r in df.collect()]
+    assert said(c.answer(b" ., \n")) == ["no tokens"] and said(c.answer(b"zzz")) == ["no results"]
+    assert said(c.answer_phrase(b"the")) == ["need at least two tokens"] and said(c.answer_phrase(b"x x")) == ["no results"]
+    assert said(c.answer_phrase(b"the of\n")) == ["A 0", "A 2"]
+    lines = said(c.answer(b"the of\r\n"))
+    assert [x.split()[0] for x in lines] == ["0", "2", "1"] and all(len(x.split(".")[-1]) == 6 for x in lines)
+    assert sorted(r["page_id"] for r in c.browser_phrase("the of").collect()) == [0, 2] and c.browser_phrase("the, of").count() == 0 and c.browser_phrase(" ").count() == 0
+
+
+def test_hashes_of_long_and_short_terms(monkeypatch):
+    from paginal.functions import text as T
+
+    terms = ["", "abc", "x" * 5000, "é" * 77, "the"]
+    whole = T.hash64_values(terms).tolist()
+    monkeypatch.setattr(T, "HASHED", 10)
+    assert T.hash64_values(terms).tolist() == whole
+    assert whole[0] == 17280346270528514342 and whole[1] == 3741276987793851837 and whole[4] == 14645693024798636849

@@ -44,3 +44,23 @@ def test_contexts_count_bytes(spark):
 
 def test_keyword_is_a_word_for_the_fallback(spark):
     assert run(spark, "q OR r", [(0, 1, 1, "this OR that")], [0])[0]["snippet"] == "this«OR»that"
+
+
+def test_bounded_hits_move_no_other_text(spark, tmp_path):
+    """With a bound on the hits, the scan of pages feeds a broadcast join, not an exchange."""
+    from paginal.operators import snippets
+
+    pages = spark.range(5000).selectExpr("id as page_id", "1L as book_id", "id as page_number", "concat('the of ', id) as text")
+    pages.write.parquet(f"{tmp_path}/pages")
+    pages = spark.read.parquet(f"{tmp_path}/pages")
+    hits = spark.createDataFrame([(7, 1.0), (4999, 0.5), (9000, 0.1)], "page_id long, score double")
+    found = snippets.snippets(hits, pages, "the of", most=10)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 2 and plan.count("broadcast") >= 2
+    same = snippets.snippets(hits, pages, "the of")
+    assert sorted(found.collect(), key=str) == sorted(same.collect(), key=str)
+    physical = found._jdf.queryExecution().executedPlan().toString()
+    for part in physical.split("FileScan parquet")[:-1]:
+        # Above each scan, the nearest join or exchange is the broadcast semi join.
+        above = [line for line in part.splitlines() if "Exchange" in line or "Join" in line]
+        assert "BroadcastHashJoin" in above[-1] and "LeftSemi" in above[-1] or "BroadcastExchange" in above[-1]
