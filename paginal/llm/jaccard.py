@@ -9,16 +9,18 @@
    edges of the tree, and they are the join key between tasks.
 4. On edges with many sets, the set that shares most is tried against those of
    other components, each set with its best such centre (a star); what links
-   is one component from then on.  After a few rounds all sets of an edge that
-   are still in different components are tried, so that no link between
-   components is lost, and near copies of one text are not paired with each other.
-5. A candidate pair's first common shingle must lie early enough in both sets,
-   and the pair must share so many prefix shingles, that the rest of the sets
-   could lift it to the threshold.  Survivors meet in cells: a probe and a
-   bounded number of sets, stored as a tree of their globally ordered
-   shingles.  The tree is walked once, sharing the overlap of common paths and
-   pruning subtrees whose remaining length can't reach the threshold, which
-   yields exact overlaps.
+   is one component from then on.  So near copies of one text are not paired
+   with each other, and no link between components is lost.
+5. The sets that share an edge and lie in different components are dealt to
+   one task as the tree below that edge: what follows the edge in each set's
+   prefix, as far as other components share it.  The tree is walked once for
+   all probes of the edge together.  A node's overlaps with all probes come
+   from its parent's, and a subtree is left when its remaining length can lift
+   no probe to what the rest of the sets would have to add.  Edges with more
+   than ``CELL`` sets are dealt in tiles of blocks by component; a tile within
+   one component has nothing to find and is not made.
+6. The pairs that remain meet in cells, a probe and a bounded number of whole
+   sets, and a second walk of the same kind yields their exact overlaps.
 
 Defined results
 ---------------
@@ -26,8 +28,12 @@ Defined results
   sequence as the one shingle; without words or text its set is empty, it has
   0 shingles and links with nothing.
 * component_id is the least id that links reach, the own id included; a row
-  without an id has none.
+  without an id has that of its set, if a row with an id has the set too, else none.
 * Repeated rows are in the same class.  An empty table gives an empty result.
+* Rows that share an id count as one document, which is linked with all that any of
+  its texts is similar to; each row has the size of its own set.
+* Texts of any length are read whole.  Extra columns are not carried; their names are free.
+* Ties between centres go to the greater size, then the greater id; they decide nothing but the order of work.
 * Sets are equal by all 64 bits of their shingles' hashes (through a digest);
   similarities are counted on 50 of them, beside the level.
 """
@@ -47,8 +53,12 @@ from paginal.llm.common import small_batches, written
 from paginal.llm.components import connected_components
 from paginal.llm.shingles import mix, shingle_sets
 
-#: Least and most bits of the sketch, bits of the bitmap of ids; counters in one row of them.
-LEAST_BITS, MOST_BITS, ID_BITS, CHUNK = 16, 24, 22, 1 << 12
+#: Least and most bits of the sketch, of the bitmap of ids; counters in one row of them; partitions that a task sums up.
+LEAST_BITS, MOST_BITS, MOST_ID_BITS, CHUNK, SUMMED = 16, 24, 28, 1 << 12, 4
+#: Bits of the bitmap of copies.
+ID_BITS = 22
+#: Share of all rows from which on a class is broadcast: so there are ten thousand such classes at most.
+HOT_SHARE = 1e-4
 #: Bits of a page of the bitmap of copies, as bitmap_construct_agg has them.
 PAGE_BITS = 32768
 #: Bits of a hash that remain beside the level in a key.
@@ -67,12 +77,13 @@ def _least(n: np.ndarray | int, percent: int) -> np.ndarray | int:
 def sketch(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> np.ndarray:
     """Counts of 64-bit keys by their upper bits; keys_of takes them from a batch of rows.
 
-    Each task sums in an array of 2**bits counters, so the tasks are merged to
-    a few per core first: what they send is bounded by the cluster, not by the
-    data.  The driver gets the logarithms, a byte for each counter.
+    Each task sums in an array of 2**bits counters over a few partitions (all,
+    where there are few), so that its work is bounded and what it sends is
+    small beside what it reads.  The driver gets the logarithms, a byte for
+    each counter.
     """
-    spark = rows.sparkSession
-    few = rows.coalesce(max(2, 2 * spark.sparkContext.defaultParallelism))
+    parts = rows.rdd.getNumPartitions()
+    few = rows.coalesce(max(2, 2 * rows.sparkSession.sparkContext.defaultParallelism, -(-parts // SUMMED)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, dtype=np.uint32)
@@ -152,7 +163,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, sent: object, width: int) -> Da
     text is touched; the join that follows is exact.
     """
     spark = docs.sparkSession
-    bits = ID_BITS
+    # About 32 bits for each wanted row, within fixed bounds.
+    bits = max(LEAST_BITS, min(MOST_ID_BITS, max(1, wanted.count()).bit_length() + 5))
     seen = np.packbits(sketch(wanted.select("id"), _id_keys, bits) > 0)
     bitmap = spark.sparkContext.broadcast(seen)
 
@@ -177,7 +189,7 @@ def _first_of_class(held: DataFrame, classes: DataFrame) -> DataFrame:
     Copies are few as a rule, so a bitmap of their hashed ids (fixed size) lets
     most rows stay where they are; rows that it marks are told apart by a join.
     """
-    known = held.select("id", "digest").join(classes, "digest")
+    known = _with_class(held.select("id", "digest"), classes, ["rep"])
     place = F.pmod(F.xxhash64("id"), F.lit(1 << ID_BITS))
     copies = known.where(F.col("id") != F.col("rep")).select((place % PAGE_BITS).alias("bit"), F.floor(place / PAGE_BITS).alias("page"))
     bitmap = copies.groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
@@ -189,6 +201,21 @@ def _first_of_class(held: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.where(~marked).select("id", "n", "prefix").unionByName(rest.select("id", "n", "prefix"))
 
 
+def _with_class(rows: DataFrame, classes: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows with a digest and their class's columns, null where no row with an id has the set.
+
+    The classes of many rows, ten thousand at most, are broadcast, so that the
+    copies of one text stay where they are; the others meet in an exchange.
+    """
+    own = classes.select(F.col("digest").alias("d"), "copies", *columns)
+    least = max(1000, int(HOT_SHARE * (classes.agg(F.sum("copies").alias("n")).first()["n"] or 0)))
+    hot = F.broadcast(own.where(F.col("copies") > least).drop("copies"))
+    near = rows.join(hot, F.col("digest") == F.col("d")).drop("d")
+    far = rows.join(hot.select("d"), F.col("digest") == F.col("d"), "left_anti")
+    far = far.join(own.where(F.col("copies") <= least).drop("copies"), F.col("digest") == F.col("d"), "left").drop("d")
+    return near.unionByName(far)
+
+
 def packed(keys: np.ndarray) -> bytes:
     """Keys without their last 8 bits, in 7 bytes each."""
     return (keys >> np.uint64(8)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
@@ -256,12 +283,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, sent: object, width: int, perce
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: tuple | None = None
-        probe = np.zeros(0, np.uint64)
+        # Texts that share an id are probes of their own.
+        probes: list[np.ndarray] = []
         ids: list[int] = []
         sets: list[np.ndarray] = []
 
         def found() -> pa.RecordBatch:
-            ys = [ids[k] for k in tree_links(probe, sets, percent)]
+            ys = sorted({ids[k] for probe in probes for k in tree_links(probe, sets, percent)})
             return pa.RecordBatch.from_pydict({"x": pa.array([at[0]] * len(ys), pa.int64()), "y": pa.array(ys, pa.int64())})
 
         for batch in batches:
@@ -269,9 +297,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, sent: object, width: int, perce
                 if (x, cell) != at:
                     if ids:
                         yield found()
-                    at, probe, ids, sets = (x, cell), np.zeros(0, np.uint64), [], []
+                    at, probes, ids, sets = (x, cell), [], [], []
                 if x == y:
-                    probe = unpacked(keys)
+                    probes.append(unpacked(keys))
                 else:
                     ids.append(y)
                     sets.append(unpacked(keys))
@@ -311,25 +339,139 @@ def _star(hot: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return near.where(_enough("c", percent)).groupBy("y").agg(F.max(F.struct("c", "x")).alias("best")).select("best.x", "y")
 
 
-def _rest(shared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components that share an edge and can reach the similarity.
+def _tails(known: DataFrame) -> DataFrame:
+    """(g, m, id, n, at, c, tail): sets of edges that different components share, and what follows on such edges."""
+    apart = known.groupBy(F.col("g").alias("h")).agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where(F.col("lo") != F.col("hi"))
+    live = known.join(apart.select("h", "m"), F.col("g") == F.col("h"))
+    path = F.array_sort(F.collect_list(F.struct("at", "g", "m")))
+    paths = live.groupBy("id", "n", "c").agg(path.alias("path"))
+    each = paths.select("id", "n", "c", F.transform("path", lambda e: e["g"]).alias("keys"), F.posexplode("path").alias("i", "e"))
+    return each.select("e.g", "e.m", "id", "n", "e.at", "c", F.slice("keys", F.col("i") + 2, F.size("keys")).alias("tail"))
+
+
+def _tiled(big: DataFrame) -> DataFrame:
+    """Rows of edges with many sets, dealt to tiles: (b1, b2) and the row's own block b.
 
-    At its first common shingle a pair still needs all common ones, so that
-    shingle lies early in both sets; only there a pair is made.  The shingles
-    that both prefixes share then come from the two sets' own edges.
+    A component with many sets has blocks of its own, the others share blocks;
+    each two blocks make a tile unless both hold one and the same component.
     """
-    known = written(_labelled(shared, labels), "labelled")
-    # Both sides rename all columns, which lets Spark use one exchange for both.
-    a = known.select(F.col("g").alias("f"), F.col("id").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("c").alias("cx"))
-    b = known.select(F.col("g").alias("h"), F.col("id").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"), F.col("c").alias("cy"))
-    first = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
-    early = (F.col("ax") + _need(percent) <= F.col("nx")) & (F.col("ay") + _need(percent) <= F.col("ny"))
-    met = a.join(b, (F.col("f") == F.col("h")) & (F.col("cx") != F.col("cy")) & first & early & _sizes_fit("nx", "ny", percent))
-    pairs = written(met.groupBy("x", "nx", "y", "ny").agg(F.count("*").alias("c")).drop("c"), "pairs")
-    edges = written(shared.groupBy("id").agg(F.collect_list("g").alias("own")), "edges")
-    both = pairs.join(edges.select(F.col("id").alias("ix"), F.col("own").alias("ex")), F.col("x") == F.col("ix"))
-    both = both.join(edges.select(F.col("id").alias("iy"), F.col("own").alias("ey")), F.col("y") == F.col("iy"))
-    return both.where(_enough(F.size(F.array_intersect("ex", "ey")), percent)).select("x", "y")
+    big = written(big, "big")
+    held = big.groupBy(F.col("g").alias("h"), F.col("c").alias("hc")).agg(F.count("*").alias("mc"))
+    whole = F.col("mc") >= CELL
+    of_own = F.xxhash64(F.lit("own"), "c", F.pmod(F.xxhash64("id"), F.ceil(F.col("mc") / CELL)))
+    of_many = F.xxhash64(F.lit("many"), F.pmod(F.xxhash64("c"), F.ceil(F.col("m") / CELL)))
+    rows = written(big.join(held, (F.col("g") == F.col("h")) & (F.col("c") == F.col("hc"))).withColumn("b", F.when(whole, of_own).otherwise(of_many)).drop("h", "hc", "mc"), "blocks")
+    blocks = rows.groupBy("g", "b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    one = blocks.select(F.col("g").alias("f"), F.col("b").alias("b1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
+    two = blocks.select(F.col("g").alias("h"), F.col("b").alias("b2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    same = (F.col("lo1") == F.col("hi1")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo1") == F.col("lo2"))
+    tiles = one.join(two, (F.col("f") == F.col("h")) & (F.col("b1") <= F.col("b2")) & ~same)
+    asked = tiles.select("f", "b1", "b2", F.explode(F.array_distinct(F.array("b1", "b2"))).alias("own"))
+    return rows.join(asked, (F.col("g") == F.col("f")) & (F.col("b") == F.col("own"))).select(*big.columns, "b1", "b2", "b")
+
+
+def edge_pairs(n: np.ndarray, ids: np.ndarray, at: np.ndarray, comp: np.ndarray, block: np.ndarray, tails: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Pairs of sets of different components below one edge whose prefixes share enough: one walk of their tree.
+
+    The tree holds what follows the edge in each set, in the global order of
+    keys (the order in which they stand).  With several blocks, only pairs of
+    different blocks count.
+    """
+    members = len(ids)
+    size = np.fromiter(map(len, tails), dtype=np.int64, count=members)
+    flat = np.concatenate(tails) if members else np.zeros(0, np.int64)
+    keys, place = np.unique(flat.view(np.uint64), return_inverse=True)
+    has = np.zeros((len(keys), members), dtype=np.int32)
+    has[place, np.repeat(np.arange(members), size)] = 1
+    ends = np.cumsum(size)
+    paths = [place[a:b] for a, b in zip(ends - size, ends)]
+    order = sorted(range(members), key=lambda k: paths[k].astype(">u4").tobytes())
+    rest = _least(n, percent) - 1
+    several = (block != block[:1]).any()
+    out: list[tuple[int, int]] = []
+
+    def asked(y: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which probes can link with y, and the overlap below the edge that each must have at least."""
+        need = -(-percent * (n + n[y]) // (100 + percent))
+        first = (n < n[y]) | ((n == n[y]) & (ids < ids[y]))
+        fit = (100 * n >= percent * n[y]) & (100 * n[y] >= percent * n) & (at + need <= n) & (at[y] + need <= n[y])
+        mask = fit & first & (comp != comp[y])
+        if several:
+            mask &= block != block[y]
+        return mask, need - np.maximum(rest, rest[y]) - 1
+
+    probes = [asked(y) for y in order]
+    least = np.array([int(want[mask].min()) if mask.any() else 1 << 40 for mask, want in probes])
+    stack = [(0, members, 0, np.zeros(members, dtype=np.int64))]
+    while stack:
+        lo, hi, depth, overlap = stack.pop()
+        left = int(size[order[lo:hi]].max()) - depth
+        if not (overlap + np.minimum(left, size - overlap) >= least[lo:hi].min()).any():
+            continue
+        # Sets that end at this node stand first.
+        while lo < hi and (size[order[lo]] == depth or hi - lo == 1):
+            mask, want = probes[lo]
+            path = paths[order[lo]][depth:]
+            total = overlap + has[path].sum(axis=0) if len(path) else overlap
+            y = int(ids[order[lo]])
+            out += [(x, y) for x in ids[mask & (total >= want)].tolist()]
+            lo += 1
+        if lo == hi:
+            continue
+        heads = np.array([paths[k][depth] for k in order[lo:hi]])
+        cuts = [0, *(np.flatnonzero(heads[1:] != heads[:-1]) + 1).tolist(), len(heads)]
+        stack += [(lo + a, lo + b, depth + 1, overlap + has[heads[a]]) for a, b in zip(cuts[:-1], cuts[1:])]
+    return out
+
+
+#: Overlap counts that a tile of an edge may hold in memory; beyond it, probes are walked in parts.
+COUNTS = 1 << 26
+
+
+def _rest(shared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share an edge and can reach the similarity, by walks below the edges."""
+    rows = written(_tails(written(_labelled(shared, labels), "labelled")), "tails")
+    few = rows.where(F.col("m") <= CELL).select("*", *(F.lit(0).cast("long").alias(b) for b in ("b1", "b2", "b")))
+    big = rows.where(F.col("m") > CELL)
+    dealt = few if big.isEmpty() else few.unionByName(_tiled(big))
+    sorted_ = dealt.drop("m").repartition("g", "b1", "b2").sortWithinPartitions("g", "b1", "b2")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: tuple | None = None
+        held: list[tuple] = []
+
+        def found() -> pa.RecordBatch:
+            ids, n, first, comp, block = (np.array(x, dtype=np.int64) for x in zip(*(h[:5] for h in held)))
+            tails = [h[5] for h in held]
+            pairs: list[tuple[int, int]] = []
+            # Blocks of probes and members, so that what a walk holds is bounded; every two meet in one of the walks.
+            step = max(1, COUNTS // max(1, sum(map(len, tails))) // 2)
+            parts = [np.arange(a, min(a + step, len(ids))) for a in range(0, len(ids), step)]
+            for i, one in enumerate(parts):
+                for other in parts[i:]:
+                    both = one if other is one else np.concatenate([one, other])
+                    side = block[both] if other is one else np.where(np.arange(len(both)) < len(one), 0, 1)
+                    got = edge_pairs(n[both], ids[both], first[both], comp[both], side, [tails[k] for k in both], percent)
+                    if other is not one and len(set(block.tolist())) > 1:
+                        of = dict(zip(ids[both].tolist(), block[both].tolist()))
+                        got = [(x, y) for x, y in got if of[x] != of[y]]
+                    pairs += got
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["x", "y"])
+
+        for batch in batches:
+            lists = batch.column("tail")
+            values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+            columns = [batch.column(c).to_pylist() for c in ("g", "b1", "b2", "id", "n", "at", "c", "b")]
+            for k, (g, b1, b2, *row) in enumerate(zip(*columns)):
+                if (g, b1, b2) != at:
+                    if len(held) > 1:
+                        yield found()
+                    at, held = (g, b1, b2), []
+                held.append((*row, values[ends[k] : ends[k + 1]].copy()))
+        if len(held) > 1:
+            yield found()
+
+    return sorted_.mapInArrow(walk, "x long, y long").distinct()
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -358,7 +500,7 @@ def _shared(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
     sent = spark.sparkContext.broadcast(sketch(rows.select("text"), _shingle_keys(width), bits))
     own = written(_prefixes(rows, sent, width, percent), "prefixes")
     held = own.where(F.col("id").isNotNull() & (F.col("n") > 0))
-    classes = written(held.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
+    classes = written(held.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
     reps = written(_first_of_class(held, classes), "classes")
     postings = reps.select("id", "n", F.posexplode("prefix").alias("at", "g"))
 
@@ -397,9 +539,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             break
         labels = _merged(labels, found)
     found = written(_verified(_rest(shared.drop("m"), labels, percent), rows, sent, width, percent), "links")
-    labels = _merged(labels, found)
-
-    member = own.select("id", "n", "digest").join(classes, "digest", "left")
-    return member.join(labels, F.col("rep") == F.col("v"), "left").select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("class_id"), F.coalesce("c", "rep", "id").alias("component_id")
-    )
+    labels = _merged(labels, found.unionByName(_same_id(own, classes)))
+
+    known = written(classes.join(labels, F.col("rep") == F.col("v"), "left").select("digest", "copies", "rep", "c"), "components")
+    sizes = own.select("id", "n", "digest")
+    none = F.lit(None).cast("long")
+    member = sizes.where(F.col("digest").isNull()).select(*sizes.columns, none.alias("rep"), none.alias("c"))
+    member = member.unionByName(_with_class(sizes.where(F.col("digest").isNotNull()), known, ["rep", "c"]))
+    return member.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("class_id"), F.coalesce("c", "rep", "id").alias("component_id"))
+
+
+def _same_id(own: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (x, y) between the classes of texts that share an id; none where ids are unique."""
+    held = own.where(F.col("id").isNotNull() & F.col("digest").isNotNull()).select("id", "digest")
+    several = held.groupBy(F.col("id").alias("i")).agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where(F.col("least") != F.col("most"))
+    several = written(several.select("i"), "same-id")
+    if several.isEmpty():
+        return held.sparkSession.createDataFrame([], "x long, y long")
+    found = _with_class(held.join(several, F.col("id") == F.col("i"), "left_semi"), classes, ["rep"]).select("id", "rep").distinct()
+    least = found.groupBy(F.col("id").alias("i")).agg(F.min("rep").alias("x"))
+    return found.join(least, F.col("id") == F.col("i")).where(F.col("x") != F.col("rep")).select("x", F.col("rep").alias("y"))

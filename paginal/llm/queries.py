@@ -68,6 +68,22 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+OP6_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from documents),
+s as materialized (
+  select doc_id, list_distinct(case when len(ws) = 0 then [] when len(ws) < 4 then [array_to_string(ws, ' ')]
+    else list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i : i + 3], ' ')) end) sh from w),
+e as materialized (select doc_id, len(sh) n, unnest(sh) g from s),
+met as (select a.doc_id x, b.doc_id y, any_value(a.n) nx, any_value(b.n) ny, count(*) common from e a join e b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+link as materialized (select x, y from met where 100 * common >= 85 * (nx + ny - common)),
+way as materialized (select x, y from link union all select y, x from link),
+reach(doc_id, other) as (select doc_id, doc_id from documents union select r.doc_id, way.y from reach r join way on r.other = way.x)
+select s.doc_id, cast(len(s.sh) as bigint) as n_shingles, c.component_id
+from s join (select doc_id, min(other) component_id from reach group by doc_id) c on c.doc_id = s.doc_id
+"""
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: counts and digest of the pattern spans, and all spans."""
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -131,4 +147,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_top_k": OP2_SQL, "op4_line_dedup": linededup.oracle()}
+    return {"op2_exact_top_k": OP2_SQL, "op4_line_dedup": linededup.oracle(), "op6_ngram_jaccard": OP6_SQL}
