@@ -46,7 +46,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paginal.llm.common import small_batches, written
@@ -339,14 +339,39 @@ def _star(hot: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return near.where(_enough("c", percent)).groupBy("y").agg(F.max(F.struct("c", "x")).alias("best")).select("best.x", "y")
 
 
-def _tails(known: DataFrame) -> DataFrame:
-    """(g, m, id, n, at, c, tail): sets of edges that different components share, and what follows on such edges."""
-    apart = known.groupBy(F.col("g").alias("h")).agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where(F.col("lo") != F.col("hi"))
-    live = known.join(apart.select("h", "m"), F.col("g") == F.col("h"))
-    path = F.array_sort(F.collect_list(F.struct("at", "g", "m")))
+def _wanted(nx: Column, ny: Column, percent: int) -> Column:
+    """How much sets of these sizes must share of their prefixes below their first common edge."""
+    need = F.ceil(F.lit(percent) * (nx + ny) / (100 + percent))
+    return need - F.greatest(F.ceil(F.lit(percent) * nx / 100), F.ceil(F.lit(percent) * ny / 100))
+
+
+def _tails(known: DataFrame, percent: int) -> DataFrame:
+    """(g, m, id, n, at, c, tail): sets of edges that different components share, and what follows on such edges.
+
+    Of edges with the same sets, only the first leads anywhere: below it, the
+    others are part of the tails.  Sets of ids are told apart by two xors of
+    64-bit hashes and their size.  A set also leaves an edge where its tail is
+    too short for any size that the edge's sets have: what must be shared
+    grows, then falls with the partner's size, so it is least at the ends of
+    the sizes that fit (less one for rounding).
+    """
+    stats = known.groupBy(F.col("g").alias("h")).agg(
+        F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), F.min("n").alias("least"), F.max("n").alias("most"),
+        F.bit_xor(F.xxhash64("id")).alias("one"), F.bit_xor(F.xxhash64(F.lit("two"), "id")).alias("two"),
+    )
+    # Less by 2**63, keys are in their global order, that of unsigned numbers.
+    place = F.col("h").bitwiseXOR(F.lit(-(1 << 63)))
+    alike = Window.partitionBy("one", "two", "m")
+    stats = stats.where(F.col("lo") != F.col("hi")).withColumn("first", F.min(place).over(alike) == place).drop("lo", "hi", "one", "two")
+    live = known.join(stats, F.col("g") == F.col("h"))
+    path = F.array_sort(F.collect_list(F.struct("at", "g", "m", "least", "most", "first")))
     paths = live.groupBy("id", "n", "c").agg(path.alias("path"))
+    low = F.greatest(F.col("e.least"), F.ceil(F.lit(percent) * F.col("n") / 100))
+    high = F.least(F.col("e.most"), F.floor(F.lit(100) * F.col("n") / percent))
+    wanted = F.least(_wanted(F.col("n"), low, percent), _wanted(F.col("n"), high, percent)) - 1
     each = paths.select("id", "n", "c", F.transform("path", lambda e: e["g"]).alias("keys"), F.posexplode("path").alias("i", "e"))
-    return each.select("e.g", "e.m", "id", "n", "e.at", "c", F.slice("keys", F.col("i") + 2, F.size("keys")).alias("tail"))
+    kept = each.where(F.col("e.first") & (low <= high) & (F.size("keys") - F.col("i") - 1 >= wanted))
+    return kept.select("e.g", "e.m", "id", "n", "e.at", "c", F.slice("keys", F.col("i") + 2, F.size("keys")).alias("tail"))
 
 
 def _tiled(big: DataFrame) -> DataFrame:
@@ -379,28 +404,36 @@ def edge_pairs(n: np.ndarray, ids: np.ndarray, at: np.ndarray, comp: np.ndarray,
     """
     members = len(ids)
     size = np.fromiter(map(len, tails), dtype=np.int64, count=members)
-    flat = np.concatenate(tails) if members else np.zeros(0, np.int64)
+    rest = _least(n, percent) - 1
+    several = (block != block[:1]).any()
+
+    def asked(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For some sets, which probes can link with each, and the overlap below the edge that each must have at least."""
+        y = some[:, None]
+        need = -(-percent * (n + n[y]) // (100 + percent))
+        want = need - np.maximum(rest, rest[y]) - 1
+        mask = (comp != comp[y]) & ((n < n[y]) | ((n == n[y]) & (ids < ids[y])))
+        mask &= (100 * n >= percent * n[y]) & (100 * n[y] >= percent * n) & (at + need <= n) & (at[y] + need <= n[y])
+        mask &= np.minimum(size, size[y]) >= want
+        return (mask & (block != block[y]) if several else mask), want
+
+    masks: list[np.ndarray] = []
+    wants: list[np.ndarray] = []
+    for first in range(0, members, 64):
+        mask, want = asked(np.arange(first, min(first + 64, members)))
+        masks += list(mask)
+        wants += list(want)
+    if not any(mask.any() for mask in masks):
+        return []
+    flat = np.concatenate(tails)
     keys, place = np.unique(flat.view(np.uint64), return_inverse=True)
     has = np.zeros((len(keys), members), dtype=np.int32)
     has[place, np.repeat(np.arange(members), size)] = 1
     ends = np.cumsum(size)
     paths = [place[a:b] for a, b in zip(ends - size, ends)]
     order = sorted(range(members), key=lambda k: paths[k].astype(">u4").tobytes())
-    rest = _least(n, percent) - 1
-    several = (block != block[:1]).any()
     out: list[tuple[int, int]] = []
-
-    def asked(y: int) -> tuple[np.ndarray, np.ndarray]:
-        """Which probes can link with y, and the overlap below the edge that each must have at least."""
-        need = -(-percent * (n + n[y]) // (100 + percent))
-        first = (n < n[y]) | ((n == n[y]) & (ids < ids[y]))
-        fit = (100 * n >= percent * n[y]) & (100 * n[y] >= percent * n) & (at + need <= n) & (at[y] + need <= n[y])
-        mask = fit & first & (comp != comp[y])
-        if several:
-            mask &= block != block[y]
-        return mask, need - np.maximum(rest, rest[y]) - 1
-
-    probes = [asked(y) for y in order]
+    probes = [(masks[y], wants[y]) for y in order]
     least = np.array([int(want[mask].min()) if mask.any() else 1 << 40 for mask, want in probes])
     stack = [(0, members, 0, np.zeros(members, dtype=np.int64))]
     while stack:
@@ -430,7 +463,7 @@ COUNTS = 1 << 26
 
 def _rest(shared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that share an edge and can reach the similarity, by walks below the edges."""
-    rows = written(_tails(written(_labelled(shared, labels), "labelled")), "tails")
+    rows = written(_tails(written(_labelled(shared, labels), "labelled"), percent), "tails")
     few = rows.where(F.col("m") <= CELL).select("*", *(F.lit(0).cast("long").alias(b) for b in ("b1", "b2", "b")))
     big = rows.where(F.col("m") > CELL)
     dealt = few if big.isEmpty() else few.unionByName(_tiled(big))
