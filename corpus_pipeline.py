@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows of docs, which its
 predecessor kept; all but the last return the columns of documents.  ``run``
 writes each stage's result as Parquet in the shared folder and reads it again.
+
+Defined results
+---------------
+* A null text, or one without a letter, goes at the first stage; a null lang or
+  source is as good as any.  Rows without an id pass all stages.
+* Extra columns pass all stages but the last, whatever their names.
+* Texts are read whole.  An empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -11,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paginal.llm import jaccard, langid, linededup, packing, pii
-from paginal.llm.common import table, written
+from paginal.llm.common import spare_name, table, written
 
 #: Calibrated probability of the predicted language below which a document goes.
 LANGUAGE_SCORE = 0.4
@@ -33,10 +40,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each group of near copies, once; rows without an id all stay."""
+    """Keeps the document of least id of each group of near copies.
+
+    Rows with equal id and text are one document and stay once; an id's
+    different texts all stay, and so do all rows without an id.
+    """
     found = jaccard.jaccard_components(docs, width=SHINGLE_WORDS, percent=NEAR_PERCENT)
     first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    digest = spare_name(docs.columns, "digest")
+    kept = docs.join(first, "doc_id", "left_semi").withColumn(digest, F.sha2("text", 256)).dropDuplicates(["doc_id", digest])
     return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
