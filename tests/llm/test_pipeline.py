@@ -78,3 +78,28 @@ def test_stages_against_plain_versions(spark, folder):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_lose_no_text(spark, tmp_path):
+    """One id with two texts, repeated rows, rows without an id, and extra columns with the names of helpers."""
+    long = " ".join(f"w{k}" for k in range(80))
+    rows = [(1, "a b c d e f g"), (1, "q r s t u v w"), (1, "a b c d e f g"), (2, "q r s t u v w"), (None, "a b c d e f g"), (None, None), (5, long), (6, long + " x"), (7, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "m") for i, t in rows], "doc_id long, text string, digest string")
+    got = P.near_copies(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    want = [(1, "a b c d e f g"), (1, "q r s t u v w"), (None, "a b c d e f g"), (None, None), (5, long), (7, None), (8, "")]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_odd_rows_through_all_stages(spark, tmp_path):
+    """Nulls in every column, rows without an id and clashing extra columns: the last stage packs what is left."""
+    rows = [(k, f"the cat and the dog number {'abcdefghij'[k % 10] * (k % 7 + 1)} went home again and again", "en", "h", 10, "x", "y") for k in range(60)]
+    rows += [(None, "the cat and the dog went home", None, None, None, None, None), (99, None, "en", "h", None, "x", "y"), (98, "", None, None, 0, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, __text string, lines string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = P.table(spark, str(tmp_path), "documents")
+    for name, stage in P.STAGES[:-1]:
+        docs = P.written(stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns == df.columns
+    packed = P.pack(spark, docs, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in packed} >= {None, 0} and not {98, 99} & {r["doc_id"] for r in packed}
