@@ -42,7 +42,7 @@ from paginal.llm.shingles import mix
 
 MARK = "▁"
 #: Exponent of the weights; characters whose texts are worked on together; edges that a worker keeps, roughly.
-ALPHA, GROUP, EDGES = 1.0, 1 << 19, 3_000_000
+ALPHA, GROUP, EDGES = 1.0, 1 << 18, 2_500_000
 #: Rank that a byte of a character without a piece counts as.
 BYTE_RANK = 1_000_000
 #: Characters of a part at most: what has no blank for longer is sampled in pieces of that length.
