@@ -8,12 +8,14 @@ are word shapes, character classes, neighbouring words and the kind of the
 last word that announces personal data; it is trained on the small labelled
 table of ``pii_table`` (log likelihood, L2 penalty, AdaGrad, forward-backward
 in numpy batches) once on the driver, sent to the workers, and decoded by
-Viterbi over padded numpy batches.
+Viterbi in numpy batches.
 
-A window is the part of a line around digits, or around words that announce a
-name or a secret: ``AROUND`` characters on either side, up to whole tokens.
-All tokens of a window are labelled as one chain; pattern spans stand in it as
-tokens that have no label.  What lies in no window costs two scans.
+Every token of every line is labelled, a line as one chain; pattern spans stand
+in it as tokens that have no label.  A token's score is a sum of rows of small
+tables, one for each of its roles (itself, neighbours, last cue).  Where no
+label can win whatever the neighbours are labelled, which is proved from the
+moves' weights, the token has none; Viterbi runs over all the others, between
+these, with the same result as over the whole line.
 
 Defined results
 ---------------
@@ -22,8 +24,8 @@ Defined results
   each other.  Spans of the field never overlap pattern spans.
 * Positions are code points, ends exclusive; spans sort by kind in the order
   of ``KINDS``, then start.
-* Texts are read whole; the scans take time in proportion to the text.  A chain ends after
-  ``LONGEST`` tokens, the next goes on from there; a shape tells words apart by 64 characters.
+* Texts are read whole and labelled whole, lines of any length too, in time in proportion to
+  the text; a shape tells words apart by 64 characters.
 * Spans of the field hold a digit, but for names and secrets, which hold a letter or a digit.
 * Repeated rows have equal spans; an empty table gives an empty result.
 * ``find`` replaces columns named spans; ``redact`` keeps every row and all columns.
@@ -103,8 +105,10 @@ def base_spans(text: str | None) -> list[Span]:
     return out
 
 
-#: Characters of a window on either side of what opens it; tokens in a chain at most; tokens over which a cue reaches.
-AROUND, LONGEST, REACH = 64, 1024, 6
+#: Tokens in a list of ``chains`` at most; tokens over which a cue reaches.
+LONGEST, REACH = 1024, 6
+#: Tokens scored at a time; characters cut into tokens at a time; distinct tokens kept, and rows.
+SLICE, STRETCH, HELD, ROWS = 1 << 16, 1 << 18, 1 << 18, 1 << 15
 #: Words that announce personal data, by kind.
 CUES = {
     "phone": "call tel phone telephone telefon mobile cell fax reach number text dial nummer handynummer handy ruf rufen anrufen appelez téléphone portable joignable numéro llámame teléfono móvil número contact line",
@@ -117,13 +121,11 @@ CUES = {
     "address": "lives living address adresse anschrift wohnt wohnhaft habite dirección vive domicilio residing resides",
 }
 _KIND_OF = {word: kind for kind, words in CUES.items() for word in words.split()}
-#: Cues whose values may have no digit.
-_OPENING = [w for kind in ("secret", "person") for w in CUES[kind].split()]
-_OPENS = re.compile(r"[0-9]|(?<![^\W_])(?:" + "|".join(sorted(map(re.escape, _OPENING), key=len, reverse=True)) + r")(?![^\W_])")
-_STREET = re.compile(r"(?:street|road|avenue|lane|st|straße|strasse|weg|gasse|platz|allee|rue|place|calle|avenida|plaza|boulevard|drive)\Z")
+_STREET = tuple("street road avenue lane st straße strasse weg gasse platz allee rue place calle avenida plaza boulevard drive".split())
 _MONTH = re.compile(r"(?:jan|feb|mar|mär|apr|avr|abr|may|mai|jun|jui|jul|aug|aoû|ago|sep|oct|okt|nov|dec|dez|déc|dic|ene|fév)[a-zûä]*\Z")
-_PART = re.compile(r"[^\s,;:=\"'<>|()\[\]{}!?`*&$#%]+|[:=()]")
-_SPACE = re.compile(r"\s")
+#: A token; the end of a line counts as one.
+_PART = re.compile(r"[^\s,;:=\"'<>|()\[\]{}!?`*&$#%]+|[:=()\n]")
+_BETWEEN = re.compile(r"[\s,;:=\"'<>|()\[\]{}!?`*&$#%]")
 
 
 @dataclass
@@ -134,41 +136,28 @@ class Token:
 
 
 def windows(text: str) -> Iterator[tuple[int, int]]:
-    """Parts of lines around digits and announcing words, in order and apart."""
-    first = stop = 0
-    low = text.lower()
-    # A character whose lower case is longer would move the places behind it.
-    low = low if len(low) == len(text) else text
+    """The lines that are not blank."""
     at = 0
-    while m := _OPENS.search(low, at):
-        at = m.end()
-        if at + AROUND <= stop:
-            at = max(at, stop - AROUND)
-            continue
-        if m.start() >= stop or "\n" in text[max(stop - 1, first) : m.start()]:
-            if stop > first:
-                yield first, stop
-            line = text.rfind("\n", stop, m.start()) + 1
-            first = max(line, stop, m.start() - AROUND)
-            while first > max(line, stop) and not text[first - 1].isspace():
-                first -= 1
-        line_end = text.find("\n", m.end(), m.end() + AROUND)
-        if line_end < 0:
-            found = _SPACE.search(text, m.end() + AROUND)
-            line_end = found.start() if found else len(text)
-        stop = max(stop, line_end)
-    if stop > first:
-        yield first, stop
+    for line in text.split("\n"):
+        if line and not line.isspace():
+            yield at, at + len(line)
+        at += len(line) + 1
 
 
-def chains(text: str, taken: list[Span]) -> Iterator[list[Token]]:
-    """The tokens of each window, cut at taken spans, which stand as one token each."""
-    blocked: list[list] = []
+def blocks(taken: list[Span]) -> list[tuple[int, int, str]]:
+    """Taken spans as (start, end, token); overlapping ones are one, of the first kind."""
+    out: list[tuple[int, int, str]] = []
     for s, e, kind in sorted((s, e, k) for k, s, e in taken):
-        if blocked and s < blocked[-1][1]:
-            blocked[-1][1] = max(e, blocked[-1][1])
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]), out[-1][2])
         else:
-            blocked.append([s, e, f"<{kind}>"])
+            out.append((s, e, f"<{kind}>"))
+    return out
+
+
+def chains(text: str, taken: list[Span]) -> Iterator[list[Token]]:
+    """The tokens of each line, cut at taken spans, which stand as one token each; at most ``LONGEST`` in a list."""
+    blocked = blocks(taken)
     b = 0
     for first, stop in windows(text):
         while b < len(blocked) and blocked[b][1] <= first:
@@ -190,14 +179,38 @@ def chains(text: str, taken: list[Span]) -> Iterator[list[Token]]:
             yield run[k : k + LONGEST]
 
 
+def stretches(text: str, taken: list[Span]) -> Iterator[tuple[int, int, str]]:
+    """The whole text outside taken spans, in order, as (start, end, token of the span that follows, if one does)."""
+    at = 0
+    for s, e, token in [*blocks(taken), (len(text), len(text), "")]:
+        while s - at > STRETCH and (m := _BETWEEN.search(text, at + STRETCH, s)):
+            yield at, m.start(), ""
+            at = m.start()
+        yield at, s, token
+        at = e
+
+
+class _Classes(dict):
+    """From code points to d for digits, x or X for letters, others as they are."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        self[point] = out = "d" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c
+        return out
+
+
+_CLASS = _Classes()
+_RUN = re.compile(r"(.)\1{5,}", re.DOTALL)
+
+
+@lru_cache(maxsize=1 << 14)
+def _short(marks: str) -> str:
+    return _RUN.sub(r"\1\1\1\1\1", marks)
+
+
 def shape(word: str) -> str:
     """Digits as d, letters as x or X, others as they are; runs of over four are cut to five."""
-    out: list[str] = []
-    for c in word[:64]:
-        s = "d" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c
-        if len(out) < 5 or any(o != s for o in out[-5:]):
-            out.append(s)
-    return "".join(out)
+    return _short(word[:64].translate(_CLASS))
 
 
 _HEX = re.compile(r"[0-9a-fA-F]+\Z")
@@ -207,9 +220,9 @@ _ACCOUNT = re.compile(r"[A-Z]{2}[0-9]{2}(?:[0-9A-Z]{4,30})?\Z")
 
 def _own(core: str) -> tuple[str, str, str, list[str]]:
     """(shape, word, mix of characters, further features) of a token by itself."""
-    n, digits = len(core), sum(c.isdigit() for c in core)
-    letters = sum(c.isalpha() for c in core)
-    low = core.lower()
+    n, low = len(core), core.lower()
+    letters = n if core.isalpha() else sum(c.isalpha() for c in core)
+    digits = 0 if letters == n else sum(c.isdigit() for c in core)
     size = "0" if n < 3 else "3" if n < 5 else "5" if n < 8 else "8" if n < 16 else "16" if n < 24 else "24"
     mix = "digits" if digits == n else "none" if not digits else "letters" if letters else "marks"
     if mix == "none":
@@ -224,7 +237,7 @@ def _own(core: str) -> tuple[str, str, str, list[str]]:
         out.append("motley")
     if _ACCOUNT.match(core):
         out.append("account")
-    if letters and _STREET.search(low):
+    if letters and low.endswith(_STREET):
         out.append("street")
     if letters and _MONTH.match(low):
         out.append("month")
@@ -259,6 +272,90 @@ LABELS = ("", *ADDED)
 EPOCHS, STEP, PENALTY = 60, 0.5, 0.02
 
 
+MIXES = ("none", "digits", "letters", "marks", "mark", "capital", "word")
+TOLD = ("none", *CUES)
+
+
+class Lexicon(dict):
+    """From tokens to rows of tables that hold their scores in each of their roles.
+
+    Tokens which the field cannot tell apart share a row.  Row 0 is what lies
+    beyond the ends of a line.
+    """
+
+    def __init__(self, index: dict[str, int], weights: np.ndarray) -> None:
+        super().__init__({"\n": 0})
+        self.index, self.weights = index, weights
+        split = [f.partition("=") for f in index]
+        self.forms = {v for name, _, v in split if name in ("shape", "prev", "next", "prev2")} | {f.partition(",shape=")[2] for f in index if f.startswith("cue=")}
+        self.words = {v for name, _, v in split if name in ("word", "prevword", "nextword")}
+        self.keys_seen: dict[tuple, int] = {}
+        #: By row: itself after each cue, before and after its neighbours, two before and two after; its mix and cue.
+        self.parts: tuple[list, ...] = ([], [], [], [], [], [], [])
+        self._add("none", "none", "none", (), "none")
+        self.stacked: tuple[np.ndarray, ...] = ()
+        self.cue = np.array([self._sum(f"cue={c}", f"cue={c},near={near}") for c in TOLD for near in (False, True)])
+        self.mixes = np.array([self._sum(f"mixes={a},{b},{c}") for a in MIXES for b in MIXES for c in MIXES])
+
+    def _sum(self, *names: str) -> np.ndarray:
+        return self.weights[[i for f in names if (i := self.index.get(f)) is not None]].sum(axis=0)
+
+    def _add(self, form: str, word: str, mix: str, more: tuple[str, ...], kind: str) -> None:
+        own = self._sum("bias", f"shape={form}", f"word={word}", f"mix={mix}", *more)
+        marks = [m for m in more if "=" not in m]
+        told = np.array([own + self._sum(f"cue={c},mix={mix}", f"cue={c},shape={form}", *(f"cue={c},{m}" for m in marks)) for c in TOLD])
+        sums = (self._sum(f"prev={form}", f"prevword={word}"), self._sum(f"next={form}", f"nextword={word}"), self._sum(f"prev2={form}"), self._sum(f"next2={mix}"))
+        for part, new in zip(self.parts, (told, *sums, MIXES.index(mix), TOLD.index(kind))):
+            part.append(new)
+
+    def __missing__(self, token: str) -> int:
+        core = token.rstrip(".") or token
+        form, word, mix, more = _own(core)
+        known = tuple([m for m in more if "=" not in m or m in self.index])
+        key = (form if form in self.forms else "", word if word in self.words else "", mix, known, _KIND_OF.get(core.lower(), "none"))
+        row = self.keys_seen.get(key)
+        if row is None:
+            self._add(*key)
+            row = self.keys_seen[key] = len(self.parts[0]) - 1
+        if len(self) >= HELD:
+            self.clear()
+            self["\n"] = 0
+        if len(token) <= 64:
+            self[token] = row
+        return row
+
+    def rows(self, tokens: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, tokens), np.int32, len(tokens))
+
+    def tables(self) -> tuple[np.ndarray, ...]:
+        if not self.stacked or len(self.stacked[0]) != len(self.parts[0]):
+            self.stacked = tuple(map(np.array, self.parts))
+        return self.stacked
+
+    def told(self, rows: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """Twice the cue that reaches each of a range of tokens, and one more if it is near."""
+        a = max(lo - REACH, 0)
+        cue = self.tables()[6][rows[a:hi]]
+        at = np.arange(hi - a)
+        last = np.maximum.accumulate(np.where((cue > 0) | (rows[a:hi] == 0), at, 0))[lo - a - 1 : -1]
+        since = at[lo - a :] - last
+        got = np.where(since <= REACH, cue[last], 0)
+        return 2 * got + ((since <= 2) & (got > 0))
+
+    def scores(self, rows: np.ndarray, told: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The scores of the tokens at some places (places x labels)."""
+        itself, before, after, before2, after2, mix, _ = self.tables()
+        here, left, right, cue = rows[at], rows[at - 1], rows[at + 1], told[at].astype(np.int64)
+        # Beyond the end of a line lies nothing of the next.
+        left2, right2 = np.where(left, rows[at - 2], 0), np.where(right, rows[at + 2], 0)
+        out = itself.reshape(-1, itself.shape[2]).take(here * np.int64(len(TOLD)) + cue // 2, axis=0)
+        out += self.cue.take(cue, axis=0)
+        for table, role in ((before, left), (after, right), (before2, left2), (after2, right2)):
+            out += table.take(role, axis=0)
+        out += self.mixes.take((mix[left] * len(MIXES) + mix[here]) * len(MIXES) + mix[right], axis=0)
+        return out
+
+
 @dataclass
 class Field:
     """Feature index, weights (features x labels), transitions, and those from and to the ends."""
@@ -277,42 +374,76 @@ class Field:
         # Every token has at least its bias.
         return np.add.reduceat(self.weights[flat], np.cumsum(size) - size, axis=0)
 
+    def lexicon(self) -> Lexicon:
+        """The field's lexicon, kept between calls while it is small."""
+        held = self.__dict__.get("_lexicon")
+        if held is None or len(held.keys_seen) > ROWS:
+            held = self.__dict__["_lexicon"] = Lexicon(self.index, self.weights)
+        return held
+
+    def __getstate__(self) -> dict:
+        return {name: value for name, value in self.__dict__.items() if name != "_lexicon"}
+
     def decode(self, chains: list[list[Token]]) -> list[np.ndarray]:
-        """The best labels of each run; runs of similar length share padded batches."""
-        out: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(chains)
-        order = sorted(range(len(chains)), key=lambda k: len(chains[k]))
+        """The best labels of each run."""
+        lexicon = self.lexicon()
+        rows = [lexicon.rows(["\n", *(t.core for t in run)]) for run in chains]
+        labels = self.labels(lexicon, np.concatenate([np.zeros(1, np.int32), *rows, np.zeros(2, np.int32)]))
+        ends = 1 + np.cumsum([len(r) for r in rows], dtype=np.int64)
+        return [labels[end - len(run) : end] for run, end in zip(chains, ends)]
+
+    def needed(self) -> np.ndarray:
+        """By how much having no label must beat each label at a token to win whatever lies beside it."""
+        to = np.vstack([self.moves, self.first])
+        onward = np.column_stack([self.moves, self.last])
+        return ((to - to[:, :1]).max(axis=0) + (onward - onward[0]).max(axis=1))[1:] + 1e-6
+
+    def labels(self, lexicon: Lexicon, rows: np.ndarray) -> np.ndarray:
+        """The best labels of lines of tokens; a row 0 lies between two lines, two at both ends of all."""
+        told = np.zeros(len(rows), np.int8)
+        open_ = np.zeros(len(rows), bool)
+        needed = self.needed()
+        for lo in range(2, len(rows) - 2, SLICE):
+            hi = min(lo + SLICE, len(rows) - 2)
+            told[lo:hi] = lexicon.told(rows, lo, hi)
+            score = lexicon.scores(rows, told, np.arange(lo, hi))
+            open_[lo:hi] = (score[:, :1] - score[:, 1:] <= needed).any(axis=1) & (rows[lo:hi] != 0)
+        out = np.zeros(len(rows), np.int8)
+        start, stop = np.flatnonzero(open_[1:] & ~open_[:-1]) + 1, np.flatnonzero(open_[:-1] & ~open_[1:]) + 1
+        order = np.argsort(stop - start, kind="stable")
+        start, size = start[order], (stop - start)[order]
         at = 0
-        while at < len(order):
-            # At most about 64k padded cells in a batch.
-            part = [order[at]]
-            at += 1
-            while at < len(order) and (len(part) + 1) * len(chains[order[at]]) <= 1 << 16:
-                part.append(order[at])
-                at += 1
-            self._viterbi([chains[k] for k in part], part, out)
+        while at < len(size):
+            # Runs of similar length share padded batches of at most about 64k cells.
+            end = at + 1
+            while end < len(size) and (end + 1 - at) * size[end] <= SLICE:
+                end += 1
+            self._viterbi(lexicon, rows, told, start[at:end], size[at:end], out)
+            at = end
         return out
 
-    def _viterbi(self, chains: list[list[Token]], place: list[int], out: list[np.ndarray]) -> None:
-        n, width, k = len(chains), max(map(len, chains)), len(LABELS)
-        score = np.zeros((n, width, k))
-        size = np.array([len(c) for c in chains])
-        for row, chain in enumerate(chains):
-            score[row, : len(chain)] = self.emissions(chain)
-        back = np.zeros((n, width, k), dtype=np.int8)
-        best = score[:, 0] + self.first
-        for t in range(1, width):
+    def _viterbi(self, lexicon: Lexicon, rows: np.ndarray, told: np.ndarray, start: np.ndarray, size: np.ndarray, out: np.ndarray) -> None:
+        """Labels runs of tokens between ends of lines and tokens without a label."""
+        n, width, k = len(start), int(size.max()), len(LABELS)
+        after = np.where(rows[start + size][:, None] == 0, self.last, self.moves[:, 0])
+        best = np.where(rows[start - 1][:, None] == 0, self.first, self.moves[0])
+        back = np.zeros((width, n, k), dtype=np.int8)
+        step = max(SLICE // n, 1)
+        for t in range(width):
+            if t % step == 0:
+                places = np.minimum(start[:, None] + np.arange(t, min(t + step, width)), (start + size - 1)[:, None])
+                score = lexicon.scores(rows, told, places.ravel()).reshape(n, -1, k)
+            if t == 0:
+                best = best + score[:, 0]
+                continue
             paths = best[:, :, None] + self.moves[None]
-            back[:, t] = paths.argmax(axis=1)
-            moved = paths.max(axis=1) + score[:, t]
-            best = np.where((t < size)[:, None], moved, best)
-        label = (best + self.last).argmax(axis=1)
-        labels = np.zeros((n, width), dtype=np.int64)
+            back[t] = paths.argmax(axis=1)
+            best = np.where((t < size)[:, None], paths.max(axis=1) + score[:, t % step], best)
+        label = (best + after).argmax(axis=1)
         for t in range(width - 1, -1, -1):
             live = t < size
-            labels[live, t] = label[live]
-            label = np.where(live & (t > 0), back[np.arange(n), t, label], label)
-        for row, k in enumerate(place):
-            out[k] = labels[row, : size[row]]
+            out[start[live] + t] = label[live]
+            label = np.where(live & (t > 0), back[t, np.arange(n), label], label)
 
 
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -389,34 +520,53 @@ _JOINED, _LISTED, LISTED = re.compile(r"[ '’]{0,2}\Z"), re.compile(r"[.,]? ?\Z
 WORDY = ("secret", "person")
 
 
-def all_spans(texts: list[str | None], field: Field) -> list[tuple[list[Span], list[Span]]]:
-    """For each whole text: the pattern spans, and the field's."""
-    base = [base_spans(t) for t in texts]
-    runs: list[list[Token]] = []
-    owner: list[int] = []
-    for k, (text, taken) in enumerate(zip(texts, base)):
-        for run in chains(text or "", taken):
-            runs.append(run)
-            owner.append(k)
-    added: list[list[Span]] = [[] for _ in texts]
-    for k, run, labels in zip(owner, runs, field.decode(runs)):
-        last = 0
-        for token, label in zip(run, labels):
-            if token.end == token.start:
-                label = 0
+def placed(text: str, taken: list[Span], labels: list[int]) -> list[Span]:
+    """The field's spans, from the labels of a text's tokens."""
+    held: list[Span] = []
+    last = k = 0
+    for first, edge, token in stretches(text, taken):
+        for m in _PART.finditer(text, first, edge):
+            label = labels[k]
+            k += 1
             if label:
-                kind, held = LABELS[label], added[k]
+                kind, start, end = LABELS[label], m.start(), m.start() + len(m[0].rstrip(".") or m[0])
                 # Neighbours of one kind make one span.
-                gap = texts[k][held[-1][2] : token.start] if label == last else ""
+                gap = text[held[-1][2] : start] if label == last else ""
                 if label == last and (_JOINED.match(gap) or (kind in LISTED and _LISTED.match(gap))):
-                    held[-1] = (kind, held[-1][1], token.end)
+                    held[-1] = (kind, held[-1][1], end)
                 else:
-                    held.append((kind, token.start, token.end))
+                    held.append((kind, start, end))
             last = label
-    for k, spans in enumerate(added):
-        added[k] = [s for s in spans if any(c.isdigit() or (c.isalpha() and s[0] in WORDY) for c in texts[k][s[1] : s[2]])]
+        if token:
+            k += 1
+            last = 0
+    return [s for s in held if any(c.isdigit() or (c.isalpha() and s[0] in WORDY) for c in text[s[1] : s[2]])]
+
+
+def all_spans(texts: list[str | None], field: Field) -> list[tuple[list[Span], list[Span]]]:
+    """For each whole text: the pattern spans, and the field's."""
+    base = [base_spans(t) for t in texts]
+    lexicon = field.lexicon()
+    rows = [np.zeros(2, np.int32)]
+    ends, at = [], 2
+    for text, taken in zip(texts, base):
+        for first, edge, token in stretches(text or "", taken):
+            tokens = _PART.findall(text or "", first, edge)
+            rows.append(lexicon.rows([*tokens, token] if token else tokens))
+            at += len(rows[-1])
+        ends.append(at)
+        rows.append(np.zeros(1, np.int32))
+        at += 1
+    labels = field.labels(lexicon, np.concatenate([*rows, np.zeros(1, np.int32)]))
     rank = {kind: i for i, kind in enumerate(KINDS)}
-    return [(b, sorted(a, key=lambda s: (rank[s[0]], s[1]))) for b, a in zip(base, added)]
+    out = []
+    first = 2
+    for text, taken, end in zip(texts, base, ends):
+        own = labels[first:end]
+        first = end + 1
+        added = placed(text, taken, own.tolist()) if own.any() else []
+        out.append((taken, sorted(added, key=lambda s: (rank[s[0]], s[1]))))
+    return out
 
 
 SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"

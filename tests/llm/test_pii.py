@@ -124,6 +124,70 @@ def test_windows_take_time_in_proportion():
         assert sum(b - a for a, b in pii.windows(text)) <= len(text)
 
 
+def plain_labels(field, run):
+    """Viterbi over a whole line, token by token, from the features' names."""
+    e = field.emissions(run)
+    best, back = field.first + e[0], []
+    for row in e[1:]:
+        paths = best[:, None] + field.moves
+        back.append(paths.argmax(axis=0))
+        best = paths.max(axis=0) + row
+    out = [int((best + field.last).argmax())]
+    for b in reversed(back):
+        out.append(int(b[out[-1]]))
+    return out[::-1]
+
+
+def test_whole_lines_against_plain_viterbi(monkeypatch):
+    """Labels through tables, slices and proved places are those of every whole line; slices may be of any size."""
+    r = random.Random(11)
+    words = ["the", "Anna", "password", "=", "7", "x9Kq27LmPw83TbVc51Ry", "passport", "X1234567", "12/05/1980", "(", "name", "none", "ß", "call", "555-0100", "a@b.cd", "born", "..", "12", "Main", "Street", "é9"]
+    table = "".join(r.choice(words) + r.choice([" ", " ", "\n", ", ", "  "]) for _ in range(4000)) + "7 " * 200
+    field = pii.trained()
+    noise = np.random.default_rng(2)
+    loud = pii.Field(field.index, field.weights + noise.normal(size=field.weights.shape), *(x + noise.normal(size=x.shape) for x in (field.moves, field.first, field.last)))
+    whole = None
+    for f in (field, loud):
+        for slice_, stretch, held in ((1 << 16, 1 << 18, 1 << 18), (7, 5, 3)):
+            for name, size in (("SLICE", slice_), ("STRETCH", stretch), ("HELD", held)):
+                monkeypatch.setattr(pii, name, size)
+            taken = pii.base_spans(table)
+            tokens = [t for first, edge, token in pii.stretches(table, taken) for t in (*pii._PART.findall(table, first, edge), *([token] if token else []))]
+            assert whole in (None, tokens)
+            whole = tokens
+            lexicon = f.lexicon()
+            got = f.labels(lexicon, np.concatenate([[0, 0], lexicon.rows(tokens), [0, 0]]).astype(np.int32))[2:-2]
+            monkeypatch.setattr(pii, "LONGEST", 1 << 30)
+            want = [plain_labels(f, run) for run in pii.chains(table, taken)]
+            lines = [[]]
+            for token, label in zip(tokens, got.tolist()):
+                lines.append([]) if token == "\n" else lines[-1].append(label)
+            assert [x for x in lines if x] == want
+
+
+def test_every_token_is_looked_at():
+    """A field that marks whatever it sees marks all of a text without digits or cues, in lines of any length."""
+    k = len(pii.LABELS)
+    weights = np.zeros((1, k))
+    weights[0, pii.LABELS.index("person")] = 1
+    field = pii.Field({"bias": 0}, weights, np.zeros((k, k)), np.zeros(k), np.zeros(k))
+    texts = ["alpha beta " * 3000 + "end", "one\ntwo\n\nthree", "plain", "İ ab"]
+    got = [[t[a:b] for _, a, b in added] for t, (_, added) in zip(texts, pii.all_spans(texts, field))]
+    assert got == [[texts[0]], ["one", "two", "three"], ["plain"], ["İ ab"]]
+
+
+def test_values_far_from_their_cues():
+    """Values that lie beyond 64 characters from what announces them, and cues beside letters whose lower case is longer."""
+    texts = [
+        "Name:" + " " * 90 + "Anna Schneider",
+        "date of birth" + " " * 90 + "07/11/1979",
+        "passport" + " ." * 50 + "\nnumber of passport:" + " " * 80 + "X1234567",
+        "İstanbul PASSWORD: opensesame",
+    ]
+    got = [[(k, t[a:b]) for k, a, b in added] for t, (_, added) in zip(texts, pii.all_spans(texts, pii.trained()))]
+    assert got == [[("person", "Anna Schneider")], [("birth_date", "07/11/1979")], [("document_id", "X1234567")], [("secret", "opensesame")]]
+
+
 def test_spans_beside_patterns():
     """A pattern span hides nothing else in the same run of characters; brackets belong to a number."""
     field = pii.trained()
