@@ -51,8 +51,8 @@ LENGTHS = 16
 STEP_ROWS, RATE, ROUNDS = 4096, 0.15, 2
 #: Places of which one is trained on in a round: all rounds together take every place.
 STRIDE = ROUNDS
-#: Windows that are scored together.
-SCORE_ROWS = 1 << 13
+#: Windows that are scored together; rows in each of their products.
+SCORE_ROWS, BLOCK = 1 << 13, 64
 #: Distinct words beyond which a task passes its counts on.
 HELD = 200_000
 #: Byte before the first of a word; classes of the second byte before; weight of the shorter context.
@@ -220,21 +220,34 @@ class Network:
         return np.tanh(total + self.bias)
 
     def log_prob(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """log P(target | both sides) of each window."""
+        """log P(target | both sides) of each window, to the bit the same whatever windows stand beside it.
+
+        How a product of matrices rounds a row depends on its shape, so all are of ``BLOCK`` rows.
+        """
         h = self.hidden(context)
-        order = np.argsort((target // MEMBERS).astype(np.uint8), kind="stable")
-        h, target = h[order], target[order]
         cls = target // MEMBERS
-        z = h @ self.cls.T + self.cls_bias
-        got = z[np.arange(len(z)), cls] - _log_sum(z)
-        bounds = np.searchsorted(cls, np.arange(CLASSES + 1))
-        for c, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
-            if a < b:
-                part = slice(c * MEMBERS, (c + 1) * MEMBERS)
-                z = h[a:b] @ self.out[part].T + self.out_bias[part]
-                got[a:b] += z[np.arange(b - a), target[a:b] - c * MEMBERS] - _log_sum(z)
-        out = np.empty(len(got), dtype=np.float64)
-        out[order] = got
+        order = np.argsort(cls.astype(np.uint8), kind="stable")
+        n = np.bincount(cls, minlength=CLASSES)
+        blocks = -(-n // BLOCK)
+        ends = np.cumsum(blocks)
+        # The windows by class, each class filled up to whole blocks.
+        at = np.arange(len(cls)) + np.repeat((ends - blocks) * BLOCK - (np.cumsum(n) - n), n)
+        padded = np.zeros((int(ends[-1]), BLOCK, HIDDEN), h.dtype)
+        padded.reshape(-1, HIDDEN)[at] = h[order]
+        wanted = np.zeros(int(ends[-1]) * BLOCK, np.int64)
+        wanted[at] = target[order]
+        z = np.matmul(padded, np.ascontiguousarray(self.cls.T)).reshape(-1, CLASSES)
+        z += self.cls_bias
+        got = z[np.arange(len(z)), wanted // MEMBERS] - _log_sum(z)
+        z = np.empty((len(padded), BLOCK, MEMBERS), h.dtype)
+        for c in np.flatnonzero(n):
+            part, own = slice(ends[c] - blocks[c], ends[c]), slice(c * MEMBERS, (c + 1) * MEMBERS)
+            np.matmul(padded[part], np.ascontiguousarray(self.out[own].T), out=z[part])
+            z[part] += self.out_bias[own]
+        z = z.reshape(-1, MEMBERS)
+        got += z[np.arange(len(z)), wanted % MEMBERS] - _log_sum(z)
+        out = np.empty(len(cls), dtype=np.float64)
+        out[order] = got[at]
         return out
 
 
@@ -250,9 +263,18 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def _log_sum(z: np.ndarray) -> np.ndarray:
     """log of the sum of exponentials of each row."""
     if -60 < float(z.min(initial=0)) and float(z.max(initial=0)) < 60:
-        return np.log(np.exp(z) @ np.ones(z.shape[1], dtype=z.dtype))
-    top = z.max(axis=1)
-    return np.log(np.exp(z - top[:, None]).sum(axis=1)) + top
+        return np.log(np.exp(z).sum(axis=1))
+    far = (np.abs(z) >= 60).any(axis=1)
+    out = np.empty(len(z), z.dtype)
+    out[~far] = np.log(np.exp(z[~far]).sum(axis=1))
+    top = z[far].max(axis=1)
+    out[far] = np.log(np.exp(z[far] - top[:, None]).sum(axis=1)) + top
+    return out
+
+
+def _even(share: np.ndarray) -> np.ndarray:
+    """Rounded to 2 ** -28, so that sums are the same in any order."""
+    return np.rint(share * 2.0**28) * 2.0**-28
 
 
 class Trainer:
@@ -430,11 +452,11 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             total, spelling = np.zeros(len(texts)), np.zeros(len(texts))
 
             def rare(found: Words, which: np.ndarray, out: np.ndarray = spelling) -> None:
-                out += np.bincount(found.row[which], weights=model.spelling.log_prob(found, which), minlength=len(out))
+                out += np.bincount(found.row[which], weights=_even(model.spelling.log_prob(found, which)), minlength=len(out))
 
             ids, n = coded_words(texts, model.vocabulary, rare)
             for row, context, target in places(ids, n, SCORE_ROWS):
-                total += np.bincount(row, weights=model.network.log_prob(context, target), minlength=len(texts))
+                total += np.bincount(row, weights=_even(model.network.log_prob(context, target)), minlength=len(texts))
             mean = pa.array(np.where(n > 0, total / np.maximum(n, 1), 0.0), mask=n == 0)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(n), pa.array(total), mean, pa.array(spelling)], names=[*kept, *added])
 

@@ -83,6 +83,22 @@ def test_gradients():
     assert (net.with_rows(net.rows()).embed == net.embed).all() and trainer.windows == 1200
 
 
+def test_windows_score_alike_wherever_they_stand():
+    """To the bit, alone and among any others, with outputs of any size."""
+    r = np.random.default_rng(1)
+    net = M.Network.fresh(r.integers(1, 1000, M.WORDS).astype(float))
+    context = np.stack([r.integers(0, M.WORDS, 3000) + k * (M.WORDS + 1) for k in range(2 * M.SIDE)], axis=1)
+    target = r.integers(0, M.WORDS, 3000)
+    for scale in (0.3, 20):
+        net = M.Network(*((p + r.normal(size=p.shape) * scale).astype(np.float32) for p in vars(net).values()))
+        whole = net.log_prob(context, target)
+        for n in (1, 2, 7, 64, 65, 1000, 2999):
+            some = r.permutation(3000)[:n]
+            assert (net.log_prob(context[some], target[some]) == whole[some]).all()
+    shares = M._even(r.normal(size=10_000) * 9)
+    assert shares.sum() == shares[::-1].cumsum()[-1] == sum(r.permutation(shares).tolist())
+
+
 def test_odd_rows(spark, model):
     got = scores(spark, model, [None, "", "!!!", "one", "red big cat", "red big cat", "we saw it " * 100_000])
     for k in range(3):
