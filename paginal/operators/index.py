@@ -16,6 +16,8 @@ from paginal.operators.prefix import prefix_sums
 LENGTH_BYTES, PAGE_BYTES, POSITION_BYTES, HEADER_BYTES = 4, 8, 4, 52
 #: Page numbers of a block of a term's postings; values summed at once; leading characters that group terms in order.
 BLOCK_PAGES, RUN, LEAD = 1 << 16, 256, 3
+#: Tokens whose postings are gathered at once; a longer page goes alone.
+GATHERED = 1 << 18
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
@@ -38,36 +40,53 @@ def postings(occ: DataFrame) -> DataFrame:
     return occ.groupBy("term", "page_id").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
+def cut_lengths(size: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of lists that hold GATHERED elements at most, or one list."""
+    total, low = np.cumsum(size, dtype=np.int64), 0
+    while low < len(size):
+        done = int(total[low - 1]) if low else 0
+        high = max(low + 1, int(np.searchsorted(total, done + GATHERED, side="right")))
+        yield low, high
+        low = high
+
+
 def page_postings(pages: DataFrame) -> DataFrame:
     """The same from pages, one row a page: a page's postings are made where its row lies, so that no token moves.
 
-    Texts are split by built-in expressions; the tokens of a batch then become
-    numbers, and one stable sort by page and number brings equal ones together.
-    (Grouping tokens in an exchange, or in the row by array expressions, takes
-    some four times as long.)
+    Texts are split by built-in expressions; the tokens of some pages then
+    become numbers, and one stable sort by page and number brings equal ones
+    together.  So many pages are taken at once as have GATHERED tokens, however
+    many rows a batch has, so memory does not grow with the batch.  (Grouping
+    tokens in an exchange, or in the row by array expressions, takes some four
+    times as long.)
     """
     schema = pages.select(F.lit("").alias("term"), "page_id", F.lit(0).alias("tf"), F.array().cast("array<int>").alias("positions")).schema
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            if not batch.num_rows:
-                continue
-            ends = lists.offsets.to_numpy().astype(np.int64)
-            size = np.diff(ends)
-            words = lists.values.slice(int(ends[0]), int(ends[-1] - ends[0])).dictionary_encode()
-            code, letters = words.indices.to_numpy().astype(np.int64), len(words.dictionary)
-            page = np.repeat(np.arange(len(size)), size)
-            order = np.argsort(page * letters + code, kind="stable")
-            page, code = page[order], code[order]
-            fresh = np.ones(len(order), dtype=bool)
-            fresh[1:] = (page[1:] != page[:-1]) | (code[1:] != code[:-1])
-            first = np.flatnonzero(fresh)
-            edges = np.append(first, len(order)).astype(np.int32)
-            pos = (order - (ends[:-1] - ends[0])[page]).astype(np.int32)
-            positions = pa.ListArray.from_arrays(pa.array(edges), pa.array(pos))
-            columns = [words.dictionary.take(pa.array(code[first])), batch.column(0).take(pa.array(page[first])), pa.array(np.diff(edges)), positions]
-            yield pa.RecordBatch.from_arrays(columns, names=["term", "page_id", "tf", "positions"])
+            ids, lists = batch.columns
+            ends = lists.offsets.to_numpy()
+            for low, high in cut_lengths(np.diff(ends)):
+                yield grouped(ids.slice(low, high - low), ends[low : high + 1], lists.values)
+            # Else the batch lives on while the next one is read.
+            del batch, ids, lists, ends
+
+    def grouped(ids: pa.Array, ends: np.ndarray, values: pa.Array) -> pa.RecordBatch:
+        ends = ends.astype(np.int64)
+        size = np.diff(ends)
+        words = values.slice(int(ends[0]), int(ends[-1] - ends[0])).dictionary_encode()
+        code, letters = words.indices.to_numpy().astype(np.int64), len(words.dictionary)
+        page = np.repeat(np.arange(len(size)), size)
+        order = np.argsort(page * letters + code, kind="stable")
+        page, code = page[order], code[order]
+        fresh = np.ones(len(order), dtype=bool)
+        fresh[1:] = (page[1:] != page[:-1]) | (code[1:] != code[:-1])
+        first = np.flatnonzero(fresh)
+        edges = np.append(first, len(order)).astype(np.int32)
+        pos = (order - (ends[:-1] - ends[0])[page]).astype(np.int32)
+        positions = pa.ListArray.from_arrays(pa.array(edges), pa.array(pos))
+        columns = [words.dictionary.take(pa.array(code[first])), ids.take(pa.array(page[first])), pa.array(np.diff(edges)), positions]
+        return pa.RecordBatch.from_arrays(columns, names=["term", "page_id", "tf", "positions"])
 
     return pages.where(F.col("text") != "").select("page_id", tokens("text").alias("words")).mapInArrow(gather, schema)
 

@@ -1,3 +1,5 @@
+import numpy as np
+
 from paginal.operators import index, search
 
 
@@ -93,3 +95,13 @@ def test_stored_blocks(spark):
     stored = index.stored_dictionary(index.dictionary(index.occurrences(corpus(spark, TEXTS))))
     got = sorted(index.stored_blocks(stored).collect())
     assert [r["block_index"] for r in got] == [0, 1, 2, 3] and [r["postings_offset"] for r in got] == sorted(r["postings_offset"] for r in got)
+
+
+def test_tokens_gathered_at_once(spark, monkeypatch):
+    """Postings come in bounded lots of whole pages, and are those of one lot."""
+    assert list(index.cut_lengths(np.array([3, 1 << 30, 0, 5]))) == [(0, 1), (1, 2), (2, 4)]
+    assert list(index.cut_lengths(np.full(1000, 1000))) == [(k, min(k + 262, 1000)) for k in range(0, 1000, 262)]
+    assert list(index.cut_lengths(np.array([], dtype=np.int64))) == []
+    monkeypatch.setattr(index, "GATHERED", 3)
+    pages = corpus(spark, [*TEXTS, "a", "b b b", " x " * 300, "..."]).coalesce(1)
+    assert rows(index.page_postings(pages)) == rows(index.postings(index.occurrences(pages)))
