@@ -102,18 +102,27 @@ def _blocks(dealt: DataFrame, value: Column, name: str) -> DataFrame:
 
 
 def _with(dealt: DataFrame, blocks: DataFrame) -> DataFrame:
-    return dealt.join(blocks, (F.col("term") == F.col("t")) & (F.col("block") == F.col("b"))).drop("t", "b")
+    # Each row has its block; an inner join's filter for null keys would part the exchanges of the two sides.
+    return dealt.join(blocks, (F.col("term") == F.col("t")) & (F.col("block") == F.col("b")), "left").drop("t", "b")
 
 
-def encode_deltas(post: DataFrame) -> DataFrame:
-    """(term, page_id, page_delta, tf, position_deltas): each number less the one before."""
+def encode_deltas(post: DataFrame, starts: bool = False) -> DataFrame:
+    """(term, page_id, page_delta, tf, position_deltas): each number less the one before.
+
+    starts adds block and behind: the block of pages, and the last page of the
+    term before it, from which decoding can begin at any block.
+    """
     dealt = _by_block(post)
     order = Window.partitionBy("t").orderBy("b")
-    last = _blocks(dealt, F.max("page_id"), "last").select("t", "b", F.coalesce(F.lag("last").over(order), F.lit(0)).alias("behind"))
+    # All columns are named, so that blocks and postings read one exchange; else pages are split once more for the narrower one.
+    page = F.coalesce(F.when(F.size("positions") == F.col("tf"), F.col("page_id")), F.col("page_id"))
+    last = _blocks(dealt, F.max(page), "last").select("t", "b", F.coalesce(F.lag("last").over(order), F.lit(0)).alias("behind"))
     inside = Window.partitionBy("term", "block").orderBy("page_id")
-    before = F.concat(F.array(F.lit(0)), F.slice("positions", 1, F.greatest(F.size("positions") - 1, F.lit(0))))
+    before = F.concat(F.array(F.lit(0)), F.slice("positions", 1, F.size("positions") - 1))
+    # The first position is its own delta.
+    moved = F.when(F.size("positions") > 1, F.zip_with("positions", before, lambda a, b: a - b)).otherwise(F.col("positions"))
     return _with(dealt.withColumn("lagged", F.lag("page_id").over(inside)), last).select(
-        "term", "page_id", (F.col("page_id") - F.coalesce("lagged", "behind")).alias("page_delta"), "tf", F.zip_with("positions", before, lambda a, b: a - b).alias("position_deltas")
+        "term", "page_id", (F.col("page_id") - F.coalesce("lagged", "behind")).alias("page_delta"), "tf", moved.alias("position_deltas"), *(("block", "behind") if starts else ())
     )
 
 
@@ -132,16 +141,21 @@ def running_sums(values: str) -> Column:
     sums = F.transform(runs, lambda r: F.aggregate(r, F.lit(0), lambda a, d: a + d))
     starts = F.concat(F.array(F.lit(0)), _running(F.slice(sums, 1, n - 1), F.lit(0)))
     long = F.flatten(F.zip_with(runs, starts, lambda r, s: _running(r, s)))
-    return F.when(F.size(values) <= RUN, _running(F.col(values), F.lit(0))).otherwise(long)
+    return F.when(F.size(values) <= 1, F.col(values)).when(F.size(values) <= RUN, _running(F.col(values), F.lit(0))).otherwise(long)
 
 
 def decode_deltas(deltas: DataFrame) -> DataFrame:
-    """Postings again: running sums of page deltas per term and of position deltas."""
-    dealt = _by_block(deltas)
-    ahead = Window.partitionBy("t").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = _blocks(dealt, F.sum("page_delta"), "moved").select("t", "b", F.coalesce(F.sum("moved").over(ahead), F.lit(0)).alias("behind"))
+    """Postings again: running sums of page deltas per term and of position deltas.
+
+    With the blocks' starts (``encode_deltas(post, starts=True)``) sums run
+    within blocks alone; without them the starts are sums of the blocks before.
+    """
+    dealt = deltas if "behind" in deltas.columns else _by_block(deltas)
     inside = Window.partitionBy("term", "block").orderBy("page_id").rowsBetween(Window.unboundedPreceding, 0)
-    placed = _with(dealt.withColumn("own", F.sum("page_delta").over(inside)), starts)
+    placed = dealt.withColumn("own", F.sum("page_delta").over(inside))
+    if "behind" not in deltas.columns:
+        ahead = Window.partitionBy("t").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+        placed = _with(placed, _blocks(dealt, F.sum("page_delta"), "moved").select("t", "b", F.coalesce(F.sum("moved").over(ahead), F.lit(0)).alias("behind")))
     return placed.select("term", (F.col("behind") + F.col("own")).alias("page_id"), "tf", running_sums("position_deltas").alias("positions"))
 
 

@@ -246,7 +246,7 @@ def posting_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("posting_decode", SQL["postings"])
 def posting_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = index.decode_deltas(index.encode_deltas(_postings(spark, sf_dir)))
+    found = index.decode_deltas(index.encode_deltas(_postings(spark, sf_dir), starts=True))
     return found.withColumn("positions", F.array_join("positions", ","))
 
 

@@ -105,3 +105,19 @@ def test_tokens_gathered_at_once(spark, monkeypatch):
     monkeypatch.setattr(index, "GATHERED", 3)
     pages = corpus(spark, [*TEXTS, "a", "b b b", " x " * 300, "..."]).coalesce(1)
     assert rows(index.page_postings(pages)) == rows(index.postings(index.occurrences(pages)))
+
+
+def test_pages_split_once_for_deltas(spark, monkeypatch):
+    """Blocks read the postings' own exchange, and decoding from starts adds none."""
+    monkeypatch.setattr(index, "BLOCK_PAGES", 2)
+    monkeypatch.setattr(index, "_by_block", lambda post, deal=index._by_block: deals.append(1) or deal(post))
+    deals = []
+    pages = corpus(spark, [*TEXTS, "a", "b b b"])
+    post = index.page_postings(pages)
+    deltas = index.encode_deltas(post, starts=True)
+    decoded = index.decode_deltas(deltas)
+    assert len(deals) == 1 and rows(decoded) == rows(post) and rows(deltas.drop("block", "behind")) == rows(index.encode_deltas(post))
+    for found in (deltas, decoded):
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan()
+        assert plan.toString().split("== Initial Plan ==")[0].count("MapInArrow") == 1
