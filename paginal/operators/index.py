@@ -36,8 +36,49 @@ def hash_collisions(occ: DataFrame) -> DataFrame:
 
 
 def postings(occ: DataFrame) -> DataFrame:
-    """(term, page_id, tf, positions) of occurrences in any order: positions ascend."""
-    return occ.groupBy("term", "page_id").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    """(term, page_id, tf, positions) of occurrences in any order: positions ascend.
+
+    Occurrences are dealt and ordered by page alone; lots of whole pages then
+    become postings at once.  Memory holds GATHERED occurrences, or one page.
+    """
+    schema = occ.select("term", "page_id", F.lit(0).alias("tf"), F.array("pos").alias("positions")).schema
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, enough = [], 0, GATHERED
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= enough:
+                lot = pa.Table.from_batches(held).combine_chunks()
+                pages = numbers(lot["page_id"])[1]
+                whole = int(np.flatnonzero(pages != pages[-1])[-1]) + 1 if pages[0] != pages[-1] else 0
+                if whole:
+                    yield grouped(lot.slice(0, whole))
+                # The last page may go on; its rows are copied, so that the lot is freed.
+                held = lot.take(pa.array(np.arange(whole, size))).to_batches()
+                size -= whole
+                enough = max(GATHERED, 2 * size)
+        if size:
+            yield grouped(pa.Table.from_batches(held).combine_chunks())
+
+    def numbers(values: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+        coded = values.chunk(0).dictionary_encode(null_encoding="encode")
+        return coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+
+    def grouped(lot: pa.Table) -> pa.RecordBatch:
+        (terms, code), (ids, page), pos = numbers(lot["term"]), numbers(lot["page_id"]), lot["pos"].chunk(0)
+        known = pos.is_valid().to_numpy(zero_copy_only=False)
+        code += page * len(terms)
+        order = np.lexsort((pos.fill_null(0).to_numpy(), code))
+        code, known = code[order], known[order]
+        first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        ends = np.append(first, len(order))
+        edges = np.append(0, np.cumsum(known))[ends].astype(np.int32)
+        positions = pa.ListArray.from_arrays(pa.array(edges), pos.take(pa.array(order[known])))
+        columns = [terms.take(pa.array(code[first] % len(terms))), ids.take(pa.array(code[first] // len(terms))), pa.array(np.diff(ends).astype(np.int32)), positions]
+        return pa.RecordBatch.from_arrays(columns, names=["term", "page_id", "tf", "positions"])
+
+    return occ.select("term", "page_id", "pos").repartition("page_id").sortWithinPartitions("page_id").mapInArrow(gather, schema)
 
 
 def cut_lengths(size: np.ndarray) -> Iterator[tuple[int, int]]:

@@ -121,3 +121,21 @@ def test_pages_split_once_for_deltas(spark, monkeypatch):
         found.collect()
         plan = found._jdf.queryExecution().executedPlan()
         assert plan.toString().split("== Initial Plan ==")[0].count("MapInArrow") == 1
+
+
+def test_postings_of_whole_pages(spark, monkeypatch):
+    """Occurrences in any order, of pages longer and shorter than a lot; no row a token is aggregated."""
+    monkeypatch.setattr(index, "GATHERED", 5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        found = [(t, p, i) for p in (0, 7, None, 3) for i, t in enumerate("b a c a b a b".split() * (4 if p == 7 else 1))] + [(None, 3, 9), ("z", 99, 1), ("z", 99, None)]
+        occ = spark.createDataFrame(found[::-1], "term string, page_id long, pos int").orderBy("pos").repartition(3)
+        want: dict = {}
+        for t, p, i in found:
+            want.setdefault((t, p), []).append(i)
+        post = index.postings(occ)
+        got = {(r["term"], r["page_id"]): (r["tf"], r["positions"]) for r in post.collect()}
+        assert got == {k: (len(v), sorted(i for i in v if i is not None)) for k, v in want.items()} and post.count() == len(got)
+        assert "collect_list" not in post._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
