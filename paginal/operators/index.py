@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paginal.functions.text import hash64, hash64_bits, tokens, unsigned
+from paginal.functions.text import hash64_bits, tokens, unsigned
 from paginal.operators.prefix import prefix_sums
 
 # Fixed values of the storage model: bytes of a block's length field, of a page entry, of a position, of the file header.
@@ -32,7 +32,24 @@ def vocabulary(occ: DataFrame) -> DataFrame:
 
 def hash_collisions(occ: DataFrame) -> DataFrame:
     """Hashes that different terms share, with the terms; empty on sound data."""
-    return vocabulary(occ).groupBy(hash64("term").alias("word_hash")).agg(F.collect_set("term").alias("terms")).where(F.size("terms") > 1)
+    # Counted first, in order of the hash alone; only terms of a shared one are collected.
+    hashed = vocabulary(occ).select(hash64_bits("term").alias("bits"), "term")
+    shared = hashed.withColumn("n", F.count("*").over(Window.partitionBy("bits"))).where(F.col("n") > 1)
+    return shared.groupBy("bits").agg(F.collect_set("term").alias("terms")).select(unsigned("bits").alias("word_hash"), "terms")
+
+
+def page_terms(pages: DataFrame) -> DataFrame:
+    """(term): the terms of pages, each once for some pages that lie together; for a vocabulary, without a row a token."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            ends = lists.offsets.to_numpy()
+            for low, high in cut_lengths(np.diff(ends)):
+                yield pa.RecordBatch.from_arrays([lists.values.slice(int(ends[low]), int(ends[high] - ends[low])).unique()], names=["term"])
+            del batch, lists, ends
+
+    return pages.where(F.col("text") != "").select(tokens("text").alias("words")).mapInArrow(gather, "term string")
 
 
 def postings(occ: DataFrame) -> DataFrame:

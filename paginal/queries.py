@@ -208,12 +208,12 @@ select term, cast(xor(h, h >> {T.FINAL_SHIFT}) as decimal(20, 0)) as word_hash f
 
 @_register("hash_terms", HASH_SQL)
 def hash_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.vocabulary(_occurrences(spark, sf_dir)).select("term", T.hash64("term").alias("word_hash"))
+    return index.vocabulary(index.page_terms(_pages(spark, sf_dir))).select("term", T.hash64("term").alias("word_hash"))
 
 
 @_register("hash_collisions", "select cast(0 as decimal(20,0)) as word_hash, cast(0 as bigint) as n_terms where false")
 def hash_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.hash_collisions(_occurrences(spark, sf_dir)).select("word_hash", F.size("terms").cast("long").alias("n_terms"))
+    return index.hash_collisions(index.page_terms(_pages(spark, sf_dir))).select("word_hash", F.size("terms").cast("long").alias("n_terms"))
 
 
 # --- index
@@ -221,7 +221,7 @@ def hash_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("vocabulary", f"with {OCC} select distinct term from occ")
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.vocabulary(_occurrences(spark, sf_dir))
+    return index.vocabulary(index.page_terms(_pages(spark, sf_dir)))
 
 
 _POST = "post as (select term, page_id, cast(count(*) as integer) tf, list(cast(pos as integer) order by pos) positions from occ group by term, page_id)"

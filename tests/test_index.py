@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from paginal.operators import index, search
 
@@ -139,3 +140,14 @@ def test_postings_of_whole_pages(spark, monkeypatch):
         assert "collect_list" not in post._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_collisions_and_page_terms(spark, monkeypatch):
+    pages = corpus(spark, [*TEXTS, "aa bb", None, " . "])
+    terms = index.page_terms(pages)
+    assert rows(index.vocabulary(terms)) == rows(index.vocabulary(index.occurrences(pages)))
+    assert "Generate" not in terms._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(index, "hash64_bits", lambda c: F.when(F.length(c) == 2, -1).otherwise(F.ascii(c)).cast("long"))
+    for words in (terms, index.occurrences(pages)):
+        got = [(int(r["word_hash"]), sorted(r["terms"])) for r in index.hash_collisions(words).collect()]
+        assert got == [(2**64 - 1, ["aa", "bb"])]
