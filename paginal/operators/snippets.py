@@ -70,25 +70,27 @@ def looked_up(hits: DataFrame, pages: DataFrame, most: int | None) -> DataFrame:
     return pages.join(F.broadcast(ids), F.col("page_id") == F.col("wanted"), "left_semi")
 
 
-def snippets(hits: DataFrame, pages: DataFrame, line: str, exact_only: bool = False, most: int | None = None) -> DataFrame:
+def snippets(hits: DataFrame, pages: DataFrame, line: str, exact_only: bool = False, most: int | None = None, places: bool = False) -> DataFrame:
     """Hits (page_id, score) with kind, last_page_id, before, match, after and snippet.
 
     pages: (page_id, book_id, page_number, text).  A hit without a page keeps
     its row, as ``missing``.  exact_only drops hits that do not show the line;
     it applies to the hits given, so it follows any offset and limit.  ``most``
-    tells how many hits there can be at most, if that is known.
+    tells how many hits there can be at most, if that is known.  places adds
+    place: the line's first character for ``exact``, the token's number for
+    ``token``, from 1, else 0.
     """
     words = list(parse(line).words)
     pages = looked_up(hits, pages, most)
     kept = pages.select(F.col("page_id").alias("pid"), "book_id", "page_number", "text")
-    near = pages.select(F.col("book_id").alias("nb"), F.col("page_id").alias("np"), F.col("text").alias("next_text"))
+    near = pages.select(F.col("book_id").alias("nb"), F.col("page_id").alias("np"), F.substring(_bytes(F.col("text")), F.lit(1), F.lit(BOUNDARY)).alias("next_start"))
     found = hits.join(kept, F.col("page_id") == F.col("pid"), "left")
     found = found.join(near, (F.col("np") == F.col("page_id") + 1) & (F.col("nb") == F.col("book_id")), "left")
     text = F.col("text")
     own = _around(text, line)
     # The joined ends may cut a character; the raw line is sought in valid text.
-    ends = F.concat(_text(_last_bytes(text, BOUNDARY)), _text(F.substring(_bytes(F.col("next_text")), F.lit(1), F.lit(BOUNDARY))))
-    across = F.when(F.col("next_text").isNotNull(), _around(ends, line))
+    ends = F.concat(_text(_last_bytes(text, BOUNDARY)), _text(F.col("next_start")))
+    across = F.when(F.col("next_start").isNotNull(), _around(ends, line))
     marked = F.col("__tokens")
     first = F.array_position(F.transform(marked, lambda t: t.isin(words)), F.lit(True))
     before = F.array_join(F.slice(marked, 1, F.greatest((first - 1).cast("int"), F.lit(0))), "")
@@ -115,9 +117,11 @@ def snippets(hits: DataFrame, pages: DataFrame, line: str, exact_only: bool = Fa
     if exact_only:
         out = out.where(F.col("kind").isin(EXACT, ACROSS))
     shown = F.concat(_text(F.col("__s.before")), F.when(F.octet_length("__s.match") > 0, F.concat(F.lit("«"), _text(F.col("__s.match")), F.lit("»"))).otherwise(""), _text(F.col("__s.after")))
+    place = F.when(F.col("kind") == EXACT, F.instr(text, line)).when(F.col("kind") == TOKEN, first).otherwise(0).cast("long")
     return out.select(
         *hits.columns, "book_id", "page_number", "kind",
         F.when(F.col("kind") == ACROSS, F.col("page_id") + 1).otherwise(F.col("page_id")).alias("last_page_id"),
         F.col("__s.before").alias("before"), F.col("__s.match").alias("match"), F.col("__s.after").alias("after"),
         F.when(F.col("kind") == MISSING, F.lit("(failed to load text)")).otherwise(shown).alias("snippet"),
+        *([place.alias("place")] if places else []),
     )

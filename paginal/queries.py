@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from paginal.functions import text as T
 from paginal.functions.query import parse
 from paginal.operators import annotations, books, index, search, snippets
-from paginal.operators.prefix import dense_number
+from paginal.operators.prefix import dense_number, dense_number_apart
 from paginal.sources.sqlite_books import book_database, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,7 +33,7 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _book_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as pages of their sources, numbered by source, then id."""
     docs = _table(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").alias("page_number"), "text")
-    return dense_number(docs, "book_id", ["page_number"], "page_id")
+    return dense_number_apart(docs, "book_id", "page_number", "page_id")
 
 
 def _occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -594,11 +594,8 @@ select page_id, score, kind, case when kind = 'boundary' then page_id + 1 else p
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         pages = _book_pages(spark, sf_dir)
         hits = search.search_pages(pages.select("page_id", "text"), line)
-        found = snippets.snippets(hits, pages, line, exact_only)
-        found = found.join(pages.select(F.col("page_id").alias("pid"), "text"), F.col("page_id") == F.col("pid"))
-        word = F.coalesce(F.array_position(F.transform(T.tokens("text"), lambda t: t.isin(list(q.words))), F.lit(True)), F.lit(0))
-        place = F.when(F.col("kind") == snippets.EXACT, F.instr("text", line).cast("long")).when(F.col("kind") == snippets.TOKEN, word.cast("long")).otherwise(F.lit(0).cast("long"))
-        return found.where(F.col("kind").isin(list(kinds))).select("page_id", F.round("score", 6).alias("score"), "kind", "last_page_id", place.alias("place"))
+        found = snippets.snippets(hits, pages, line, exact_only, places=True)
+        return found.where(F.col("kind").isin(list(kinds))).select("page_id", F.round("score", 6).alias("score"), "kind", "last_page_id", "place")
 
 
 def _across_sql(raw: str) -> str:

@@ -1,3 +1,4 @@
+from paginal.operators.prefix import dense_number_apart
 from paginal.operators.snippets import snippets
 
 
@@ -64,3 +65,21 @@ def test_bounded_hits_move_no_other_text(spark, tmp_path):
         # Above each scan, the nearest join or exchange is the broadcast semi join.
         above = [line for line in part.splitlines() if "Exchange" in line or "Join" in line]
         assert "BroadcastHashJoin" in above[-1] and "LeftSemi" in above[-1] or "BroadcastExchange" in above[-1]
+
+
+def test_places(spark):
+    got = run(spark, "find me", PAGES, [0, 1, 3, 4, 7], places=True)
+    assert [got[i]["place"] for i in (0, 1, 3, 4, 7)] == [52, 0, 2, 0, 0]
+
+
+def test_numbers_move_no_text(spark):
+    """Rows alike, nulls and an empty name are numbered in order; only narrow rows are dealt by book."""
+    keys = [(b, p) for b in (None, "", "b", "a") for p in (3, None, 1, 3, -5)]
+    df = spark.createDataFrame([(b, p, f"t{i}") for i, (b, p) in enumerate(keys)], "book_id string, page_number long, text string")
+    apart = dense_number_apart(df, "book_id", "page_number", "page_id")
+    got = sorted(apart.collect(), key=lambda r: r["page_id"])
+    first = lambda k: tuple((x is not None, x if x is not None else 0) for x in k)
+    assert [(r["book_id"], r["page_number"]) for r in got] == sorted(keys, key=lambda k: ((k[0] is not None, k[0] or ""), first(k[1:])))
+    assert [r["page_id"] for r in got] == list(range(20)) and {(r["book_id"], r["page_number"], r["text"]) for r in got} == {tuple(r) for r in df.collect()}
+    by_book = [line for line in apart._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[1:]]
+    assert by_book and all("text" not in part.split("\n")[1] for part in by_book)
